@@ -187,11 +187,17 @@ def common(item: np.ndarray, text: np.ndarray) -> int:
     return row.bit_count()
 
 
-def judge(item: Item, words: np.ndarray, start: int) -> tuple[float, float]:
-    """Shares of the item and of its answer that the document has, in order, around a passage."""
+def judge(item: Item, words: np.ndarray, start: int, seen: np.ndarray) -> tuple[float, float]:
+    """Shares of the item and of its answer that the document has, in order, around a passage.
+
+    seen has a False for each place in the vocabulary, before and after the call.
+    """
     n = len(item.words)
     near = words[max(0, start - n) : start + PASSAGE + n]
-    if np.isin(item.words, near).sum() < COMMON * n:
+    seen[near] = True
+    there = np.count_nonzero(seen[item.words])
+    seen[near] = False
+    if there < COMMON * n:
         return 0.0, 0.0
     answer = item.words[item.answer :]
     return common(item.words, near) / n, common(answer, near) / len(answer)
@@ -210,6 +216,7 @@ def _search(shared) -> Callable:
                 windows.append(latent[item.words[a : a + PASSAGE] - 1].sum(0))
                 owner.append(i)
         queries, owner = _unit(np.array(windows, np.float32)).T, np.array(owner)
+        seen = np.zeros(len(latent) + 1, bool)
         for batch in batches:
             keys, doc_ids, out = batch.column("key").to_numpy(), batch.column("doc_id"), []
             rows = [np.frombuffer(w.as_py(), np.int32) for w in batch.column("words")]
@@ -220,7 +227,7 @@ def _search(shared) -> Callable:
                     size += len(rows[j])
                     j += 1
                 for r, start, k in _candidates(rows[i:j], latent, queries, owner):
-                    share, answer = judge(items[k], rows[i + r], start)
+                    share, answer = judge(items[k], rows[i + r], start, seen)
                     if leaks(share, answer):
                         out.append((i + r, items[k].item_id, share, answer))
                 i = j
@@ -251,9 +258,9 @@ def _candidates(rows: list[np.ndarray], latent: np.ndarray, queries: np.ndarray,
         sums[owners[starts]] = np.add.reduceat(latent[strides[needed].ravel()[at] - 1], starts)
         z = _unit(sums[place[: len(p)]] + sums[place[len(p) :]])
         x, y = np.nonzero(z @ queries >= COSINE)
-        for s, k in np.unique(np.stack([p[x], owner[y]], 1), axis=0):
-            r = int(np.searchsorted(first, s, "right")) - 1
-            yield r, int(s - first[r]) * STRIDE, int(k)
+        s, k = np.divmod(np.unique(p[x] * len(queries.T) + owner[y]), len(queries.T))
+        r = np.searchsorted(first, s, "right") - 1
+        yield from zip(r.tolist(), ((s - first[r]) * STRIDE).tolist(), k.tolist(), strict=True)
 
 
 def _leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
