@@ -3,7 +3,8 @@
 Lines with the same set of tokens form a class. The tokens of a line are put in order of
 rarity and its prefix, the rarest ones that any similar line must share one of, is
 posted. Postings meet by token under length and positional filters; pairs that pass are
-verified by their Jaccard similarity. A line goes if an earlier one is similar to it.
+verified by their Jaccard similarity. A line goes if an earlier one is similar to it; its
+likely original is tried before all others.
 
 Rarity is the document frequency of a token, counted over all lines for each of SLOTS
 hash slots: a table of fixed size that goes with the plan as a constant. Any order that
@@ -18,12 +19,23 @@ from tideline.llm.storage import materialize
 
 THRESHOLD = 0.8
 SLOTS = 1 << 16
+#: Prefixes are so long that similar lines share as many tokens of theirs.
+SHARED = 2
 _KEY = "__tideline_key"
 
 
+def _split(text: Column, others: str = "\t\r\x0b\x0c") -> Column:
+    """Parts between single spaces or other white space, empty ones too."""
+    found = F.lit(False)
+    for c in others:
+        found = found | F.contains(text, F.lit(c))
+    # Translating every character of a text is slow, and few texts need it.
+    return F.split(F.when(found, F.translate(text, others, " " * len(others))).otherwise(text), " ")
+
+
 def _tokens(line: Column) -> Column:
     """Words of a line: what stands between white space."""
-    return F.filter(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), lambda t: t != "")
+    return F.filter(_split(line), lambda t: t != "")
 
 
 def _slot(token: Column) -> Column:
@@ -36,7 +48,7 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def rarity(documents: DataFrame) -> Column:
     """An array: for each slot (from 0) the rank of its frequency over all lines, rarest first."""
-    words = documents.select(F.explode(F.split(F.translate("text", "\n\t\r\x0b\x0c", "     "), " ")).alias("t")).filter("t <> ''")
+    words = documents.select(F.posexplode(F.split("text", "\n")).alias("i", "line")).select(F.explode(_split(F.col("line"))).alias("t")).filter("t <> ''")
     counts = {r["slot"]: r["count"] for r in words.groupBy(_slot(F.col("t")).alias("slot")).count().collect()}
     order = sorted(range(SLOTS), key=lambda s: (counts.get(s, 0), s))
     ranks = [0] * SLOTS
@@ -55,54 +67,85 @@ def _digest(codes: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """key, doc_id, line_no, class, n (tokens), prefix (codes of its rarest tokens) of each line with tokens.
+    """key, doc_id, line_no, class, n (tokens), prefix (its rarest tokens) of each line; n is 0 without tokens.
 
-    A code has the rank of a token's slot above 47 bits of the token's hash, so codes sort by rarity.
+    A filter here would compute the codes twice, so lines without tokens stay in. A code has the rank of a token's slot above 47 bits of the token's hash, so codes sort
+    by rarity; the prefix keeps the lower 32 bits. Tokens that these confuse make candidates only.
     """
     ranks = rarity(documents)
 
-    def code(token: Column) -> Column:
-        h = F.xxhash64(token)
+    def code(h: Column) -> Column:
         rank = F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long")
         return F.shiftleft(rank, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
 
-    coded = _lines(documents).select("key", "doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), code))).alias("codes")).filter(F.size("codes") > 0)
+    # Empty tokens, between two spaces, go by their hash.
+    hashed = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    coded = _lines(documents).select("key", "doc_id", "line_no", F.sort_array(F.transform(hashed, code)).alias("codes"))
     n = F.size("codes")
     # Sets of fewer than 4 tokens are similar to equal sets only.
-    length = F.when(n < 4, F.lit(0)).otherwise(n - F.ceil(n * THRESHOLD - 1e-9).cast("int") + 1)
-    return coded.select("key", "doc_id", "line_no", _digest(F.col("codes")).alias("class"), n.alias("n"), F.slice("codes", F.lit(1), length).alias("prefix"))
+    length = F.when(n < 4, F.lit(0)).otherwise(n - F.ceil(n * THRESHOLD - 1e-9).cast("int") + SHARED)
+    prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
+    return coded.select("key", "doc_id", "line_no", _digest(F.col("codes")).alias("class"), n.alias("n"), prefix.alias("prefix"))
 
 
-def similar_classes(posted: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes with their first line, and the pairs of classes (a under b) that are similar."""
+def numbered_classes(posted: DataFrame) -> DataFrame:
+    """class, first (its first line), n, prefix, id of each class; ids grow in the order of first lines."""
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
-    classes = materialize(posted.groupBy("class").agg(F.min(at).alias("first")))
-    each = posted.filter(F.size("prefix") > 0).select("class", "n", F.posexplode("prefix").alias("place", "token"))
-    each = each.repartition("token").groupBy("token", "class", "n", "place").agg(F.count(F.lit(1)).alias("lines")).drop("lines")
-    a, b = each.toDF("token", "a", "n", "i"), each.toDF("token", "b", "m", "j")
-    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    # Tokens before both places are fewer than either, so this bounds the overlap from above.
-    most = F.least("i", "j") + left
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("m") >= F.col("n") * THRESHOLD - 1e-9) & (F.col("n") >= F.col("m") * THRESHOLD - 1e-9) & (most >= _needed(F.col("n"), F.col("m"))))
-    pairs = materialize(met.select(F.col("a"), F.col("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    places = classes.join(wanted, "class").select("class", "first.key", "first.line_no")
-    places = materialize(places.groupBy("key", "line_no").agg(F.min("class").alias("class")))
-    sets = _lines(documents).join(places, ["key", "line_no"]).groupBy("class").agg(F.first("line").alias("line"))
-    sets = materialize(sets.select("class", F.array_distinct(_tokens(F.col("line"))).alias("tokens")))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    near = both.select("a", "b", shared.alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
-    return classes, materialize(near.select("a", "b"))
+    classes = posted.groupBy("class").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return materialize(materialize(classes).orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+
+
+def _each(classes: DataFrame) -> DataFrame:
+    return classes.filter(F.size("prefix") > 0).select("id", "n", F.posexplode("prefix").alias("place", "token"))
+
+
+def likely_originals(classes: DataFrame) -> DataFrame:
+    """a, b: for each class b the one that is most often the earliest class with a prefix token of b: a row a class."""
+    each = _each(classes).select("id", "token")
+    earliest = each.groupBy("token").agg(F.min("id").alias("a"))
+    met = each.join(earliest, "token").filter("a < id").groupBy("id", "a").count().filter(F.col("count") >= SHARED)
+    return met.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def candidates(classes: DataFrame, asking: DataFrame) -> DataFrame:
+    """a, b: pairs of a class b of asking and an earlier one that pass the prefix, length and positional filters.
+
+    Sets of n and m tokens are similar if they share some number o. Then they share SHARED
+    tokens among the first n - o + SHARED and m - o + SHARED, for no more than n - o and
+    m - o of their tokens have no partner.
+    """
+    a, b = _each(classes).toDF("a", "n", "i", "token"), _each(asking).toDF("b", "m", "j", "token")
+    n, m = F.col("n"), F.col("m")
+    o = _needed(n, m)
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (F.col("i") < n - o + SHARED) & (F.col("j") < m - o + SHARED) & (F.abs(F.col("i") - F.col("j")) <= F.greatest(n, m) - o))
+    return met.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """id: the b of those pairs whose lines are similar."""
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    places = classes.select("id", "first.key", "first.line_no").join(wanted, "id")
+    # Documents that agree in key and line number are copies of one another.
+    lines = materialize(_lines(documents).select("key", "line_no", "line").join(places, ["key", "line_no"]).groupBy("id").agg(F.min("line").alias("line")))
+    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b").select("b", F.array_distinct(_tokens(F.col("x"))).alias("x"), F.array_distinct(_tokens(F.col("y"))).alias("y"))
+    near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
+    return near.select(F.col("b").alias("id"))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """key, lines (numbers, from 0) to remove of each document that has any."""
-    posted = materialize(postings(documents))
-    classes, near = similar_classes(posted, documents)
-    first = classes.toDF("class", "first")
-    both = near.union(near.select("b", "a")).toDF("class", "other").join(first.toDF("other", "earlier"), "other").groupBy("class").agg(F.min("earlier").alias("earlier"))
-    info = materialize(first.join(both, "class", "left").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce(F.col("earlier") < F.col("first"), F.lit(False)).alias("gone")))
+    """key, lines (numbers, from 0) to remove of each document that has any.
+
+    A class goes with one similar class before it, so most of a group of near copies go by
+    a look at their likely original, and only what is left asks all earlier classes: the
+    group makes no rows for all its pairs.
+    """
+    posted = materialize(postings(documents)).filter("n > 0")
+    classes = numbered_classes(posted)
+    gone = materialize(_similar(likely_originals(classes), classes, documents))
+    rest = candidates(classes, classes.join(gone, "id", "left_anti"))
+    gone = gone.union(_similar(rest, classes, documents)).distinct().withColumn("gone", F.lit(True))
+    info = materialize(classes.join(gone, "id", "left").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone")))
     lines = posted.select("key", "line_no", "class").join(info, "class").filter("gone OR key <> k OR line_no <> l")
     return lines.groupBy("key").agg(F.collect_set("line_no").alias("lines"))
 
