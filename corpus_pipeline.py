@@ -30,7 +30,7 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", _quality), ("line_dedup", _lines), ("near_copies", _near_copies), ("decontamination", _benchmark), ("encoding", _encode)]
 
-#: SQL can't express the classifier, nor the latent retrieval.
+#: SQL can't express the classifier, nor the search for benchmark items.
 ORACLE_SQL = None
 
 

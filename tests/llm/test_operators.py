@@ -203,6 +203,20 @@ def test_decontamination_finds_planted_items_only(spark):
     assert decontaminate.contamination(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_among_foreign_words(spark):
+    r = np.random.default_rng(9)
+    items = [(n, prose(r, n)) for n in range(3, 13)]
+
+    def foreign(n):
+        return " ".join(f"q{x}" for x in r.integers(0, 10**6, n))
+
+    # Exact copies, and for items of 4 words or more copies without one word, at all offsets from a passage.
+    rows = [(100 * n + k, f"{foreign(20 + k)} {text} {foreign(30)}") for n, text in items for k in range(8)]
+    rows += [(100 * n + 50 + k, f"{foreign(20 + k)} {text.rsplit(' ', 1)[0]} {foreign(30)}") for n, text in items if n > 3 for k in range(8)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g["doc_id"], g["item_id"]) for g in got} == {(i, i // 100) for i, _ in rows}
+
+
 def test_pipeline_keeps_the_columns_of_documents(spark):
     import corpus_pipeline
 
