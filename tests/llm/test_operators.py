@@ -217,6 +217,34 @@ def test_decontamination_finds_short_items_among_foreign_words(spark):
     assert {(g["doc_id"], g["item_id"]) for g in got} == {(i, i // 100) for i, _ in rows}
 
 
+def test_decontamination_against_brute_force(spark):
+    r = np.random.default_rng(10)
+    items = [(i, prose(r, int(n)) + " . " + prose(r, 3)) for i, n in enumerate(r.integers(3, 45, 60))]
+    rows = []
+    for i, text in items:
+        for share in (0, 0.1, 0.2, 0.3):
+            words = [str(r.choice(WORDS)) if r.random() < share else w for w in text.split(" ")]
+            spread = [x for w in words for x in ([w, "zz"] if r.random() < share else [w])]
+            rows.append((len(rows), f"{prose(r, int(r.integers(0, 40)))} {' '.join(spread)} {prose(r, int(r.integers(0, 40)))}"))
+    known = decontaminate.read_items(items)
+    place = {h: k + 1 for k, h in enumerate(known.vocabulary.tolist())}
+    want = {}
+    for i, text in rows:
+        own = decontaminate.read_items([(0, text)])
+        order = own.items[0].words
+        words = np.array([place.get(own.vocabulary[w - 1].item(), 0) for w in order])
+        for item in known.items:
+            n, answer = len(item.words), item.words[item.answer :]
+            for start in range(0, len(words), decontaminate.STRIDE):
+                near = words[max(0, start - n) : start + decontaminate.PASSAGE + n]
+                found = decontaminate.common(item.words, near) / n, decontaminate.common(answer, near) / len(answer)
+                if decontaminate.leaks(*found):
+                    want[i, item.item_id] = max(found, want.get((i, item.item_id), found))
+    got = decontaminate.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 150 and {(g["doc_id"], g["item_id"]) for g in got} == set(want)
+    assert all(g["lcs"] >= want[g["doc_id"], g["item_id"]][0] for g in got)
+
+
 def test_pipeline_keeps_the_columns_of_documents(spark):
     import corpus_pipeline
 
