@@ -85,6 +85,18 @@ def test_toxicity_finds_held_out_rows(spark):
     assert np.mean([g["toxic"] == (g["doc_id"] % 4 == 0) for g in got]) >= 0.95
 
 
+def test_toxicity_finds_rare_forms_of_a_stem(spark):
+    r = np.random.default_rng(11)
+    # Toxic rows have two of 200 endings of a stem each, so most forms of the held-out rows are new.
+    stem = [f"vilesx{a}{b}" for a in WORDS[:20] for b in WORDS[20:30]]
+    rows = [(i, prose(r, 30) + (" " + " x ".join(r.choice(stem, 2)) if i % 8 == 0 else "") + " " + prose(r, 30)) for i in range(800)]
+    marks = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(rows, DOCS), marks).filter("held_out").collect()
+    toxic = [g for g in got if g["doc_id"] % 8 == 0]
+    assert len(toxic) > 20 and np.mean([g["toxic"] for g in toxic]) >= 0.9
+    assert np.mean([g["toxic"] for g in got if g["doc_id"] % 8]) <= 0.05
+
+
 def test_line_dedup_against_brute_force(spark):
     r = np.random.default_rng(4)
     base = [prose(r, int(r.integers(3, 30))) for _ in range(25)]

@@ -66,7 +66,8 @@ class Ftrl:
 
 def fit(examples: Iterable[tuple[np.ndarray, np.ndarray, float]], size: int, epochs: int, seed: int, **parameters: float) -> np.ndarray:
     """Weights (bias last) after some epochs over the examples in seeded orders."""
-    model, examples = Ftrl(size, **parameters), list(examples)
+    model = Ftrl(size, **parameters)
+    examples = examples if hasattr(examples, "__getitem__") else list(examples)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(examples)):
