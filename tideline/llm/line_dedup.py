@@ -1,26 +1,30 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
-Lines with the same set of tokens form a class. The tokens of a line are put in order of
-rarity and its prefix, the rarest ones that any similar line must share one of, is
-posted. Postings meet by token under length and positional filters; pairs that pass are
-verified by their Jaccard similarity. A line goes if an earlier one is similar to it; its
-likely original is tried before all others.
-
-Rarity is the document frequency of a token, counted over all lines for each of SLOTS
-hash slots: a table of fixed size that goes with the plan as a constant. Any order that
-is the same for all lines gives right results, so a slot's other tokens cost time only.
+Lines with the same set of tokens form a class. The tokens of a class are put in order of
+rarity, and what is posted are pairs of neighbours in that order, from the rarest on: the
+prefix of which any similar class must share one. Postings meet by such pairs under
+length, positional and bitmap filters; what passes is verified by its Jaccard similarity.
+A line goes if an earlier one is similar to it; its likely original is tried before all
+others, so that a group of near copies makes no rows for all its pairs.
+
+Rarity is the frequency of a token over all lines, counted for each of SLOTS hash slots
+and put in levels: a table of fixed size that goes with the plan as a constant. Common
+tokens are far fewer than slots, so they come last at any size of input; any order that is
+the same for all lines gives right results.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 
 THRESHOLD = 0.8
-SLOTS = 1 << 16
-#: Prefixes are so long that similar lines share as many tokens of theirs.
-SHARED = 2
+SLOTS = 1 << 18
+#: Levels of frequency; they fit into 7 bits.
+LEVELS = 100
 _KEY = "__tideline_key"
 
 
@@ -33,13 +37,13 @@ def _split(text: Column, others: str = "\t\r\x0b\x0c") -> Column:
     return F.split(F.when(found, F.translate(text, others, " " * len(others))).otherwise(text), " ")
 
 
-def _tokens(line: Column) -> Column:
-    """Words of a line: what stands between white space."""
-    return F.filter(_split(line), lambda t: t != "")
+def _hashed(line: Column) -> Column:
+    """Hashes of the distinct words of a line, what stands between white space; empty ones, between two spaces, go by their hash."""
+    return F.array_remove(F.array_distinct(F.transform(_split(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
-def _slot(token: Column) -> Column:
-    return F.xxhash64(token).bitwiseAND(F.lit(SLOTS - 1))
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -47,112 +51,130 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def rarity(documents: DataFrame) -> Column:
-    """An array: for each slot (from 0) the rank of its frequency over all lines, rarest first."""
-    words = documents.select(F.posexplode(F.split("text", "\n")).alias("i", "line")).select(F.explode(_split(F.col("line"))).alias("t")).filter("t <> ''")
-    counts = {r["slot"]: r["count"] for r in words.groupBy(_slot(F.col("t")).alias("slot")).count().collect()}
-    order = sorted(range(SLOTS), key=lambda s: (counts.get(s, 0), s))
-    ranks = [0] * SLOTS
-    for rank, slot in enumerate(order):
-        ranks[slot] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    """An array: for each slot (from 0) a level that is greater the commoner its tokens are over all lines."""
+    words = documents.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("t")).filter("t <> ''")
+    counts = {r["slot"]: r["count"] for r in words.groupBy(_slot(F.xxhash64("t")).alias("slot")).count().collect()}
+    scale = (LEVELS - 1) / math.log1p(max(counts.values(), default=1))
+    return F.split(F.lit(",".join(str(int(scale * math.log1p(counts.get(s, 0)))) for s in range(SLOTS))), ",").cast("array<bigint>")
 
 
 def _needed(n: Column, m: Column) -> Column:
-    """Tokens that sets of n and m must share; rounded so that exact thresholds count."""
-    return F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
-
-
-def _digest(codes: Column) -> Column:
-    return F.xxhash64(codes, F.size(codes))
+    """Tokens that similar sets of n and m share; rounded so that exact thresholds count."""
+    return F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).cast("int")
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """key, doc_id, line_no, class, n (tokens), prefix (its rarest tokens) of each line; n is 0 without tokens.
+    """key, doc_id, line_no, class, n (tokens), bits, prefix (its rarest tokens) of each line; n is 0 without tokens.
 
-    A filter here would compute the codes twice, so lines without tokens stay in. A code has the rank of a token's slot above 47 bits of the token's hash, so codes sort
-    by rarity; the prefix keeps the lower 32 bits. Tokens that these confuse make candidates only.
+    A code has the level of a token's slot above 56 bits of the token's hash, so codes sort
+    by rarity; the prefix keeps the lower 32 bits. bits has for each of 64 places the parity
+    of the tokens there, so it differs in no more places than two sets do in tokens.
     """
-    ranks = rarity(documents)
+    levels = rarity(documents)
 
     def code(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, 47).bitwiseOR(F.shiftrightunsigned(h, 17))
+        return F.shiftleft(F.get(levels, _slot(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    # Empty tokens, between two spaces, go by their hash.
-    hashed = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    coded = _lines(documents).select("key", "doc_id", "line_no", F.sort_array(F.transform(hashed, code)).alias("codes"))
+    coded = _lines(documents).select("key", "doc_id", "line_no", F.sort_array(F.transform(_hashed(F.col("line")), code)).alias("codes"))
     n = F.size("codes")
-    # Sets of fewer than 4 tokens are similar to equal sets only.
-    length = F.when(n < 4, F.lit(0)).otherwise(n - F.ceil(n * THRESHOLD - 1e-9).cast("int") + SHARED)
+    # Sets of fewer than 4 tokens are similar to equal sets only. Sets of THRESHOLD as many tokens ask for the longest prefix.
+    length = F.when(n < 4, F.lit(0)).otherwise(F.floor(n * (2 - 2 * THRESHOLD) + 1e-9).cast("int") + 2)
     prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
-    return coded.select("key", "doc_id", "line_no", _digest(F.col("codes")).alias("class"), n.alias("n"), prefix.alias("prefix"))
+    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    return coded.select("key", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
 
 
 def numbered_classes(posted: DataFrame) -> DataFrame:
-    """class, first (its first line), n, prefix, id of each class; ids grow in the order of first lines."""
+    """class, first (its first line), lines (how many), n, bits, prefix, id of each class; ids grow in the order of first lines."""
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
-    classes = posted.groupBy("class").agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return materialize(materialize(classes).orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    classes = materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    out = materialize(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    dropped(classes)
+    return out
 
 
-def _each(classes: DataFrame) -> DataFrame:
-    return classes.filter(F.size("prefix") > 0).select("id", "n", F.posexplode("prefix").alias("place", "token"))
+def _neighbours(classes: DataFrame) -> DataFrame:
+    """id, place, token: each pair of neighbours in a prefix as one number."""
+    low = F.lit(0xFFFFFFFF)
+    pairs = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(low)))
+    return classes.filter(F.size("prefix") > 1).select("id", "n", "bits", F.posexplode(pairs).alias("place", "token"))
 
 
-def likely_originals(classes: DataFrame) -> DataFrame:
-    """a, b: for each class b the one that is most often the earliest class with a prefix token of b: a row a class."""
-    each = _each(classes).select("id", "token")
-    earliest = each.groupBy("token").agg(F.min("id").alias("a"))
-    met = each.join(earliest, "token").filter("a < id").groupBy("id", "a").count().filter(F.col("count") >= SHARED)
+def shared_neighbours(classes: DataFrame) -> DataFrame:
+    """id, n, bits, place, token, a: the postings whose token another class has, too; a is the earliest class with it."""
+    each = _neighbours(classes)
+    met = each.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("count")).filter("count > 1").select("token", "a")
+    # Few tokens are shared, so they are the side that is hashed.
+    return materialize(each.join(met.hint("shuffle_hash"), "token"))
+
+
+def likely_originals(shared: DataFrame) -> DataFrame:
+    """a, b: for each class b the one that is most often the earliest class with a token of b: a row a class."""
+    met = shared.filter("a < id").groupBy("id", "a").count()
     return met.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
 
-def candidates(classes: DataFrame, asking: DataFrame) -> DataFrame:
-    """a, b: pairs of a class b of asking and an earlier one that pass the prefix, length and positional filters.
+def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
+    """a, b: pairs of a class b of asking (id) and an earlier one that pass the prefix, length, positional and bitmap filters.
 
-    Sets of n and m tokens are similar if they share some number o. Then they share SHARED
-    tokens among the first n - o + SHARED and m - o + SHARED, for no more than n - o and
-    m - o of their tokens have no partner.
+    Sets of n and m tokens are similar if they share some number o, so n + m - 2 * o = d are
+    in one only. Of the o - 1 neighbours among the shared ones d at most have another token
+    between them in one of the sets: o - 1 - d are neighbours in both, and one of those is
+    among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other.
     """
-    a, b = _each(classes).toDF("a", "n", "i", "token"), _each(asking).toDF("b", "m", "j", "token")
-    n, m = F.col("n"), F.col("m")
+    a = shared.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"), F.col("place").alias("i"), "token")
+    b = shared.join(asking, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("place").alias("j"), "token")
+    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (F.col("i") < n - o + SHARED) & (F.col("j") < m - o + SHARED) & (F.abs(F.col("i") - F.col("j")) <= F.greatest(n, m) - o))
-    return met.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+    d = n + m - 2 * o
+    alike = (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= d)
+    near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o)
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & alike & near).select("a", "b").distinct()
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """id: the b of those pairs whose lines are similar."""
-    pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    places = classes.select("id", "first.key", "first.line_no").join(wanted, "id")
+def _class_lines(shared: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, words (64-bit hashes of the distinct ones) of the classes that share a posting."""
+    places = classes.select("id", "first.key", "first.line_no").join(shared.select("id").distinct(), "id")
     # Documents that agree in key and line number are copies of one another.
-    lines = materialize(_lines(documents).select("key", "line_no", "line").join(places, ["key", "line_no"]).groupBy("id").agg(F.min("line").alias("line")))
-    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b").select("b", F.array_distinct(_tokens(F.col("x"))).alias("x"), F.array_distinct(_tokens(F.col("y"))).alias("y"))
+    words = _lines(documents).select("key", "line_no", "line").join(places, ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
+    return materialize(words.dropDuplicates(["id"]))
+
+
+def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """id: the b of those pairs whose lines are similar."""
+    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
-    return near.select(F.col("b").alias("id"))
+    return near.select(F.col("b").alias("id")).distinct()
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
     """key, lines (numbers, from 0) to remove of each document that has any.
 
     A class goes with one similar class before it, so most of a group of near copies go by
-    a look at their likely original, and only what is left asks all earlier classes: the
-    group makes no rows for all its pairs.
+    a look at their likely original, and only what is left asks all earlier classes.
     """
-    posted = materialize(postings(documents)).filter("n > 0")
-    classes = numbered_classes(posted)
-    gone = materialize(_similar(likely_originals(classes), classes, documents))
-    rest = candidates(classes, classes.join(gone, "id", "left_anti"))
-    gone = gone.union(_similar(rest, classes, documents)).distinct().withColumn("gone", F.lit(True))
-    info = materialize(classes.join(gone, "id", "left").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone")))
-    lines = posted.select("key", "line_no", "class").join(info, "class").filter("gone OR key <> k OR line_no <> l")
-    return lines.groupBy("key").agg(F.collect_set("line_no").alias("lines"))
-
-
-def _without(text: Column, lines: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(lines, i))
-    return F.when(lines.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    posted = materialize(postings(documents))
+    classes = numbered_classes(posted.filter("n > 0"))
+    shared = shared_neighbours(classes)
+    lines = _class_lines(shared, classes, documents)
+    first = materialize(_similar(likely_originals(shared), lines))
+    asking = shared.select("id").distinct().join(first, "id", "left_anti")
+    rest = materialize(_similar(candidates(shared, asking), lines))
+    gone = first.union(rest).withColumn("gone", F.lit(True))
+    info = classes.join(gone, "id", "left").filter("gone OR lines > 1").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    found = posted.filter("n > 0").select("key", "line_no", "class").join(info, "class").filter("gone OR key <> k OR line_no <> l")
+    out = materialize(found.groupBy("key").agg(F.collect_set("line_no").alias("lines")))
+    dropped(posted, classes, shared, lines, first, rest)
+    return out
+
+
+def _without(documents: DataFrame, lines: str) -> DataFrame:
+    """The documents, with text without the lines of that column (null: none), which goes."""
+    parts = documents.withColumn("__tideline_parts", F.when(F.col(lines).isNotNull(), F.split("text", "\n")))
+    # array_except works by a hash set, however many lines there are.
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__tideline_parts") - 1), lines)
+    text = F.array_join(F.transform(kept, lambda i: F.get("__tideline_parts", i)), "\n")
+    return parts.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(text)).drop("__tideline_parts", lines)
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
@@ -166,15 +188,17 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     what the earlier lines of others take from one; they count as one document.
     """
     keyed = documents.withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    gone = materialize(removed_lines(documents)).toDF(_KEY, "__tideline_lines")
-    out = keyed.join(gone, _KEY, "left").withColumn("text", _without(F.col("text"), F.col("__tideline_lines")))
+    out = keyed.join(removed_lines(documents).toDF(_KEY, "__tideline_lines"), _KEY, "left")
+    changed = F.col("__tideline_lines").isNotNull()
+    out = _without(out.withColumn("__tideline_changed", changed), "__tideline_lines")
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__tideline_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__tideline_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text (what is kept) of every document; see deduplicated."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    out = docs.join(removed_lines(docs), "key", "left")
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _without(F.col("text"), F.col("lines")).alias("text"))
+    found = docs.join(removed_lines(docs), "key", "left")
+    counted = found.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), "lines")
+    return _without(counted, "lines").select("doc_id", "n_lines", "n_removed", "text")
