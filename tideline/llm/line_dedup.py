@@ -47,7 +47,9 @@ def _slot(hashed: Column) -> Column:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    return documents.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    # The key goes below the explosion: beside it, each line would hash the whole text.
+    keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return keyed.select("key", "doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
 def rarity(documents: DataFrame) -> Column:
@@ -104,8 +106,7 @@ def shared_neighbours(classes: DataFrame) -> DataFrame:
     """id, n, bits, place, token, a: the postings whose token another class has, too; a is the earliest class with it."""
     each = _neighbours(classes)
     met = each.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("count")).filter("count > 1").select("token", "a")
-    # Few tokens are shared, so they are the side that is hashed.
-    return materialize(each.join(met.hint("shuffle_hash"), "token"))
+    return materialize(each.join(met, "token"))
 
 
 def likely_originals(shared: DataFrame) -> DataFrame:
