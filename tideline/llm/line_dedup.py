@@ -66,11 +66,11 @@ def _needed(n: Column, m: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """key, doc_id, line_no, class, n (tokens), bits, prefix (its rarest tokens) of each line; n is 0 without tokens.
+    """key, doc_id, line_no, class, n (tokens), bits, more, prefix (its rarest tokens) of each line; n is 0 without tokens.
 
     A code has the level of a token's slot above 56 bits of the token's hash, so codes sort
-    by rarity; the prefix keeps the lower 32 bits. bits has for each of 64 places the parity
-    of the tokens there, so it differs in no more places than two sets do in tokens.
+    by rarity; the prefix keeps the lower 32 bits. bits and more have for each of 128 places the
+    parity of the tokens there, so they differ in no more places than two sets do in tokens.
     """
     levels = rarity(documents)
 
@@ -82,28 +82,40 @@ def postings(documents: DataFrame) -> DataFrame:
     # Sets of fewer than 4 tokens are similar to equal sets only. Sets of THRESHOLD as many tokens ask for the longest prefix.
     length = F.when(n < 4, F.lit(0)).otherwise(F.floor(n * (2 - 2 * THRESHOLD) + 1e-9).cast("int") + 2)
     prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return coded.select("key", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    return coded.select("key", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), _parity(0).alias("bits"), _parity(1).alias("more"), prefix.alias("prefix"))
+
+
+def _parity(half: int) -> Column:
+    """For each of 64 places the parity of the tokens of codes there, of one half of all tokens."""
+
+    def flip(acc: Column, c: Column) -> Column:
+        chosen = F.shiftright(c, 6).bitwiseAND(F.lit(1).cast("long")).bitwiseXOR(F.lit(1 - half).cast("long"))
+        return acc.bitwiseXOR(F.call_function("shiftleft", chosen, c.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("codes", F.lit(0).cast("long"), flip)
+
 
 
 def numbered_classes(posted: DataFrame) -> DataFrame:
-    """class, first (its first line), lines (how many), n, bits, prefix, id of each class; ids grow in the order of first lines."""
+    """class, first (its first line), lines (how many), n, bits, more, prefix, id of each class; ids grow in the order of first lines."""
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
-    classes = materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    classes = materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix")))
     out = materialize(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
     dropped(classes)
     return out
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
-    """id, place, token: each pair of neighbours in a prefix as one number."""
+    """id, n, bits, more, place, token (each pair of neighbours in a prefix as one number), before (what comes before the pair)."""
     low = F.lit(0xFFFFFFFF)
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("prefix", F.lit(1), F.size("prefix") - 2))
     pairs = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(low)))
-    return classes.filter(F.size("prefix") > 1).select("id", "n", "bits", F.posexplode(pairs).alias("place", "token"))
+    each = F.posexplode(F.arrays_zip(pairs.alias("token"), before.alias("before"))).alias("place", "pair")
+    return classes.filter(F.size("prefix") > 1).select("id", "n", "bits", "more", each).select("id", "n", "bits", "more", "place", "pair.token", "pair.before")
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, place, token, a: the postings whose token another class has, too; a is the earliest class with it."""
+    """id, n, bits, more, place, token, before, a: the postings whose token another class has, too; a is the earliest class with it."""
     each = _neighbours(classes)
     met = each.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("count")).filter("count > 1").select("token", "a")
     return materialize(each.join(met, "token"))
@@ -121,16 +133,19 @@ def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
     Sets of n and m tokens are similar if they share some number o, so n + m - 2 * o = d are
     in one only. Of the o - 1 neighbours among the shared ones d at most have another token
     between them in one of the sets: o - 1 - d are neighbours in both, and one of those is
-    among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other.
+    among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other. Of a
+    run of neighbours that two sets share only the first makes a row.
     """
-    a = shared.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"), F.col("place").alias("i"), "token")
-    b = shared.join(asking, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("place").alias("j"), "token")
+    a = shared.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
+    b = shared.join(asking, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
     n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = n + m - 2 * o
-    alike = (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= d)
-    near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o)
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & alike & near).select("a", "b").distinct()
+    differ = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(2))
+    alike = (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= d)
+    near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
+    starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & alike & near).select("a", "b").distinct()
 
 
 def _class_lines(shared: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
