@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 from tideline.llm.text import WORDS, hashes, mix, pair, pieces, tokens, utf8
 
 #: Words of a window.
@@ -104,7 +104,9 @@ def repeated_places(found: DataFrame) -> DataFrame:
     """key, places (sorted) of what `_emit` found more than once."""
     found = materialize(found)
     many = materialize(found.groupBy("hash", "more").count().filter("count > 1").select("hash", "more"))
-    return materialize(found.join(many, ["hash", "more"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places")))
+    out = materialize(found.join(many, ["hash", "more"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("place")).alias("places")))
+    dropped(found, many)
+    return out
 
 
 def key_map(keys: DataFrame) -> Broadcast:
@@ -189,7 +191,8 @@ def repeated_windows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = repeated_places(docs.select("key", "text").mapInArrow(_emit(LEVELS[0], None), schema))
     for before, level in zip(LEVELS, LEVELS[1:], strict=False):
         texts = docs.select("key", "text").mapInArrow(_only(key_map(found)), "key long, text string")
-        found = repeated_places(texts.join(found, "key").mapInArrow(_emit(level, before), schema))
+        before_it, found = found, repeated_places(texts.join(found, "key").mapInArrow(_emit(level, before), schema))
+        dropped(before_it)
     return docs, found
 
 
