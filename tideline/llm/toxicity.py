@@ -1,9 +1,10 @@
 """Toxicity: a classifier chain of linear models over hashed word n-grams and word beginnings.
 
-Categories are predicted in a fixed order. The model of a category sees the n-grams of
-the text and the probabilities of the categories before it; when it is trained, those
-probabilities come from models that have not seen the row (out of fold). A row is toxic
-by the largest probability of the chain; the cut is the best one out of fold.
+Categories are predicted in a fixed order, the kinds of toxicity before toxicity itself.
+The model of a category sees the n-grams of the text and the probabilities of the
+categories before it; when it is trained, those probabilities come from models that have
+not seen the row (out of fold). A row is toxic by the last probability of the chain, to
+which all others go; the cut is the best one out of fold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideline.llm.ftrl import BITS, BUCKETS, fit, ngrams, sigmoid
 from tideline.llm.quality import is_held_out, sampled
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 from tideline.llm.text import LETTERS_AND_DIGITS, LOWER, hashes, mix, pieces, row_of, tokens, utf8
 
 #: Labelled rows that training reads at most: a hash of doc_id picks them.
@@ -28,11 +29,11 @@ POSITIVE_WEIGHT = 4
 #: Bytes of the beginnings of words that have slots of their own, after those of the n-grams: stems with many endings.
 BEGINNINGS = (6, 8)
 SLOTS = 2 * BUCKETS + 1
-#: Category and its label in SQL, in the order of the chain: toxicity of any kind, then where it stands.
+#: Category and its label in SQL, in the order of the chain: toxicity by where it stands, then of any kind.
 CATEGORIES = [
-    ("toxic", "toxic = 1"),
     ("toxic_prose", "toxic = 1 AND coalesce(quality, 1) = 1"),
     ("toxic_junk", "toxic = 1 AND quality = 0"),
+    ("toxic", "toxic = 1"),
 ]
 
 
@@ -132,43 +133,53 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, e
     weights, seen = np.zeros((k, SLOTS + k + 1)), []
 
     def model_of(c, shared):
-        def one_model(key, frame):
-            import pandas as pd
-
-            frame = frame.sort_values("doc_id")
-            slots = [unpacked(x) for x in frame["slots"]]
-            before = [chained(shared.value, x, f) for x, f in zip(slots, frame["fold"], strict=True)]
-            each = _Examples(slots, before, np.array([y[c] for y in frame["y"]], float), c)
-            w = fit(each, SLOTS + k, epochs, int(key[0]), alpha=1.0, l1=4.0, l2=0.0)
+        def learnt(model, slots, folds, y):
+            before = [chained(shared.value, x, f) for x, f in zip(slots, folds, strict=True)]
+            w = fit(_Examples(slots, before, np.array(y, float), c), SLOTS + k, epochs, model, alpha=1.0, l1=4.0, l2=0.0)
             at = np.flatnonzero(w)
-            return pd.DataFrame({"model": int(key[0]), "slot": at, "w": w[at]})
-
-        return one_model
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), model, np.int32)), pa.array(at.astype(np.int32)), pa.array(w[at])], ["model", "slot", "w"])
+
+        def run(batches):
+            # The rows of a model stand together; of a batch only slot numbers, 4 bytes each, are kept.
+            held, slots, folds, y = None, [], [], []
+            for batch in batches:
+                for model, row, fold, label in zip(*(batch.column(n) for n in ("model", "slots", "fold", "y")), strict=True):
+                    if model.as_py() != held:
+                        if slots:
+                            yield learnt(held, slots, folds, y)
+                        held, slots, folds, y = model.as_py(), [], [], []
+                    slots.append(unpacked(row.as_py()))
+                    folds.append(fold.as_py())
+                    y.append(label[c].as_py())
+            if slots:
+                yield learnt(held, slots, folds, y)
+
+        return run
 
     for c in range(k):
-        # Model m leaves out fold m; the model FOLDS learns from all rows. Each group is the bounded sample at most.
+        # Model m leaves out fold m; the model FOLDS learns from all rows. Each has the bounded sample at most.
         models = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(FOLDS + 1)]))).filter("model != fold")
-        found = models.groupBy("model").applyInPandas(model_of(c, spark.sparkContext.broadcast(list(seen))), "model int, slot int, w double").toPandas()
+        models = models.repartitionByRange(FOLDS + 1, "model").sortWithinPartitions("model", "doc_id")
+        found = models.mapInArrow(model_of(c, spark.sparkContext.broadcast(list(seen))), "model int, slot int, w double").toPandas()
         fitted = np.zeros((FOLDS + 1, weights.shape[1]))
         fitted[found["model"].to_numpy(int), found["slot"].to_numpy(int)] = found["w"].to_numpy(float)
         weights[c] = fitted[FOLDS]
         seen.append(fitted[:FOLDS].astype(np.float32))
     shared = spark.sparkContext.broadcast(seen)
 
-    def out_of_fold(frames):
-        import pandas as pd
-
-        for frame in frames:
-            p = [chained(shared.value, unpacked(s), f).max() for s, f in zip(frame["slots"], frame["fold"], strict=True)]
-            yield pd.DataFrame({"p": np.array(p, float), "y": np.array([y[0] for y in frame["y"]], float)})
+    def out_of_fold(batches):
+        for batch in batches:
+            p = [chained(shared.value, unpacked(s.as_py()), f.as_py())[-1] for s, f in zip(batch.column("slots"), batch.column("fold"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()), pa.array([y[-1].as_py() for y in batch.column("y")], pa.float64())], ["p", "y"])
 
     # At most the bounded sample.
-    judged = rows.select("slots", "y", "fold").mapInPandas(out_of_fold, "p double, y double").toPandas()
+    judged = rows.select("slots", "y", "fold").mapInArrow(out_of_fold, "p double, y double").toPandas()
+    dropped(rows)
     return weights.astype(np.float32), best_cut(judged["p"].to_numpy(float), judged["y"].to_numpy(float))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
-    """doc_id, held_out, toxic (1 if the largest probability reaches threshold, or else the cut of training), p_<category>.
+    """doc_id, held_out, toxic (1 if p_toxic, the last of the chain, reaches threshold, or else the cut of training), p_<category>.
 
     One row for each input row, also for null doc_ids and for null or empty texts, which
     get the bias alone. Whole texts are read; extra columns are ignored.
@@ -192,4 +203,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float | None =
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
     scored = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, schema)
-    return scored.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), (F.greatest(*names) >= threshold).cast("int").alias("toxic"), *names)
+    return scored.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), (F.col(names[-1]) >= threshold).cast("int").alias("toxic"), *names)
