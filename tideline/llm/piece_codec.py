@@ -5,6 +5,12 @@ way still to go for an A-star search from the end backwards, so that segmentatio
 out in order of score. No piece goes over a word's start (or over a character that only
 stands alone), so the lattice falls apart at those places: each distinct part is searched
 once by a worker, and the N best of a text combine the best few alternatives of parts.
+
+As the heuristic is exact, the first segmentation that the search takes off its agenda is
+the way back over the Viterbi scores; for many parts at once that way is followed in
+arrays, and the agenda is opened for the parts whose other segmentations can matter.
+Of a BPE model the scores are ranks of merges, so its best segmentations need not be what
+merging gives.
 """
 
 from __future__ import annotations
@@ -19,10 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.llm.text import mix, utf8
+from tideline.llm.text import mix, pieces, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
+#: Bytes of texts whose new parts are searched together.
+TOGETHER = 1 << 22
+#: Rows of an output batch.
+ROWS = 256
 #: Parts whose segmentations a worker remembers.
 REMEMBERED = 250_000
 #: A character without a piece scores this less than the worst piece.
@@ -273,22 +283,29 @@ class Encoder:
             self.others[part] = found
         return found
 
-    def encode(self, parts: list[str]) -> tuple[list[float], bytes, list[dict[int, tuple[int, ...]]], list]:
-        """Of prepared parts of a text: scores of its best segmentations; ids of the best (4 bytes each); for each which parts differ; parts.
+    def encode(self, parts: list[str]) -> tuple[list[float], list[bytes]]:
+        """Of prepared parts of a text: scores and ids (4 bytes each) of its best segmentations.
 
         Of the parts only those with the count - 1 smallest gaps can differ in one of the `count` best.
         """
         get = self.new.__getitem__
         met = [get(p) for p in parts]
         total = sum([m[0] for m in met])
+        ids = [m[2] for m in met]
         best: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         if self.count > 1 and met:
             gaps = np.array([m[1] for m in met])
             some = np.argpartition(gaps, self.count - 2)[: self.count - 1] if len(gaps) >= self.count else np.arange(len(gaps))
             for i in sorted(some[np.isfinite(gaps[some])].tolist()):
-                more = [(loss + met[i][0] - score, {**ways, i: ids}) for score, ids in self._others(parts[i], met[i][2]) for loss, ways in best]
+                more = [(loss + met[i][0] - score, {**ways, i: way}) for score, way in self._others(parts[i], ids[i]) for loss, ways in best]
                 best = heapq.nsmallest(self.count, best + more, key=lambda x: x[0])
-        return [total - loss for loss, _ in best], b"".join([m[2] for m in met]), [ways for _, ways in best], met
+        out = []
+        for _, ways in best:
+            own = ids if not ways else ids.copy()
+            for i, way in ways.items():
+                own[i] = np.array(way, np.int32).tobytes()
+            out.append(b"".join(own))
+        return [total - loss for loss, _ in best], out
 
 
 def nbest(pieces: Pieces, text: str, count: int) -> list[Segmentation]:
@@ -296,11 +313,7 @@ def nbest(pieces: Pieces, text: str, count: int) -> list[Segmentation]:
     encoder = Encoder(pieces, count)
     all_parts = encoder.split(text)
     encoder.prepare([all_parts])
-    scores, _, ways, met = encoder.encode(all_parts)
-    if not met:
-        return [(0.0, ())]
-    parts = [tuple(np.frombuffer(m[2], np.int32).tolist()) for m in met]
-    return [(s, tuple(i for k, p in enumerate(parts) for i in w.get(k, p))) for s, w in zip(scores, ways, strict=True)]
+    return [(score, tuple(np.frombuffer(ids, np.int32).tolist())) for score, ids in zip(*encoder.encode(all_parts), strict=True)]
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -323,42 +336,49 @@ def decoded(tables: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray)
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
 def _encode(shared, name: str, count: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.setdefault(name, Encoder(shared.value, count))
         tables = _tables(encoder.pieces.surface)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i in range(0, len(batch), 256):
-                ids, scores, same = [], [], []
-                rows = range(i, min(len(batch), i + 256))
-                texts = [encoder.split(data[offsets[r] : offsets[r + 1]].tobytes().decode()) for r in rows]
+            for i, j in pieces(offsets, TOGETHER):
+                texts = [encoder.split(data[offsets[r] : offsets[r + 1]].tobytes().decode()) for r in range(i, j)]
                 encoder.prepare(texts)
-                for r, text in zip(rows, texts, strict=True):
-                    raw = data[offsets[r] : offsets[r + 1]]
-                    score, best, _, _ = encoder.encode(text)
-                    ids.append(np.frombuffer(best, np.int32))
-                    scores.append(score)
-                    same.append(np.array_equal(decoded(tables, ids[-1])[1:], raw))
-                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(i, 256) for c in batch.columns[:-1]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids))), pa.array([len(x) for x in ids], pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(same)],
-                    [*batch.schema.names[:-1], "pieces", "n_pieces", "nbest_scores", "round_trip"],
-                )
+                for k in range(i, j, ROWS):
+                    ids, scores, same, others, counts = [], [], [], [], [0]
+                    for r in range(k, min(j, k + ROWS)):
+                        score, best = encoder.encode(texts[r - i])
+                        best = [np.frombuffer(x, np.int32) for x in best]
+                        ids.append(best[0])
+                        others += best[1:]
+                        counts.append(len(others))
+                        scores.append(score)
+                        same.append(np.array_equal(decoded(tables, best[0])[1:], data[offsets[r] : offsets[r + 1]]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.slice(k, len(ids)) for c in batch.columns[:-1]), _lists(ids), pa.array([len(x) for x in ids], pa.int32()), pa.ListArray.from_arrays(pa.array(counts, pa.int32()), _lists(others)), pa.array(scores, pa.list_(pa.float64())), pa.array(same)],
+                        [*batch.schema.names[:-1], "pieces", "n_pieces", "other_pieces", "nbest_scores", "round_trip"],
+                    )
 
     return run
 
 
 def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, count: int = NBEST) -> DataFrame:
-    """doc_id, pieces (ids of the best segmentation), n_pieces, nbest_scores, round_trip of each row.
+    """doc_id, pieces (ids of the best segmentation), n_pieces, other_pieces, nbest_scores, round_trip of each row.
 
-    nbest_scores are those of the `count` best segmentations of the whole text, best first.
+    nbest_scores are those of the `count` best segmentations of the whole text, best first;
+    other_pieces has the ids of all of them but the best.
     round_trip says that the ids decode to the text itself. Null and empty texts have no
-    pieces, the only score 0, and round_trip true. Every input row gives one row, repeated
+    pieces, the only score 0 and no others, and round_trip true. Every input row gives one row, repeated
     ones and null doc_ids too; extra columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load(vocabulary))
-    schema = "doc_id long, pieces array<int>, n_pieces int, nbest_scores array<double>, round_trip boolean"
+    schema = "doc_id long, pieces array<int>, n_pieces int, other_pieces array<array<int>>, nbest_scores array<double>, round_trip boolean"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_encode(shared, f"{vocabulary} {count}", count), schema)
 
 
