@@ -1,10 +1,16 @@
-"""Benchmark decontamination by counts of rare words and common subsequences.
-
-A window is a passage of a document and as many words as an item has on either side. It
-leaks by the longest common subsequence with the whole item and with its answer, the last
-sentence. That takes a fixed number of the item's words, and at most so many of them are
-the item's commonest ones; windows with enough of the others are found by an index of
-words and are the candidates. No window that leaks is missed, whatever the item's length.
+"""Benchmark decontamination by latent semantic retrieval.
+
+Passages (runs of words) of all documents are TF-IDF vectors over the words of the
+benchmark. A randomised decomposition finds their leading right singular vectors: one
+distributed pass multiplies a random matrix by the Gram matrix of all passages, and the
+small product is factored on the driver (Nystroem). Passages and windows of benchmark
+items meet in the whitened latent space; pairs of high cosine are candidates. Short items
+are sought by shorter passages, so that what stands around them doesn't hide them. Each
+candidate is then held against the words themselves: by the longest common subsequence
+with the whole item and with its answer, the last sentence.
+
+What grows with the benchmark, not with the corpus, is held by the driver and broadcast:
+its words, their latent vectors (RANK floats each) and blocks of item windows.
 """
 
 from __future__ import annotations
@@ -16,19 +22,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 from tideline.llm.text import LETTERS_AND_DIGITS, hashes, pieces, tokens, utf8
 
-#: Words of a passage; passages start at every STRIDE-th word of a document.
+#: Words of a passage and of the window that is judged; windows start at every STRIDE-th word of a document.
 PASSAGE, STRIDE = 16, 8
+class Scale(NamedTuple):
+    """How items of at least so many words are sought; passages start at every half of their length."""
+
+    item: int
+    length: int  # words of a passage
+    cosine: float
+    known: float  # a passage near an item has this share of as many words of the item as the item has, or as fit into it
+
+
+#: Thresholds come from the measured recall of planted paraphrases.
+SCALES = (Scale(12, 16, 0.5, 0.5), Scale(6, 8, 0.4, 0.3), Scale(1, 4, 0.4, 0.3))
+#: Latent dimensions, and columns of the random matrix.
+RANK, SKETCH = 64, 72
 #: A window leaks if this share of an item's words, in order, is in it; half of its answer must be among them, too, unless nearly all are.
 COMMON, NEARLY_ALL, ANSWER = 0.7, 0.9, 0.5
-#: Of the words that a leak must have, this share, the commonest, are not counted by the search; only work depends on it.
-LEFT_OUT = 0.7
-#: Occurrences of items' words that are sorted at once.
-POSTINGS = 1 << 22
-#: Benchmark items whose words are broadcast at once; a larger benchmark is done in parts.
-ITEMS = 2000
+#: Item windows that are broadcast at once; a larger benchmark takes more passes over the documents, with the same latent space.
+WINDOWS = 20_000
+SEED = 11
 
 
 class Item(NamedTuple):
@@ -80,41 +96,128 @@ def _places(vocabulary: np.ndarray) -> Callable:
     return run
 
 
-def _together(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The words of some rows at a time."""
+def _blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of some rows, and the first of each row's passages (disjoint ones), some rows at a time."""
     waiting, size = [], 0
     for words in column:
         w = np.frombuffer(words.as_py(), np.int32)
         waiting.append(w)
         size += len(w)
-        if size > 1 << 16:
-            yield waiting
+        if size > 1 << 17:
+            yield _joined(waiting)
             waiting, size = [], 0
     if waiting:
-        yield waiting
+        yield _joined(waiting)
+
+
+def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(w) for w in rows])
+    firsts = [np.arange(e - len(w), e, PASSAGE) for w, e in zip(rows, ends, strict=True)]
+    return np.concatenate(rows), np.concatenate(firsts).astype(np.int64)
+
+
+def _passages(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The known words, from 0, and their passages."""
+    at = np.flatnonzero(words)
+    return words[at] - 1, np.searchsorted(first, at, "right") - 1
 
 
 def _frequencies(size: int) -> Callable:
-    """How often each word, from 1, occurs."""
+    """In how many passages each word occurs; the word -1 stands for any passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(size + 1, np.int64)
+        df, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            for rows in _together(batch.column("words")):
-                n += np.bincount(np.concatenate(rows), minlength=size + 1)
-        at = np.flatnonzero(n[1:]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["word", "n"])
+            for words, first in _blocks(batch.column("words")):
+                word, passage = _passages(words, first)
+                df += np.bincount(np.unique(passage * size + word) % size, minlength=size)
+                n += len(first)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["word", "n"])
 
     return run
 
 
-class Index(NamedTuple):
-    """The rarer words of each item, by word: items[first[w] : first[w + 1]] have the word w."""
+def random_matrix(size: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((size, SKETCH)).astype(np.float32)
+
 
-    first: np.ndarray
-    items: np.ndarray
-    needed: np.ndarray  # so many occurrences of an item's rarer words at least are in a window that leaks
-    lengths: np.ndarray  # words of an item
+def _sketch(idf: np.ndarray) -> Callable:
+    """The task's share of (A'A)R for the matrix A of its passages, of unit length, and the random matrix R."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighted = random_matrix(len(idf)) * idf[:, None]
+        out, seen = np.zeros((len(idf), SKETCH)), np.zeros(len(idf), bool)
+        for batch in batches:
+            for words, first in _blocks(batch.column("words")):
+                word, passage = _passages(words, first)
+                if not len(word):
+                    continue
+                starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+                square = np.add.reduceat(idf[word] ** 2, starts)
+                y = np.add.reduceat(weighted[word], starts) / np.maximum(square, 1e-9)[:, None]
+                order = np.argsort(word, kind="stable")
+                row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))
+                starts = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
+                here = word[order][starts]
+                out[here] += np.add.reduceat(y[row[order]], starts) * idf[here][:, None]
+                seen[here] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(out[at, k]) for k in range(SKETCH))], ["word", *(f"y{k}" for k in range(SKETCH))])
+
+    return run
+
+
+def whitened(sketch: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors over the roots of their singular values, from (A'A)R.
+
+    Whitened in full, what parts of one item differ in would weigh as much as what they share.
+    """
+    r = random_matrix(len(sketch)).astype(float)
+    shift = 1e-9 * max(1e-30, np.linalg.norm(sketch))
+    shifted = sketch + shift * r
+    core = r.T @ shifted
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    good = values > max(values.max(), 0) * 1e-10
+    root = shifted @ (vectors[:, good] / np.sqrt(values[good]))
+    left, singular, _ = np.linalg.svd(root, full_matrices=False)
+    singular = np.sqrt(np.maximum(singular[:RANK] ** 2 - shift, 0))
+    keep = singular > singular.max(initial=0) * 1e-4
+    return (left[:, :RANK][:, keep] / np.sqrt(singular[keep])).astype(np.float32)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-12)
+
+
+class Query(NamedTuple):
+    """The windows of some items that are sought by passages of one length."""
+
+    scale: Scale
+    least: int  # known words of a passage
+    vectors: np.ndarray  # one column a window
+    owner: np.ndarray  # item of each
+    words: np.ndarray  # sorted: item times the vocabulary's size and each of its words
+    needed: np.ndarray  # words of each item that a passage near it has
+
+
+def queries_of(items: list[Item], latent: np.ndarray) -> list[Query]:
+    out = []
+    for scale in SCALES:
+        length = scale.length
+        own = [i for i, x in enumerate(items) if next(k for k in SCALES if k.item <= len(x.words)) is scale]
+        vectors, owner = [], []
+        for i in own:
+            words = items[i].words
+            last = max(0, len(words) - length)
+            for a in sorted({*range(0, last + 1, max(1, length // 4)), last}):
+                vectors.append(latent[words[a : a + length] - 1].sum(0))
+                owner.append(i)
+        if own:
+            needed = np.array([np.ceil(scale.known * min(len(x.words), length)) for x in items], np.int64)
+            words = np.unique(np.concatenate([i * (len(latent) + 1) + items[i].words for i in own]))
+            out.append(Query(scale, int(needed[own].min()), _unit(np.array(vectors, np.float32)).T, np.array(owner), words, needed))
+    return out
 
 
 def least_common(n: int) -> int:
@@ -122,25 +225,6 @@ def least_common(n: int) -> int:
     return next(m for m in range(1, n + 1) if m / n >= COMMON)
 
 
-def index_of(items: list[Item], frequency: np.ndarray) -> Index:
-    """Of the least_common(n) words that a leak has at most those left out here, the commonest, aren't counted."""
-    words, owners, needed = [], [], []
-    for i, item in enumerate(items):
-        least = least_common(len(item.words))
-        left_out = int(least * LEFT_OUT)
-        order = item.words[np.lexsort((item.words, -frequency[item.words]))]
-        # A word is counted at each of its places or at none.
-        while 0 < left_out < len(order) and order[left_out - 1] == order[left_out]:
-            left_out -= 1
-        rest = np.unique(order[left_out:])
-        words.append(rest)
-        owners.append(np.full(len(rest), i))
-        needed.append(least - left_out)
-    word, owner = np.concatenate(words), np.concatenate(owners)
-    by_word = np.argsort(word, kind="stable")
-    return Index(np.searchsorted(word[by_word], np.arange(len(frequency) + 1)), owner[by_word], np.array(needed), np.array([len(x.words) for x in items]))
-
-
 def common(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence, with one bit for each word of item."""
     bits: dict[int, int] = {}
@@ -176,13 +260,16 @@ def leaks(share: float, answer: float) -> bool:
 
 def _search(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, index = shared.value
-        seen = np.zeros(len(index.first), bool)
+        items, latent, queries = shared.value
+        seen = np.zeros(len(latent) + 1, bool)
         for batch in batches:
             keys, doc_ids, out, done = batch.column("key").to_numpy(), batch.column("doc_id"), [], 0
             for rows in _together(batch.column("words")):
-                for r, start, k in candidates(rows, index):
-                    share, answer = judge(items[k], rows[r], start, seen)
+                near = {(r, s, k) for q in queries for r, start, k in candidates(rows, latent, q) for s in around(start, q.scale.length, len(rows[r]))}
+                leaking = [x for x in near if leaks(*judge(items[x[2]], rows[x[0]], x[1], seen))]
+                # The window with most of an item may be further from the passage.
+                for r, s, k in sorted({(r, t, k) for r, s, k in leaking for t in around(s - len(items[k].words), PASSAGE + 2 * len(items[k].words), len(rows[r]))}):
+                    share, answer = judge(items[k], rows[r], s, seen)
                     if leaks(share, answer):
                         out.append((done + r, items[k].item_id, share, answer))
                 done += len(rows)
@@ -192,70 +279,91 @@ def _search(shared) -> Callable:
     return run
 
 
-def candidates(rows: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int]]:
-    """(row, first word of the passage, item) of all passages around which there are enough of an item's words."""
-    # Rows are set so far apart that no window reaches from one into the next.
-    gap = PASSAGE + 2 * int(index.lengths.max())
-    lengths = np.array([len(w) for w in rows])
-    first = np.cumsum(lengths + gap) - lengths
-    words = np.concatenate(rows)
-    at = np.flatnonzero(index.first[words + 1] > index.first[words])
-    postings = np.cumsum(index.first[words[at] + 1] - index.first[words[at]])
-    row = np.searchsorted(np.cumsum(lengths), at, "right")
-    place = at - (np.cumsum(lengths) - lengths)[row] + first[row]
-    # Parts end between rows, so a part has more postings only where a single row has.
-    i = 0
-    while i < len(at):
-        j = int(np.searchsorted(postings, (postings[i - 1] if i else 0) + POSTINGS, "right"))
-        if j < len(at):
-            j = int(np.searchsorted(row, row[j]))
-        j = j if j > i else int(np.searchsorted(row, row[i], "right"))
-        yield from _near(words[at[i:j]], place[i:j], int(first[-1] + lengths[-1] + gap), index, first, lengths)
-        i = j
-
-
-def _near(words: np.ndarray, place: np.ndarray, size: int, index: Index, first: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    n = index.first[words + 1] - index.first[words]
-    ends = np.cumsum(n)
-    owner = index.items[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(index.first[words], n)]
-    found = np.sort(owner * size + np.repeat(place, n))
-    owner, place = np.divmod(found, size)
-    # needed occurrences in a row, no further apart than a window is long.
-    last = np.arange(len(found)) + index.needed[owner] - 1
-    good = np.flatnonzero(last < len(found))
-    good = good[found[last[good]] - found[good] < PASSAGE + 2 * index.lengths[owner[good]]]
-    k, row = owner[good], np.searchsorted(first, place[good], "right") - 1
-    begin, end = place[good] - first[row], place[last[good]] - first[row]
-    # All passages of the row whose windows hold them.
-    low = np.maximum(0, -((PASSAGE + index.lengths[k] - 1 - end) // STRIDE))
-    high = np.minimum((begin + index.lengths[k]) // STRIDE, (lengths[row] - 1) // STRIDE)
-    many = np.maximum(0, high - low + 1)
-    stride = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-    pairs = np.unique((np.repeat(first[row], many) + stride) * len(index.lengths) + np.repeat(k, many))
-    at, k = np.divmod(pairs, len(index.lengths))
-    row = np.searchsorted(first, at, "right") - 1
-    yield from zip(row.tolist(), ((at - first[row]) * STRIDE).tolist(), k.tolist(), strict=True)
+def _together(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The words of some rows at a time."""
+    waiting, size = [], 0
+    for words in column:
+        w = np.frombuffer(words.as_py(), np.int32)
+        waiting.append(w)
+        size += len(w)
+        if size > 1 << 16:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting
+
+
+def around(start: int, length: int, n: int) -> range:
+    """Starts of the windows of a row of n words whose passages meet a run of words."""
+    return range(max(0, (start - PASSAGE) // STRIDE + 1) * STRIDE, min(n, start + length), STRIDE)
+
+
+def candidates(rows: list[np.ndarray], latent: np.ndarray, query: Query) -> Iterator[tuple[int, int, int]]:
+    """(row, first word of the passage, item) of high cosine; of overlapping passages each is given."""
+    # Rows are cut into strides; a passage is two strides of a row, so each row ends with an empty one.
+    stride = query.scale.length // 2
+    n = np.array([-(-len(w) // stride) for w in rows])
+    first = np.concatenate([[0], np.cumsum(n + 1)])
+    padded = np.zeros(int(first[-1]) * stride, np.int32)
+    for a, w in zip(first, rows, strict=False):
+        padded[a * stride : a * stride + len(w)] = w
+    strides = padded.reshape(-1, stride)
+    known = np.count_nonzero(strides, axis=1)
+    full = np.flatnonzero(known[:-1] + known[1:] >= query.least)
+    for i in range(0, len(full), 4096):
+        p = full[i : i + 4096]
+        needed, place = np.unique(np.concatenate([p, p + 1]), return_inverse=True)
+        at = np.flatnonzero(strides[needed].ravel())
+        sums = np.zeros((len(needed), latent.shape[1]), np.float32)
+        owners = at // stride
+        starts = np.flatnonzero(np.append(True, np.diff(owners) != 0))
+        sums[owners[starts]] = np.add.reduceat(latent[strides[needed].ravel()[at] - 1], starts)
+        z = _unit(sums[place[: len(p)]] + sums[place[len(p) :]])
+        x, y = np.nonzero(z @ query.vectors >= query.scale.cosine)
+        s, k = np.divmod(np.unique(p[x] * len(query.needed) + query.owner[y]), len(query.needed))
+        there = np.concatenate([strides[s], strides[s + 1]], axis=1) + k[:, None] * (len(latent) + 1)
+        shared = np.count_nonzero(query.words[np.minimum(np.searchsorted(query.words, there), len(query.words) - 1)] == there, axis=1)
+        s, k = s[shared >= query.needed[k]], k[shared >= query.needed[k]]
+        r = np.searchsorted(first, s, "right") - 1
+        yield from zip(r.tolist(), (np.maximum(0, s - first[r]) * stride).tolist(), k.tolist(), strict=True)
+
+
+def _items_in_blocks(items: list[Item]) -> Iterator[list[Item]]:
+    waiting, size = [], 0
+    for item in items:
+        waiting.append(item)
+        size += -(-len(item.words) // 4)
+        if size >= WINDOWS:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting
 
 
 def _leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, doc_id, item_id, lcs, answer of each passage that leaks; key is a hash of doc_id and text."""
+    """key, doc_id, item_id, lcs, answer of each window that leaks; key is a hash of doc_id and text."""
     spark = documents.sparkSession
     docs = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     schema = "key long, doc_id long, item_id long, lcs double, answer double"
     asked = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    parts = -(-asked.count() // ITEMS)
-    found = spark.createDataFrame([], schema)
-    for part in range(parts):
-        rows = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        known = read_items(sorted(tuple(r) for r in rows.collect()))
-        if not known.items:
-            continue
-        size = len(known.vocabulary)
-        words = materialize(docs.mapInArrow(_places(known.vocabulary), "key long, doc_id long, words binary"))
-        frequency = np.zeros(size + 1, np.int64)
-        for word, n in words.select("words").mapInArrow(_frequencies(size), "word int, n long").groupBy("word").agg(F.sum("n")).collect():
-            frequency[word] = n
-        found = found.union(words.mapInArrow(_search(spark.sparkContext.broadcast((known.items, index_of(known.items, frequency)))), schema))
+    known = read_items(sorted(tuple(r) for r in asked.collect()))
+    found, size = spark.createDataFrame([], schema), len(known.vocabulary)
+    if not known.items:
+        return found
+    words = materialize(docs.mapInArrow(_places(known.vocabulary), "key long, doc_id long, words binary"))
+    counts = dict(words.select("words").mapInArrow(_frequencies(size), "word int, n long").groupBy("word").agg(F.sum("n")).collect())
+    total = counts.pop(-1, 0)
+    df = np.zeros(size)
+    df[list(counts)] = list(counts.values())
+    idf = np.log((1 + total) / (1 + df)).astype(np.float32)
+    names = [f"y{k}" for k in range(SKETCH)]
+    sums = words.select("words").mapInArrow(_sketch(idf), "word int, " + ", ".join(f"{n} double" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    sketch = np.zeros((size, SKETCH))
+    sketch[sums["word"].to_numpy(int)] = sums[names].to_numpy()
+    if sketch.any():
+        latent = whitened(sketch) * idf[:, None]
+        for items in _items_in_blocks(known.items):
+            found = found.union(words.mapInArrow(_search(spark.sparkContext.broadcast((items, latent, queries_of(items, latent)))), schema))
     return found
 
 
@@ -263,7 +371,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs, answer: one row for each document and item that leaks into it.
 
     lcs and answer are the largest shares of the item's and its answer's words that stand,
-    in order, near one passage. Words are runs of letters and digits, in lower case. Null
+    in order, near one passage; they are exact, but windows in which no passage comes near
+    an item in the latent space are not looked at. Words are runs of letters and digits, in lower case. Null
     and empty texts have no passages; items that are null or without words are not looked
     for; without items the result is empty. Rows that repeat a doc_id count together.
     """
