@@ -220,11 +220,6 @@ def queries_of(items: list[Item], latent: np.ndarray) -> list[Query]:
     return out
 
 
-def least_common(n: int) -> int:
-    """So many of n words are the share COMMON or more."""
-    return next(m for m in range(1, n + 1) if m / n >= COMMON)
-
-
 def common(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence, with one bit for each word of item."""
     bits: dict[int, int] = {}
@@ -237,17 +232,22 @@ def common(item: np.ndarray, text: np.ndarray) -> int:
     return row.bit_count()
 
 
-def judge(item: Item, words: np.ndarray, start: int, seen: np.ndarray) -> tuple[float, float]:
-    """Shares of the item and of its answer that the document has, in order, around a passage.
+def enough(item: Item, near: np.ndarray, seen: np.ndarray) -> bool:
+    """Whether the share COMMON of an item's words is in a run of words, in any order.
 
     seen has a False for each place in the vocabulary, before and after the call.
     """
-    n = len(item.words)
-    near = words[max(0, start - n) : start + PASSAGE + n]
     seen[near] = True
     there = np.count_nonzero(seen[item.words])
     seen[near] = False
-    if there < least_common(n):
+    return there / len(item.words) >= COMMON
+
+
+def judge(item: Item, words: np.ndarray, start: int, seen: np.ndarray) -> tuple[float, float]:
+    """Shares of the item and of its answer that the document has, in order, around a passage."""
+    n = len(item.words)
+    near = words[max(0, start - n) : start + PASSAGE + n]
+    if not enough(item, near, seen):
         return 0.0, 0.0
     answer = item.words[item.answer :]
     near = near[near > 0]
@@ -265,7 +265,13 @@ def _search(shared) -> Callable:
         for batch in batches:
             keys, doc_ids, out, done = batch.column("key").to_numpy(), batch.column("doc_id"), [], 0
             for rows in _together(batch.column("words")):
-                near = {(r, s, k) for q in queries for r, start, k in candidates(rows, latent, q) for s in around(start, q.scale.length, len(rows[r]))}
+                near = set()
+                for q in queries:
+                    for r, start, k in candidates(rows, latent, q):
+                        n, end = len(items[k].words), start + q.scale.length
+                        # All windows that meet the passage lie in here; most passages fail by what is there.
+                        if enough(items[k], rows[r][max(0, start - PASSAGE - n) : end + PASSAGE + n], seen):
+                            near.update((r, s, k) for s in around(start, q.scale.length, len(rows[r])))
                 leaking = [x for x in near if leaks(*judge(items[x[2]], rows[x[0]], x[1], seen))]
                 # The window with most of an item may be further from the passage.
                 for r, s, k in sorted({(r, t, k) for r, s, k in leaking for t in around(s - len(items[k].words), PASSAGE + 2 * len(items[k].words), len(rows[r]))}):
@@ -319,7 +325,7 @@ def candidates(rows: list[np.ndarray], latent: np.ndarray, query: Query) -> Iter
         starts = np.flatnonzero(np.append(True, np.diff(owners) != 0))
         sums[owners[starts]] = np.add.reduceat(latent[strides[needed].ravel()[at] - 1], starts)
         z = _unit(sums[place[: len(p)]] + sums[place[len(p) :]])
-        x, y = np.nonzero(z @ query.vectors >= query.scale.cosine)
+        x, y = np.divmod(np.flatnonzero(z @ query.vectors >= query.scale.cosine), len(query.owner))
         s, k = np.divmod(np.unique(p[x] * len(query.needed) + query.owner[y]), len(query.needed))
         there = np.concatenate([strides[s], strides[s + 1]], axis=1) + k[:, None] * (len(latent) + 1)
         shared = np.count_nonzero(query.words[np.minimum(np.searchsorted(query.words, there), len(query.words) - 1)] == there, axis=1)
