@@ -13,6 +13,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,23 +28,52 @@ TRAINING_PAGES = 1000
 EPOCHS = 3
 SEED = 5
 
-# Fixed values of HTML: elements inside a line of text, without an end tag, with raw or no visible text,
-# those that end an open paragraph, and those that a new one of their kind ends.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Fixed values of HTML: elements inside a line of text (of formulas and drawings, too), without an end tag, with text
+# that is not shown or stands in form controls, with raw text, those that may stand in a head, those that end an open
+# paragraph, and those that a new one of their kind ends.
+INLINE = set("a abbr acronym audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark object output picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr".split())
+INLINE |= set("annotation math mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
+INLINE |= set("circle defs ellipse g line lineargradient path polygon polyline radialgradient rect stop svg symbol text tspan use".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = set("script style noscript template head title svg math iframe object select textarea button option canvas audio video".split())
+HIDDEN_TEXT = set("script style noscript template head title iframe select textarea button option".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "xmp")
+IN_HEAD = set("base link meta title style script noscript template".split())
 ENDS_PARAGRAPH = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table tbody thead tfoot article section div body main aside nav".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Place:
+    """An open element by its names (tag, tag.class) and the one around it."""
+
+    __slots__ = ("around", "names", "depth", "_row")
+
+    def __init__(self, around: Place | None, names: tuple[str, ...]) -> None:
+        self.around, self.names, self._row = around, names, None
+        self.depth: int = len(names) + (around.depth if around else 0)
+
+    def row(self) -> np.ndarray:
+        """Which slots the names from the outermost element to this one fill; each place is computed once."""
+        waiting, place = [], self
+        while place is not None and place._row is None:
+            waiting.append(place)
+            place = place.around
+        row = place._row if place is not None else np.zeros(PATH, bool)
+        for place in reversed(waiting):
+            row = row.copy()
+            # Besides tag.name the name alone counts, whatever tag has it.
+            row[[_slot(n, PATH) for name in place.names for n in (name, name.partition(".")[2]) if n]] = True
+            place._row = row
+        return row
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # tags and tag.name of its ancestors, outermost first
+    place: Place | None
     linked: int  # characters inside links
 
 
@@ -51,33 +81,78 @@ def _spaced(text: str) -> str:
     return " ".join(text.split())
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """start, end, name ("": comment or declaration), whether it ends an element, and attributes of each tag; one pass.
+
+    A quoted value may hold >. Where a quote never closes, the tag ends at the first >; where
+    none follows, what is left is text.
+    """
+    at, unclosed = 0, set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        closing = page.startswith("</", start)
+        name = _NAME.match(page, start + 1 + closing)
+        if not name:
+            end = page.find(">", start) if page[start + 1 : start + 2] in ("!", "?") else -1
+            at = end + 1 if end >= 0 else start + 1
+            if end >= 0:
+                yield start, at, "", False, ""
+            continue
+        end = name.end()
+        while m := _STOP.search(page, end):
+            if not m[1]:
+                break
+            close = page.find(m[1], m.end()) if m[1] not in unclosed else -1
+            if close < 0:
+                # No later quote of this kind closes either, so the page is searched for it once.
+                unclosed.add(m[1])
+                end = m.end()
+            else:
+                end = close + 1
+        if not m:
+            return
+        at = m.end()
+        yield start, at, name[0].lower(), closing, page[name.end() : m.start()]
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order; hidden text is left out, character references are decoded."""
+    """Leaf blocks with text, in page order; hidden text is left out, character references are decoded.
+
+    Time and memory grow with the page's length, however its tags are nested or broken.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Place | None]] = []
     texts: list[str] = []
-    state = [0, 0, 0]  # open links, open hidden elements, linked characters
+    opened: Counter[str] = Counter()
+    hidden = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if not texts:
             return
         text = "".join(texts)
         text = _spaced(html.unescape(text) if "&" in text else text)
         if text:
-            out.append(Block(text, stack[-1][1] if stack else (), min(state[2], len(text))))
+            out.append(Block(text, stack[-1][1] if stack else None, min(linked, len(text))))
         texts.clear()
-        state[2] = 0
+        linked = 0
 
-    def pop() -> None:
+    def pop() -> str:
+        nonlocal hidden
         tag, _ = stack.pop()
-        if tag not in INLINE:
-            state[1] -= tag in HIDDEN_TEXT
-        elif tag == "a":
-            state[0] -= 1
+        opened[tag] -= 1
+        hidden -= tag in HIDDEN_TEXT
+        return tag
 
-    def close(tags: set[str], scope: set[str]) -> None:
+    def close(some: set[str], scope: set[str]) -> None:
+        if not any(opened[t] for t in some):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+            if stack[k][0] in some:
                 flush()
                 while len(stack) > k:
                     pop()
@@ -85,29 +160,35 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in scope:
                 return
 
-    at = 0
-    while at <= len(page):
-        m = _TAG.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
-        if piece and not state[1]:
+    def say(piece: str) -> None:
+        nonlocal linked
+        if piece and stack and stack[-1][0] == "head" and not piece.isspace():
+            pop()  # what can't stand in a head ends it
+        if piece and not hidden:
             texts.append(piece)
-            if state[0]:
-                state[2] += len(_spaced(piece))
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+            if opened["a"]:
+                linked += len(_spaced(piece))
+
+    at = 0
+    for start, end, tag, closing, attributes in tags(page):
+        if start < at:
+            continue  # inside raw text
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
+        if closing:
+            if opened[tag]:
                 if tag not in INLINE:
                     flush()
-                while True:
-                    last = stack[-1][0]
-                    pop()
-                    if last == tag:
-                        break
+                while pop() != tag:
+                    pass
+            continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop()
+        if tag in RAW:  # scripts and the like don't part a line of text
+            raw_end = _raw_end(tag).search(page, at)
+            at = raw_end.end() if raw_end else len(page)
             continue
         if tag not in INLINE:
             flush()
@@ -115,47 +196,41 @@ def blocks(page: str) -> list[Block]:
                 close({"p"}, SCOPES)
             if tag in ENDS_OWN:
                 close(ENDS_OWN[tag], SCOPES - {"div", "section", "article"})
-        elif tag in ("br", "wbr", "img"):
-            texts.append(" " if tag != "wbr" else "")
-        if tag in VOID or (m[3] or "").endswith("/"):
+        elif tag in ("br", "img"):
+            texts.append(" ")
+        if tag in VOID or attributes.endswith("/"):
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        names = () if tag in INLINE else (tag, *(f"{tag}.{n}" for x in _NAMES.findall(m[3] or "") for n in re.split(r"[\s_-]+", "".join(x).lower()) if n))
-        stack.append((tag, stack[-1][1] + names if stack else names))
+        place = stack[-1][1] if stack else None
         if tag not in INLINE:
-            state[1] += tag in HIDDEN_TEXT
-        elif tag == "a":
-            state[0] += 1
+            place = Place(place, (tag, *(f"{tag}.{n}" for x in _NAMES.findall(attributes) for n in re.split(r"[\s_-]+", "".join(x).lower()) if n)))
+        stack.append((tag, place))
+        opened[tag] += 1
+        hidden += tag in HIDDEN_TEXT
+    say(page[at:])
     flush()
     return out
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
 @functools.lru_cache(maxsize=100_000)
 def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode()) % size
 
 
-@functools.lru_cache(maxsize=10_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    # Besides tag.name the name alone counts, whatever tag has it.
-    names = [*path, *(n.partition(".")[2] for n in path if "." in n)]
-    row = np.zeros(PATH, np.float32)
-    row[[_slot(n, PATH) for n in names]] = 1
-    return row
-
-
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), INPUTS), np.float32)
     for row, b in zip(x, found, strict=True):
-        row[:PATH] = _path_vector(b.path)
-        words = b.text.split(None, 16)[:16]
-        for w in words:
-            row[PATH + _slot(w, WORD)] += 1 / len(words)
+        depth = 0
+        if b.place is not None:
+            row[:PATH], depth = b.place.row(), b.place.depth
+        words = b.text.split()
+        row[PATH : PATH + WORD] = np.bincount([_slot(w, WORD) for w in words], minlength=WORD) / len(words)
         n = len(b.text)
-        row[PATH + WORD :] = (min(1.0, np.log1p(n) / 8), b.linked / n, len(b.path) / 16, min(1.0, b.text.count(".") / 8), b.text[-1] in ".!?", min(1.0, n / 40))
+        row[PATH + WORD :] = (min(1.0, np.log1p(n) / 8), b.linked / n, min(4.0, depth / 16), min(1.0, b.text.count(".") / 8), b.text[-1] in ".!?", min(1.0, n / 40))
     return x
 
 
