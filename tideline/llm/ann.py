@@ -22,6 +22,8 @@ TABLES = 24
 PROBES = 256
 #: Rows of a bucket that one unit of work holds.
 BLOCK = 4096
+#: Twice what rounding does to a squared distance, a dimension, relative to the squared lengths.
+ROUNDING = 1e-15
 SEED = 7
 
 
@@ -95,18 +97,22 @@ def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The nearest candidates of each query so far, by distance, then id."""
+    """The nearest candidates of each query so far, by distance, then id.
+
+    rough are squared distances by products; slack bounds what rounding does to them and
+    grows with the vectors, so that no true neighbour is passed over.
+    """
 
     def __init__(self) -> None:
         self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray) -> None:
+    def add(self, query_id: int, query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, slack: float) -> None:
         have = self.of.get(query_id)
         near = ids != query_id
         if have is not None and len(have[0]) >= NEIGHBOURS:
-            near &= rough <= have[1][-1] ** 2 + 1e-6
+            near &= rough <= have[1][-1] ** 2 + slack
         if near.sum() > NEIGHBOURS:
-            near &= rough <= np.partition(rough[near], NEIGHBOURS - 1)[NEIGHBOURS - 1] + 1e-6
+            near &= rough <= np.partition(rough[near], NEIGHBOURS - 1)[NEIGHBOURS - 1] + 2 * slack
         ids, score = ids[near], distances(query, vectors[near])
         if have is not None:
             ids, score = np.concatenate([have[0], ids]), np.concatenate([have[1], score])
@@ -134,12 +140,18 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif ids:
                 if len(ids) > 1:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                squares = (vectors[0] ** 2).sum(1)
+                # Differences from one of them: vectors far from the origin are near one another.
+                centre = vectors[0][0]
+                moved = vectors[0] - centre
+                squares = (moved**2).sum(1)
                 for i in range(a, b, 256):
                     q = all_vectors[i : min(b, i + 256)]
-                    rough = (q**2).sum(1)[:, None] + squares[None] - 2 * q @ vectors[0].T
+                    own = q - centre
+                    lengths = (own**2).sum(1)
+                    rough = lengths[:, None] + squares[None] - 2 * own @ moved.T
+                    slack = ROUNDING * own.shape[1] * (lengths + squares.max())
                     for k in range(len(q)):
-                        best.add(int(all_ids[i + k]), q[k], ids[0], vectors[0], rough[k])
+                        best.add(int(all_ids[i + k]), q[k], ids[0], vectors[0], rough[k], float(slack[k]))
     if best.of:
         n = [len(x[0]) for x in best.of.values()]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(best.of, np.int64), n)), pa.array(np.concatenate([x[0] for x in best.of.values()])), pa.array(np.concatenate([x[1] for x in best.of.values()]))], ["query_id", "vec_id", "score"])
