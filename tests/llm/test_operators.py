@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -164,6 +165,45 @@ def test_html_extraction(spark):
     assert next(g for g in got if g["page_id"] == 2)["text"] == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><meta charset=utf-8><title>no</title><body><article><p>Hello there.</article>", ["Hello there."]),
+        ("<html><head><title>no</title>Hello", ["Hello"]),
+        ('<p class="a>Hello</p><p>there', ["Hello", "there"]),
+        ('<div title="a>b">in</div>', ["in"]),
+        ("<p>Formula <math><mi>x</mi></math> end <script>no()</script>here", ["Formula x end here"]),
+        ("<p>1 < 2 &amp; <b>so\n on</b><!-- no -->", ["1 < 2 & so on"]),
+        ("<select><option>no</select><textarea>no</textarea>yes", ["yes"]),
+        ("", []),
+    ],
+)
+def test_html_blocks(page, texts):
+    assert [b.text for b in html_extract.blocks(page)] == texts
+
+
+def test_html_blocks_of_broken_pages_in_linear_time():
+    began = time.time()
+    for page, n in (('<p class="a>x ' * 40_000, None), ("<div>x" * 100_000, 100_000), ("<b>x" * 100_000 + "</i>" * 1000 + "<p>y" * 1000, 1001), ("<" * 500_000, 1)):
+        found = html_extract.blocks(page)
+        assert n is None or len(found) == n
+        html_extract.vectors(found[:2000])
+    assert time.time() - began < 60
+
+
+def test_html_every_word_of_a_block_counts():
+    words = [f"w{i}" for i in range(200)]
+    a, b = (html_extract.vectors(html_extract.blocks(f"<p>{' '.join(w)}</p>")) for w in (words, [*words[:100], *["advert"] * 100]))
+    assert not np.array_equal(a, b)
+
+
+def test_html_extraction_on_pages_of_a_held_out_generator():
+    pages = html_extract.generated(200, seed=99)
+    found = html_extract.probabilities(html_extract.trained(), [x for x, _ in pages])
+    p, y = np.concatenate(found) >= 0.5, np.concatenate([y for _, y in pages]) > 0
+    assert (p & y).sum() / p.sum() > 0.95 and (p & y).sum() / y.sum() > 0.95
+
+
 def test_nbest_against_enumeration_and_round_trip(spark):
     pieces = piece_codec.load()
     part = " scaling"
@@ -202,6 +242,25 @@ def test_nearest_neighbours_recall_and_odd_vectors(spark):
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("away", [0.0, 1e3, 1e6])
+def test_nearest_neighbours_far_from_the_origin(spark, away):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((600, 16)) * 0.1 + away + 1.0
+    x[300] = x[100]
+    x[301] = x[100]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    exact = {}
+    for q in range(0, 600, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((np.arange(600), d)).tolist() if i != q][:10]
+        exact[q] = [(i, d[i]) for i in order]
+    hit = sum((g["vec_id"], g["score"]) in exact[g["query_id"]] for g in got)
+    assert hit >= 0.9 * 60 and (away == 0 or hit == 60)
+    # Ties go to the smaller id.
+    assert [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == 100][:2] == [300, 301]
+
+
 def test_decontamination_finds_planted_items_only(spark):
     r = np.random.default_rng(8)
     items = [(i, prose(r, 25) + " . " + prose(r, 6)) for i in range(20)]
