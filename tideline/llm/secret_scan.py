@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.llm.storage import materialize
-from tideline.llm.text import pieces, row_of, tokens, utf8
+from tideline.llm.text import hashes, pieces, row_of, tokens, utf8
 
 # Fixed values of the contract: kinds in order, patterns, least lengths.
 KINDS = ("assign", "access", "hex")
@@ -123,7 +123,7 @@ def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    candidate = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.float64())]))
+    candidate = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("p", pa.float64()), ("string", pa.int64())]))
     for batch in batches:
         text = batch.column("text")
         data, offsets = utf8(text)
@@ -144,6 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             may[rows] = True  # AKIA keys of 20 characters stand in such runs
             points = np.concatenate([[0], np.cumsum((piece & 0xC0) != 0x80)])
             cs, ce = points[s - low] - points[at[rows] - low], points[e - low] - points[at[rows] - low]
+            string = hashes(data, s, e).view(np.int64)
             stratum = encoding * (len(LENGTH_CLASSES) + 1) + np.searchsorted(LENGTH_CLASSES, e - s, "right")
             base: list[list[tuple]] = [[] for _ in range(j - i)]
             extra: list[list[tuple]] = [[] for _ in range(j - i)]
@@ -152,7 +153,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(encoding >= 0):
                 r = rows[k]
                 if not any(x[0] < ce[k] and cs[k] < x[2] for x in base[r]):
-                    extra[r].append({"start": int(cs[k]), "end": int(ce[k]), "stratum": int(stratum[k]), "p": float(p[k])})
+                    extra[r].append({"start": int(cs[k]), "end": int(ce[k]), "stratum": int(stratum[k]), "p": float(p[k]), "string": int(string[k])})
             digest = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x).encode()).hexdigest() for x in base]
             counts = [pa.array([sum(y[1] == k for y in x) for x in base], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
@@ -193,9 +194,11 @@ def secrets(documents: DataFrame) -> DataFrame:
     """
     kept = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _scan,
-        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,stratum:int,p:double>>",
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:long,kind:int,end:long>>, candidates array<struct<start:long,end:long,stratum:int,p:double,string:long>>",
     ))
-    each = kept.select(F.explode("candidates").alias("c")).select("c.stratum", F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    # Copies of a string count once.
+    each = kept.select(F.explode("candidates").alias("c")).select("c.stratum", "c.string", "c.p").groupBy("stratum", "string").agg(F.first("p").alias("p"))
+    each = each.select("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     # At most alphabets x length classes x bins rows.
     limits = cuts([tuple(r) for r in each.groupBy("stratum", "bin").count().collect()])
     return kept.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spans(limits).alias("spans"))
