@@ -165,6 +165,19 @@ def test_html_extraction(spark):
     assert next(g for g in got if g["page_id"] == 2)["text"] == ""
 
 
+def test_secret_scan_finds_random_strings_and_counts_copies_once(spark):
+    r = np.random.default_rng(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(r.choice(list(letters), 32)) for _ in range(60)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(tokens)]
+    copied = "get_user_account_value_list_index"
+    rows += [(1000 + i, f"call {copied} now") for i in range(3000)]
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    found = [i for i in range(60) if got[i] == "random:4:36"]
+    assert len(found) >= 54
+    assert not any(got[1000 + i] for i in range(3000))
+
+
 @pytest.mark.parametrize(
     ("page", "texts"),
     [
