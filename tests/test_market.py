@@ -172,3 +172,21 @@ def test_queries_match_duckdb(spark, data):
         for col in want:
             if a[col].dtype.kind == "f":
                 assert np.allclose(a[col], b[col], atol=1e-3, equal_nan=True), (name, col)
+
+
+def test_store_reader_prunes_and_the_first_batch_creates_a_store(spark, data, tmp_path):
+    from tideline.plans.queries import bars as daily
+    from tideline.sources import bars as sources
+    from tideline.sources import sinks
+
+    store = f"file://{tmp_path}/store"
+    df = daily(spark, data).select("symbol", "dt", "open", "high", "low", "close", "volume", "amount")
+    sinks.upsert_bars(df, store)
+    sinks.upsert_bars(df.filter("symbol = 'NO'").withColumn("close", F.lit(1.0)), store)
+    back = sources.read_store(spark, store, "1995-01-02", "1996-01-01", ["NO"], ["close"])
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(symbol" in plan or "PartitionFilters: [(symbol" in plan
+    assert "GreaterThanOrEqual(dt" in plan and "open" not in plan.split("ReadSchema")[1]
+    rows = back.collect()
+    assert rows and {r["close"] for r in rows} == {1.0} and {r["symbol"] for r in rows} == {"NO"}
+    assert sources.read_store(spark, store).count() == df.count()

@@ -79,3 +79,28 @@ def episodes(df: DataFrame, length: int, seed: int | None = None) -> DataFrame:
     df = df.withColumns({"__r": F.row_number().over(by_symbol()), "__n": n})
     offset = F.lit(0) if seed is None else F.pmod(F.xxhash64("symbol", F.lit(seed)), F.greatest(F.col("__n") - length, F.lit(1)))
     return df.filter((F.col("__r") > offset) & (F.col("__r") <= offset + length)).drop("__r", "__n")
+
+
+def linear_epsilon(step, start: float = 1.0, end: float = 0.01, steps: int = 100):
+    """Exploration rate that falls from start to end in so many steps and stays there."""
+    return F.greatest(F.lit(end), start - (start - end) * step / steps)
+
+
+def lots(capital, price, lot: int = 100):
+    """The quantity in whole lots that capital buys."""
+    return F.floor(capital / price / lot) * lot
+
+
+def transitions(df: DataFrame, state: str) -> DataFrame:
+    """symbol, dt, the state, next_<state> and done: whether the row ends its symbol (next is null there)."""
+    following = F.lead(state).over(by_symbol())
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("dt").desc())) == 1
+    return df.select("symbol", "dt", state, following.alias(f"next_{state}"), last.alias("done"))
+
+
+def gathered(batches: list[DataFrame]) -> DataFrame:
+    """The rows of the batches of several workers, by column names."""
+    out = batches[0]
+    for batch in batches[1:]:
+        out = out.unionByName(batch, allowMissingColumns=True)
+    return out

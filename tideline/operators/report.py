@@ -64,3 +64,14 @@ def chart(bars: DataFrame, filled: DataFrame, histogram: str = "macd_close_weekl
 
 def named_orders(orders: DataFrame, universe: DataFrame) -> DataFrame:
     return orders.join(universe.select("symbol", "name"), "symbol", "left")
+
+
+def panels(equity: DataFrame, bars: DataFrame) -> DataFrame:
+    """One row a day for five panels: position, value, return in percent, capital, and the market's cumulative return.
+
+    equity has dt, position, tot_value and capital of one run, bars the symbol that it is held against.
+    """
+    order = Window.orderBy("dt")  # the days of one run: a bounded series
+    market = bars.select("dt", (F.col("close") / F.first("close").over(order) - 1).alias("market"))
+    df = equity.select("dt", "position", "tot_value", "capital").withColumn("return_pct", (F.col("tot_value") / F.first("tot_value").over(order) - 1) * 100)
+    return df.join(market, "dt", "left")

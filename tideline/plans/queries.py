@@ -10,7 +10,7 @@ from tideline.functions import indicators as I
 from tideline.functions import windows as W
 from tideline.operators import datasets, report, signals, simulate
 from tideline.plans.features import daily_features, with_weekly
-from tideline.sources.bars import bars_from_trades, half_open, points_to_rows
+from tideline.sources.bars import bars_from_trades, closed, half_open, in_universe, points_to_rows, prefixed, recent, row_slice, with_pre_close
 from tideline.sources.sinks import latest
 from tideline.streaming.live import tick_bars
 
@@ -304,3 +304,57 @@ def _scenarios(spark: SparkSession, d: str) -> DataFrame:
 
 _add("backtest_ledger", _scenarios)
 _add("backtest_report", lambda s, d: (lambda e: report.drawdown(e, ["scenario_id"], "dt", "tot_value").join(report.sharpe(e, ["scenario_id"], "dt", "tot_value"), "scenario_id"))(report.equity(_scenarios(s, d))))
+
+
+def _universe(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("AF", 0, "first"), ("NO", 1, "second"), ("RF", 2, "third")], "symbol string, ordinal long, name string")
+
+
+def _fills(df: DataFrame) -> DataFrame:
+    """A fill on each first of a month: buys of the symbols of A, sells of the others."""
+    return df.filter(F.dayofmonth("dt") == 1).select("symbol", F.col("dt").alias("timestamp"), F.when(F.startswith("symbol", F.lit("A")), "buy").otherwise("sell").alias("order_type"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("symbol"), F.col("o_orderkey").alias("timestamp"), F.col("o_totalprice").alias("price"), F.lit(100.0).alias("quantity"))
+    return report.trade_pairs(t, ["symbol"], ["timestamp"])
+
+
+_UNIVERSE = "u AS (SELECT * FROM (VALUES ('AF', 0, 'first'), ('NO', 1, 'second'), ('RF', 2, 'third')) AS v(symbol, ordinal, name))"
+_MARKS = "f AS (SELECT symbol, dt, CASE WHEN symbol LIKE 'A%' THEN 'buy' ELSE 'sell' END AS order_type FROM bars WHERE day(dt) = 1)"
+_PAIRS = "n AS (SELECT o_custkey AS symbol, o_totalprice AS p, row_number() OVER w - 1 AS k, lead(o_totalprice) OVER w AS q FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
+
+_add("closed_range", lambda s, d: _days(closed(bars(s, d), "1995-01-02", "1995-12-29"), "close"), f"{_BARS} SELECT symbol, dt, close FROM bars WHERE dt BETWEEN DATE '1995-01-02' AND DATE '1995-12-29'")
+_add("recent_days", lambda s, d: _days(recent(bars(s, d).filter("symbol = 'NO'"), "1996-06-28"), "close"), f"{_BARS} SELECT symbol, dt, close FROM bars WHERE symbol = 'NO' AND dt > DATE '1996-06-28' - 30 AND dt <= DATE '1996-06-28'")
+_add("prefix_filter", lambda s, d: _days(prefixed(bars(s, d), "symbol", ["A", "RF"]), "close"), f"{_BARS} SELECT symbol, dt, close FROM bars WHERE symbol LIKE 'A%' OR symbol LIKE 'RF%'")
+_add("row_slice", lambda s, d: _days(row_slice(bars(s, d), 10, 30), "close"), f"{_BARS} SELECT symbol, dt, close FROM numbered WHERE n > 10 AND n <= 30")
+_add("lot_rounding", lambda s, d: bars(s, d).select("symbol", "dt", datasets.lots(F.lit(1e6), F.col("close")).cast("long").alias("quantity")), f"{_BARS} SELECT symbol, dt, CAST(floor(CAST(1e6 AS DOUBLE) / close / 100) * 100 AS BIGINT) AS quantity FROM bars")
+_add("transitions", lambda s, d: datasets.transitions(bars(s, d), "close"), f"{_BARS} SELECT symbol, dt, close, lead(close) OVER w AS next_close, lead(dt) OVER w IS NULL AS done FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)")
+_add(
+    "gathered_batches",
+    lambda s, d: _days(datasets.gathered([bars(s, d).filter(F.year("dt") == y) for y in (1994, 1995)]), "close"),
+    f"{_BARS} SELECT symbol, dt, close FROM bars WHERE year(dt) IN (1994, 1995)",
+)
+_add("linear_epsilon", lambda s, d: _rounded(_days(bars(s, d).withColumn("epsilon", datasets.linear_epsilon(F.row_number().over(W.by_symbol()))), "epsilon"), "epsilon"), f"{_BARS} SELECT symbol, dt, round(greatest(0.01, 1 - 0.99 * CAST(n AS DOUBLE) / 100), 4) AS epsilon FROM numbered")
+_add("exponential_epsilon", lambda s, d: _rounded(_days(bars(s, d).withColumn("epsilon", datasets.epsilon(F.row_number().over(W.by_symbol()))), "epsilon"), "epsilon"), f"{_BARS} SELECT symbol, dt, round(0.01 + 0.99 * exp(-CAST(n AS DOUBLE) / 500), 4) AS epsilon FROM numbered")
+_add("episodes", lambda s, d: _days(datasets.episodes(bars(s, d), 50), "close"), f"{_BARS} SELECT symbol, dt, close FROM numbered WHERE n <= 50")
+_add("common_days", lambda s, d: _days(signals.common_days(bars(s, d)), "close"), f"{_BARS} SELECT symbol, dt, close FROM bars WHERE dt IN (SELECT dt FROM bars GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars))")
+_add("mark_to_market", lambda s, d: _rounded(report.marked_to_market(bars(s, d).withColumn("position", F.col("volume"))), "value", places=2), f"{_BARS} SELECT dt, round(sum(volume * close), 2) AS value FROM bars GROUP BY dt")
+_add(
+    "pre_close_join",
+    lambda s, d: _days(with_pre_close(bars(s, d), bars(s, d).filter("volume > 40").select("symbol", "dt", F.col("close").alias("pre_close"))), "pre_close"),
+    f"{_BARS} SELECT symbol, dt, CASE WHEN volume > 40 THEN close END AS pre_close FROM bars",
+)
+_add("universe_join", lambda s, d: in_universe(bars(s, d), F.broadcast(_universe(s))).select("symbol", "dt", "ordinal", "name"), f"{_BARS}, {_UNIVERSE} SELECT symbol, dt, CAST(ordinal AS BIGINT) AS ordinal, name FROM bars JOIN u USING (symbol)")
+_add("named_orders", lambda s, d: report.named_orders(bars(s, d), F.broadcast(_universe(s))).select("symbol", "dt", "name"), f"{_BARS}, {_UNIVERSE} SELECT symbol, dt, name FROM bars LEFT JOIN u USING (symbol)")
+_add(
+    "chart_markers",
+    lambda s, d: report.chart(bars(s, d).withColumn("change", F.col("close") - F.col("open")), _fills(bars(s, d)), "change").select("symbol", "dt", "colour", "order_type", "marker"),
+    f"{_BARS}, {_MARKS} SELECT symbol, dt, CASE WHEN close - open >= 0 THEN 'green' ELSE 'red' END AS colour, order_type, CASE WHEN order_type = 'buy' THEN low WHEN order_type IS NOT NULL THEN high END AS marker FROM bars LEFT JOIN f USING (symbol, dt)",
+)
+_add("realized_pnl", lambda s, d: _rounded(report.realized_by_symbol(_pairs(s, d)), "pnl", places=2), f"{_PAIRS} SELECT symbol, round(sum((q - p) * 100.0), 2) AS pnl FROM n WHERE k % 2 = 0 AND q IS NOT NULL GROUP BY symbol")
+_add(
+    "five_panels",
+    lambda s, d: _rounded(report.panels(bars(s, d).filter("symbol = 'NO'").select("dt", F.col("volume").alias("position"), F.col("amount").alias("tot_value"), F.col("close").alias("capital")), bars(s, d).filter("symbol = 'RF'")), "return_pct", "market"),
+    f"{_BARS}, m AS (SELECT dt, close / first_value(close) OVER (ORDER BY dt) - 1 AS market FROM bars WHERE symbol = 'RF') SELECT dt, volume AS position, amount AS tot_value, close AS capital, round((amount / first_value(amount) OVER (ORDER BY dt) - 1) * 100, 4) AS return_pct, round(market, 4) AS market FROM bars LEFT JOIN m USING (dt) WHERE symbol = 'NO'",
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 _DOUBLES = ["open", "high", "low", "close", "volume", "amount"]
 BARS = T.StructType([T.StructField("datetime", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _DOUBLES]])
@@ -98,3 +98,36 @@ def bars_from_trades(trades: DataFrame, symbol: Column, dt: Column, price: Colum
     return rows.groupBy("symbol", "dt").agg(
         F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("q").cast("double").alias("volume"), F.sum("amount").alias("amount")
     )
+
+
+def read_store(spark: SparkSession, path: str, start: str | None = None, stop: str | None = None, symbols: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
+    """Stored bars of start <= dt < stop; symbols prune partitions, dates and fields reach the scan."""
+    columns = fields or ["open", "high", "low", "close", "volume", "amount"]
+    df = spark.read.schema("dt date, " + ", ".join(f"{c} double" for c in columns) + ", symbol string").parquet(path)
+    if symbols:
+        df = df.filter(F.col("symbol").isin(symbols))
+    if start:
+        df = df.filter(F.col("dt") >= F.lit(start).cast("date"))
+    if stop:
+        df = df.filter(F.col("dt") < F.lit(stop).cast("date"))
+    return df.select("symbol", "dt", *columns)
+
+
+def recent(df: DataFrame, until: str, days: int = 30) -> DataFrame:
+    """The rows of so many days up to a day."""
+    last = F.lit(until).cast("date")
+    return df.filter((F.col("dt") > F.date_sub(last, days)) & (F.col("dt") <= last))
+
+
+def prefixed(df: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose column starts with one of the prefixes."""
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | F.startswith(F.col(column), F.lit(p))
+    return df.filter(found)
+
+
+def row_slice(df: DataFrame, start: int, stop: int) -> DataFrame:
+    """Rows start <= place < stop of each symbol in order of dt, places from 0."""
+    w = Window.partitionBy("symbol").orderBy("dt")
+    return df.withColumn("__n", F.row_number().over(w) - 1).filter((F.col("__n") >= start) & (F.col("__n") < stop)).drop("__n")
