@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -15,7 +16,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.sparkContext.setCheckpointDir(f"file://{__import__('tempfile').mkdtemp()}")
+    session.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp()}")
     return session
 
 

@@ -24,8 +24,7 @@ def with_weekly(df: DataFrame, weekly: DataFrame, mode: str = "left") -> DataFra
 def daily_features(bars: DataFrame) -> DataFrame:
     """From back-adjusted bars: weekly MACD as known each day and as joined, force index, KDJ, EMAs, amplitude, return."""
     df = weekly_macd_pit(bars.na.drop("any"))
-    weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", F.col("macd_close").alias("macd_close_vis"))
-    weekly = weekly.withColumnRenamed("macd_close_vis", "macd_close_weekly_vis")
+    weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", F.col("macd_close").alias("macd_close_weekly_vis"))
     joined = forward_fill(df.join(weekly, ["symbol", "dt"], "left"), [c for c in df.columns if c not in ("symbol", "dt")] + ["macd_close_weekly_vis"])
     df = kdj(force_index(joined))
     for n in (5, 10, 13, 20):
@@ -34,6 +33,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
     return df.withColumns({"amplitude": amplitude(), "returns": log_return()}).na.drop("any")
 
 
+# The columns of the older pipeline's output.
 CSV_COLUMNS = ["symbol", "dt", "open", "high", "low", "close", "volume", "amplitude", "returns", "macd_close_weekly", "force_index_close", "MA5", "ema5", "ema10", "ema20"]
 
 
