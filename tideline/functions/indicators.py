@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.functions.windows import by_symbol, diff, ema, lag, rolling, running, sma, week_end
+from tideline.functions.windows import averages, by_symbol, diff, ema, lag, rolling, running, sma, week_end
 
 
 def macd(df: DataFrame, c: str = "close", out: str = "macd", short: int = 12, long: int = 26, signal: int = 9) -> DataFrame:
     """Adds out, the histogram: EMA(short) - EMA(long) less its own EMA(signal)."""
-    a, b, m, s = (f"__{out}_{n}" for n in ("short", "long", "line", "signal"))
-    df = ema(ema(df, c, a, span=short), c, b, span=long).withColumn(m, F.col(a) - F.col(b))
-    return ema(df, m, s, span=signal).withColumn(out, F.col(m) - F.col(s)).drop(a, b, m, s)
+    a, b, s = (f"__{out}_{n}" for n in ("short", "long", "signal"))
+    df = _macd_state(df, c, a, b, s, short, long, signal)
+    return df.withColumn(out, F.col(a) - F.col(b) - F.col(s)).drop(a, b, s)
+
+
+def _macd_state(df: DataFrame, c: str, a: str, b: str, s: str, short: int, long: int, signal: int) -> DataFrame:
+    """Adds the averages a (short) and b (long) of c, and s (signal) of their difference."""
+    return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: y[a] - y[b], 2 / (signal + 1))})
 
 
 def force_index(df: DataFrame, c: str = "close", out: str = "force_index_close", period: int = 2) -> DataFrame:
@@ -24,7 +29,7 @@ def kdj(df: DataFrame, n: int = 5, com: float = 3) -> DataFrame:
     """Adds low_n, high_n, RSV, K, D, J; in a flat window RSV is null and K, D carry on."""
     df = df.withColumns({"low_n": rolling(F.min, "low", n, full=False), "high_n": rolling(F.max, "high", n, full=False)})
     df = df.withColumn("RSV", (F.col("close") - F.col("low_n")) / F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0)) * 100)
-    df = ema(ema(df, "RSV", "K", com=com), "K", "D", com=com)
+    df = averages(df, "RSV", {"K": 1 / (1 + com)}, {"D": (lambda y: y["K"], 1 / (1 + com))})
     return df.withColumn("J", F.col("K") * 3 - F.col("D") * 2)
 
 
@@ -79,8 +84,8 @@ def weekly_macd_pit(df: DataFrame, short: int = 12, long: int = 26, signal: int
     the histogram is 0 and _last null.
     """
     fridays = df.filter(F.weekday("dt") == 4).select("symbol", "dt", "close")
-    fridays = ema(ema(fridays, "close", "__a", span=short), "close", "__b", span=long).withColumn("__m", F.col("__a") - F.col("__b"))
-    fridays = ema(fridays, "__m", "__s", span=signal).select("symbol", "dt", F.struct("__a", "__b", "__s", "__m").alias("__state"))
+    fridays = _macd_state(fridays, "close", "__a", "__b", "__s", short, long, signal).withColumn("__m", F.col("__a") - F.col("__b"))
+    fridays = fridays.select("symbol", "dt", F.struct("__a", "__b", "__s", "__m").alias("__state"))
     df = df.join(fridays, ["symbol", "dt"], "left")
     state = F.last("__state", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("__state", state)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -76,50 +77,79 @@ def standardized(c: str | Column, eps: float = 0.0) -> Column:
     return (_col(c) - F.avg(_col(c)).over(w)) / F.nullif(F.stddev_samp(_col(c)).over(w) + eps, F.lit(0.0))
 
 
-#: Decay over which earlier values vanish in double precision.
+#: Decay (as a power of e) over which earlier values vanish in double precision.
 _SPAN = 39.0
 
 
-def recurrence(df: DataFrame, keep: Column, add: Column, out: str, order: Column | None = None, key: list[str] | None = None) -> DataFrame:
-    """Adds out: y = keep * y' + add in each symbol's order, from y' = 0; keep in (0, 1], null add: y' goes on.
+def vanishing(keep: float) -> int | None:
+    """Values after which one that shrinks by keep with each is gone; None: it stays for ever."""
+    return None if keep >= 1 else 64 if keep <= 0 else max(64, math.ceil(_SPAN / -math.log(keep)))
 
-    A scan by windows only: rows fall into blocks over which the product of keep shrinks
-    by exp(-39), so a block needs its own rows and the end of the block before it. Where
-    keep is zero or null nothing earlier counts. Rows with keep = 1 for ever make one block.
+
+def folded(df: DataFrame, given: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], out: dict[str, str], values: int | None, order: Column | None = None) -> DataFrame:
+    """Adds the columns of out (names and types): step(state, given) row by row in each symbol's order, from nulls.
+
+    given holds what a step reads; rows fall into blocks of as many `values`, rows in which the
+    first of given isn't null. A block starts from what its steps make of the block before it,
+    so a state must forget what is further back; None for one that doesn't makes one block.
+    All blocks are folded side by side, and all columns of a state in one go.
     """
-    key, order = key or ["symbol"], F.col("dt") if order is None else order
-    w = Window.partitionBy(*key).orderBy(order)
-    all_ = w.rowsBetween(Window.unboundedPreceding, 0)
-    d, s, b, x, low, last, sort = (f"__{out}_{n}" for n in ("d", "s", "b", "x", "l", "p", "o"))
-    cleared = F.when(F.coalesce(keep, F.lit(0.0)) > 0, -F.ln(keep)).otherwise(2 * _SPAN)
-    df = df.withColumn(sort, order).withColumn(x, add).withColumn(d, F.when(F.col(x).isNull(), 0.0).otherwise(cleared))
-    df = df.withColumn(s, F.sum(d).over(all_)).withColumn(b, F.floor(F.col(s) / _SPAN))
-    inside = Window.partitionBy(*key, b).orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(low, F.sum(F.col(x) * F.exp(F.col(s) - F.col(b) * _SPAN)).over(inside) * F.exp(F.col(b) * _SPAN - F.col(s)))
-    before = Window.partitionBy(*key).orderBy(b).rangeBetween(-1, -1)
-    df = df.withColumn(last, F.max(F.struct(s, low)).over(before))
-    carried = F.coalesce(F.col(f"{last}.{low}") * F.exp(F.col(f"{last}.{s}") - F.col(s)), F.lit(0.0))
-    # A block without values of its own has the carried value alone.
-    value = F.when(F.col(low).isNull() & F.col(last).isNull(), None).otherwise(F.coalesce(low, F.lit(0.0)) + carried)
-    return df.withColumn(out, value).drop(d, s, b, x, low, last, sort)
+    w = by_symbol(F.col("dt") if order is None else order)
+    first = next(iter(given.values()))
+    block = F.lit(0) if values is None else F.floor(F.count(first).over(w.rowsBetween(Window.unboundedPreceding, 0)) / values)
+    own, before = "__tideline_own", "__tideline_before"
+    row = F.struct(F.struct(*[c for c in df.columns if c != "symbol"]).alias("row"), F.struct(*[c.alias(n) for n, c in given.items()]).alias("given"))
+    placed = df.select("symbol", block.alias("__block"), F.struct((F.col("dt") if order is None else order).alias("at"), row.alias("all")).alias(own))
+    blocks = placed.groupBy("symbol", "__block").agg(F.transform(F.sort_array(F.collect_list(own)), lambda e: e["all"]).alias(own))
+    blocks = blocks.withColumn(before, F.lag(F.transform(own, lambda e: e["given"])).over(by_symbol("__block")))
+
+    def stepped(state: Column, e: Column) -> Column:
+        return F.struct(*[c.cast(out[n]).alias(n) for n, c in step(state, e).items()])
+
+    start = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in out.items()])
+    begin = F.coalesce(F.aggregate(before, start, stepped), start)
+    states = F.aggregate(own, F.array(begin), lambda done, e: F.concat(done, F.array(stepped(F.element_at(done, -1), e["given"]))))
+
+    def flat(e: Column, s: Column) -> Column:
+        return F.struct(*[e["row"][c].alias(c) for c in df.columns if c != "symbol"], *[s[n].alias(n) for n in out])
+
+    # The fields come out as columns of inline: a projection to them would double what Catalyst
+    # infers from a filter with each. The outer form, as no block is empty and inline would
+    # fold twice, once to look whether it is.
+    each = blocks.select("symbol", F.inline_outer(F.zip_with(own, F.slice(states, 2, F.size(own)), flat)))
+    return each.select(*df.columns, *out)
+
+
+def averages(df: DataFrame, c: str, alphas: dict[str, float], of: dict[str, tuple[Callable[[dict[str, Column]], Column], float]] | None = None) -> DataFrame:
+    """Adds an exponential average of c with y0 = x0 for each name and alpha, all in one fold.
+
+    of has averages of what a function makes of the averages before them. Leading nulls give
+    null. A null inside carries y on, and the weight of the past decays for each skipped row:
+    with g rows since the last value y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
+    """
+    gap, of = "__tideline_gap", of or {}
+
+    def step(state: Column, given: Column) -> dict[str, Column]:
+        x, g = given["x"], state[gap]
+        out = {gap: F.when(x.isNotNull(), 1).otherwise(g + 1)}
+        for n, a in alphas.items():
+            left = F.when(g == 1, 1 - a).otherwise(F.pow(F.lit(1 - a), g))
+            out[n] = F.when(x.isNull(), state[n]).when(state[n].isNull(), x).otherwise((left * state[n] + x * a) / (left + a))
+        for n, (f, a) in of.items():
+            y = f(out)
+            out[n] = F.coalesce(state[n] * (1 - a) + y * a, y)
+        return out
+
+    slowest = min([*alphas.values(), *[a for _, a in of.values()]])
+    types = {gap: "int", **dict.fromkeys([*alphas, *of], "double")}
+    return folded(df, {"x": F.col(c).cast("double")}, step, types, vanishing(1 - slowest)).drop(gap)
 
 
 def ema(df: DataFrame, c: str, out: str, span: float | None = None, com: float | None = None) -> DataFrame:
-    """Adds out, the exponential average with y0 = x0: by span (alpha = 2 / (n + 1)) or com (1 / (1 + com)).
+    """Adds out, the exponential average of c by span (alpha = 2 / (n + 1)) or com (1 / (1 + com)); see averages."""
+    return averages(df, c, {out: 2 / (span + 1) if span is not None else 1 / (1 + com)})
 
-    Leading nulls give null. A null inside carries y on, and the weight of the past decays
-    for each skipped row: with g rows since the last value
-    y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
-    """
-    alpha = 2 / (span + 1) if span is not None else 1 / (1 + com)
-    w, g, n = by_symbol(), f"__{out}_g", f"__{out}_n"
-    row = F.row_number().over(w)
-    df = df.withColumn(n, row)
-    previous = F.last(F.when(F.col(c).isNotNull(), F.col(n)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn(g, F.col(n) - previous)
-    if alpha == 1:
-        return forward_fill(df.withColumn(out, F.col(c)), [out]).drop(g, n)
-    left = F.exp(F.col(g) * math.log(1 - alpha))
-    keep = F.when(F.col(g).isNull(), 1.0).otherwise(left / (left + alpha))
-    add = F.when(F.col(g).isNull(), F.col(c)).otherwise(F.col(c) * alpha / (left + alpha))
-    return recurrence(df, keep, add.cast("double"), out).drop(g, n)
+
+def ema_spans(df: DataFrame, spans: tuple[int, ...], c: str = "close") -> DataFrame:
+    """Adds ema<n> of c for each span n."""
+    return averages(df, c, {f"ema{n}": 2 / (n + 1) for n in spans})

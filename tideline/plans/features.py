@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.indicators import amplitude, force_index, kdj, log_return, macd, rsi, weekly_bars, weekly_macd_pit
-from tideline.functions.windows import ema, forward_fill, sma
+from tideline.functions.windows import ema_spans, forward_fill, sma
 
 SUFFIX = "_weekly"
 
@@ -27,9 +27,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
     weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", F.col("macd_close").alias("macd_close_weekly_vis"))
     joined = forward_fill(df.join(weekly, ["symbol", "dt"], "left"), [c for c in df.columns if c not in ("symbol", "dt")] + ["macd_close_weekly_vis"])
     df = kdj(force_index(joined))
-    for n in (5, 10, 13, 20):
-        df = ema(df, "close", f"ema{n}", span=n)
-    df = df.na.drop("any")
+    df = ema_spans(df, (5, 10, 13, 20)).na.drop("any")
     return df.withColumns({"amplitude": amplitude(), "returns": log_return()}).na.drop("any")
 
 
@@ -41,9 +39,7 @@ def file_features(bars: DataFrame) -> DataFrame:
     """The older pipeline over adjusted bars: weekly joined with synthetic Fridays, moving averages and RSI after trimming."""
     weekly = macd(weekly_bars(bars), "close", "macd_close")
     df = force_index(with_weekly(bars, weekly, "outer"))
-    for n in (5, 10, 20):
-        df = ema(df, "close", f"ema{n}", span=n)
-    df = df.na.drop("any")
+    df = ema_spans(df, (5, 10, 20)).na.drop("any")
     df = df.withColumns({"amplitude": amplitude(), "returns": log_return()})
     df = df.withColumns({f"MA{n}": sma("close", n) for n in (5, 10, 20)})
     df = rsi(df).na.drop("any")

@@ -35,9 +35,7 @@ def featured(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
     weekly = I.macd(I.weekly_bars(b), "close", "macd_close").select("symbol", "dt", "macd_close")
     df = I.force_index(with_weekly(b, weekly)).withColumnRenamed("macd_close_weekly", "macd_close_weekly_vis")
-    for n in (5, 10, 13):
-        df = W.ema(df, "close", f"ema{n}", span=n)
-    return df
+    return W.ema_spans(df, (5, 10, 13))
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
@@ -170,7 +168,7 @@ _add(
 )
 _add(
     "ema",
-    lambda s, d: _rounded(_days(W.ema(W.ema(bars(s, d), "close", "ema2", span=2), "close", "ema13", span=13), "ema2", "ema13"), "ema2", "ema13"),
+    lambda s, d: _rounded(_days(W.ema_spans(bars(s, d), (2, 13)), "ema2", "ema13"), "ema2", "ema13"),
     f"""{_BARS}, {_EMA13}, e2 AS (
   SELECT symbol, dt, n, close AS e FROM numbered WHERE n = 1
   UNION ALL SELECT r.symbol, r.dt, r.n, m.e / 3 + r.close * 2 / 3 FROM e2 m JOIN numbered r ON r.symbol = m.symbol AND r.n = m.n + 1)
