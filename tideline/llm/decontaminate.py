@@ -155,12 +155,12 @@ def _sketch(idf: np.ndarray) -> Callable:
                     continue
                 starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
                 square = np.add.reduceat(idf[word] ** 2, starts)
-                y = np.add.reduceat(weighted[word], starts) / np.maximum(square, 1e-9)[:, None]
-                order = np.argsort(word, kind="stable")
+                y = np.add.reduceat(weighted.take(word, axis=0), starts) / np.maximum(square, 1e-9)[:, None]
+                order = np.argsort(word.astype(np.min_scalar_type(len(idf))), kind="stable")  # short numbers sort faster
                 row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))
                 starts = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
                 here = word[order][starts]
-                out[here] += np.add.reduceat(y[row[order]], starts) * idf[here][:, None]
+                out[here] += np.add.reduceat(y.take(row[order], axis=0), starts) * idf[here][:, None]
                 seen[here] = True
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(out[at, k]) for k in range(SKETCH))], ["word", *(f"y{k}" for k in range(SKETCH))])
@@ -318,13 +318,15 @@ def candidates(rows: list[np.ndarray], latent: np.ndarray, query: Query) -> Iter
     full = np.flatnonzero(known[:-1] + known[1:] >= query.least)
     for i in range(0, len(full), 4096):
         p = full[i : i + 4096]
-        needed, place = np.unique(np.concatenate([p, p + 1]), return_inverse=True)
-        at = np.flatnonzero(strides[needed].ravel())
-        sums = np.zeros((len(needed), latent.shape[1]), np.float32)
+        met = np.zeros(p[-1] - p[0] + 2, bool)
+        met[p - p[0]] = met[p - p[0] + 1] = True
+        place, words = np.cumsum(met) - 1, strides[p[0] : p[-1] + 2][met].ravel()
+        at = np.flatnonzero(words)
+        sums = np.zeros((len(words) // stride, latent.shape[1]), np.float32)
         owners = at // stride
         starts = np.flatnonzero(np.append(True, np.diff(owners) != 0))
-        sums[owners[starts]] = np.add.reduceat(latent[strides[needed].ravel()[at] - 1], starts)
-        z = _unit(sums[place[: len(p)]] + sums[place[len(p) :]])
+        sums[owners[starts]] = np.add.reduceat(latent.take(words[at] - 1, axis=0), starts)
+        z = _unit(sums[place[p - p[0]]] + sums[place[p - p[0] + 1]])
         x, y = np.divmod(np.flatnonzero(z @ query.vectors >= query.scale.cosine), len(query.owner))
         s, k = np.divmod(np.unique(p[x] * len(query.needed) + query.owner[y]), len(query.needed))
         there = np.concatenate([strides[s], strides[s + 1]], axis=1) + k[:, None] * (len(latent) + 1)
@@ -367,7 +369,7 @@ def _leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sketch = np.zeros((size, SKETCH))
     sketch[sums["word"].to_numpy(int)] = sums[names].to_numpy()
     if sketch.any():
-        latent = whitened(sketch) * idf[:, None]
+        latent = np.ascontiguousarray(whitened(sketch) * idf[:, None])  # rows are gathered
         for items in _items_in_blocks(known.items):
             found = found.union(words.mapInArrow(_search(spark.sparkContext.broadcast((items, latent, queries_of(items, latent)))), schema))
     return found
