@@ -25,7 +25,7 @@ from tideline.llm.text import pieces, utf8
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Matches whose ids a worker remembers from text to text, and the letters of the longest of them.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 REMEMBERED_LETTERS = 48
 #: Rows of an output batch.
 ROWS = 512
@@ -155,35 +155,31 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
 
 
-def _encode(shared) -> Callable:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in pieces(offsets):
-                for a in range(i, j, ROWS):
-                    b = min(j, a + ROWS)
-                    ids = [codec.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode()) for r in range(a, b)]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], _lists(ids)], ["doc_id", "ids"])
+Batches = Iterator[pa.RecordBatch]
 
-    return encode
 
+def _encoded(codec: Codec, batches: Batches) -> Batches:
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        for i, j in pieces(offsets):
+            for a in range(i, j, ROWS):
+                b = min(j, a + ROWS)
+                ids = [codec.encode(data[offsets[r] : offsets[r + 1]].tobytes().decode()) for r in range(a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], _lists(ids)], ["doc_id", "ids"])
 
-def _decode(shared) -> Callable:
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                ids = part.column("ids")
-                data = [None if own is None else codec.decode(own.to_numpy()) for own in (ids[r].values for r in range(len(ids)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
-    return decode
+def _decoded(codec: Codec, batches: Batches) -> Batches:
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            part = batch.slice(a, ROWS)
+            ids = part.column("ids")
+            data = [None if own is None else codec.decode(own.to_numpy()) for own in (x.values for x in ids)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(data, pa.binary())], ["doc_id", "ids", "data"])
 
 
-def _shared(spark: SparkSession, path: str, pattern: str):
-    return spark.sparkContext.broadcast(load(path, pattern))
+def _with_codec(spark: SparkSession, path: str, pattern: str, work: Callable[[Codec, Batches], Batches]) -> Callable[[Batches], Batches]:
+    shared = spark.sparkContext.broadcast(load(path, pattern))
+    return lambda batches: work(_codec(shared.value), batches)
 
 
 def encoded(documents: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -194,10 +190,25 @@ def encoded(documents: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN
     gives an empty one. A match of any length is merged as a whole.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_encode(_shared(documents.sparkSession, path, pattern)), "doc_id long, ids array<int>")
+    return texts.mapInArrow(_with_codec(documents.sparkSession, path, pattern, _encoded), "doc_id long, ids array<int>")
 
 
 def decoded(tokens: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id, ids, data: the bytes that ids stand for; null ids give null. Bytes needn't be whole characters."""
     rows = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    return rows.mapInArrow(_decode(_shared(tokens.sparkSession, path, pattern)), "doc_id long, ids array<int>, data binary")
+    return rows.mapInArrow(_with_codec(tokens.sparkSession, path, pattern, _decoded), "doc_id long, ids array<int>, data binary")
+
+
+def round_trip(documents: DataFrame, then: Callable[[Batches], Batches] | None = None, schema: str = "doc_id long, ids array<int>, data binary", path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, ids, data: each text's ids and what they decode to, by one worker and one vocabulary in memory.
+
+    then makes other rows, of the given schema, of these batches before they leave the worker.
+    Odd rows as in `encoded`.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def both(codec: Codec, batches: Batches) -> Batches:
+        rows = _decoded(codec, _encoded(codec, batches))
+        return then(rows) if then else rows
+
+    return texts.mapInArrow(_with_codec(documents.sparkSession, path, pattern, both), schema)

@@ -26,8 +26,7 @@ def _id_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def byte_bpe_digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: texts to ids, and these to bytes again."""
-    both = byte_bpe.decoded(byte_bpe.encoded(documents))
-    digests = both.mapInArrow(_id_digests, "doc_id long, n_tokens long, ids_sha256 string, data binary")
+    digests = byte_bpe.round_trip(documents, _id_digests, "doc_id long, n_tokens long, ids_sha256 string, data binary")
     return digests.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
 
 
