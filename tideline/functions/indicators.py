@@ -16,7 +16,7 @@ def macd(df: DataFrame, c: str = "close", out: str = "macd", short: int = 12, lo
 
 def _macd_state(df: DataFrame, c: str, a: str, b: str, s: str, short: int, long: int, signal: int) -> DataFrame:
     """Adds the averages a (short) and b (long) of c, and s (signal) of their difference."""
-    return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: y[a] - y[b], 2 / (signal + 1))})
+    return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: y(a) - y(b), 2 / (signal + 1))})
 
 
 def force_index(df: DataFrame, c: str = "close", out: str = "force_index_close", period: int = 2) -> DataFrame:
@@ -29,7 +29,7 @@ def kdj(df: DataFrame, n: int = 5, com: float = 3) -> DataFrame:
     """Adds low_n, high_n, RSV, K, D, J; in a flat window RSV is null and K, D carry on."""
     df = df.withColumns({"low_n": rolling(F.min, "low", n, full=False), "high_n": rolling(F.max, "high", n, full=False)})
     df = df.withColumn("RSV", (F.col("close") - F.col("low_n")) / F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0)) * 100)
-    df = averages(df, "RSV", {"K": 1 / (1 + com)}, {"D": (lambda y: y["K"], 1 / (1 + com))})
+    df = averages(df, "RSV", {"K": 1 / (1 + com)}, {"D": (lambda y: y("K"), 1 / (1 + com))})
     return df.withColumn("J", F.col("K") * 3 - F.col("D") * 2)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tideline.functions.scan import linear
+
 
 def by_symbol(*order: str | Column) -> WindowSpec:
     """Rows of a symbol in order of dt: one spec for all functions, so that one sort serves them."""
@@ -77,72 +78,34 @@ def standardized(c: str | Column, eps: float = 0.0) -> Column:
     return (_col(c) - F.avg(_col(c)).over(w)) / F.nullif(F.stddev_samp(_col(c)).over(w) + eps, F.lit(0.0))
 
 
-#: Decay (as a power of e) over which earlier values vanish in double precision.
-_SPAN = 39.0
-
-
-def vanishing(keep: float) -> int | None:
-    """Values after which one that shrinks by keep with each is gone; None: it stays for ever."""
-    return None if keep >= 1 else 64 if keep <= 0 else max(64, math.ceil(_SPAN / -math.log(keep)))
-
+def averages(df: DataFrame, c: str, alphas: dict[str, float], of: dict[str, tuple[Callable[[Callable[[str], Column]], Column], float]] | None = None) -> DataFrame:
+    """Adds an exponential average of c with y0 = x0 for each name and alpha, all in one scan.
 
-def folded(df: DataFrame, given: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], out: dict[str, str], values: int | None, order: Column | None = None) -> DataFrame:
-    """Adds the columns of out (names and types): step(state, given) row by row in each symbol's order, from nulls.
-
-    given holds what a step reads; rows fall into blocks of as many `values`, rows in which the
-    first of given isn't null. A block starts from what its steps make of the block before it,
-    so a state must forget what is further back; None for one that doesn't makes one block.
-    All blocks are folded side by side, and all columns of a state in one go.
-    """
-    w = by_symbol(F.col("dt") if order is None else order)
-    first = next(iter(given.values()))
-    block = F.lit(0) if values is None else F.floor(F.count(first).over(w.rowsBetween(Window.unboundedPreceding, 0)) / values)
-    own, before = "__tideline_own", "__tideline_before"
-    row = F.struct(F.struct(*[c for c in df.columns if c != "symbol"]).alias("row"), F.struct(*[c.alias(n) for n, c in given.items()]).alias("given"))
-    placed = df.select("symbol", block.alias("__block"), F.struct((F.col("dt") if order is None else order).alias("at"), row.alias("all")).alias(own))
-    blocks = placed.groupBy("symbol", "__block").agg(F.transform(F.sort_array(F.collect_list(own)), lambda e: e["all"]).alias(own))
-    blocks = blocks.withColumn(before, F.lag(F.transform(own, lambda e: e["given"])).over(by_symbol("__block")))
-
-    def stepped(state: Column, e: Column) -> Column:
-        return F.struct(*[c.cast(out[n]).alias(n) for n, c in step(state, e).items()])
-
-    start = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in out.items()])
-    begin = F.coalesce(F.aggregate(before, start, stepped), start)
-    states = F.aggregate(own, F.array(begin), lambda done, e: F.concat(done, F.array(stepped(F.element_at(done, -1), e["given"]))))
-
-    def flat(e: Column, s: Column) -> Column:
-        return F.struct(*[e["row"][c].alias(c) for c in df.columns if c != "symbol"], *[s[n].alias(n) for n in out])
-
-    # The fields come out as columns of inline: a projection to them would double what Catalyst
-    # infers from a filter with each. The outer form, as no block is empty and inline would
-    # fold twice, once to look whether it is.
-    each = blocks.select("symbol", F.inline_outer(F.zip_with(own, F.slice(states, 2, F.size(own)), flat)))
-    return each.select(*df.columns, *out)
-
-
-def averages(df: DataFrame, c: str, alphas: dict[str, float], of: dict[str, tuple[Callable[[dict[str, Column]], Column], float]] | None = None) -> DataFrame:
-    """Adds an exponential average of c with y0 = x0 for each name and alpha, all in one fold.
-
-    of has averages of what a function makes of the averages before them. Leading nulls give
-    null. A null inside carries y on, and the weight of the past decays for each skipped row:
-    with g rows since the last value y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
+    of has averages of what a function makes of the averages before them (by name). Leading
+    nulls give null. A null inside carries y on, and the weight of the past decays for each
+    skipped row: with g rows since the last value y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
     """
-    gap, of = "__tideline_gap", of or {}
-
-    def step(state: Column, given: Column) -> dict[str, Column]:
-        x, g = given["x"], state[gap]
-        out = {gap: F.when(x.isNotNull(), 1).otherwise(g + 1)}
+    w, x, of = by_symbol(), F.col(c).cast("double"), of or {}
+    place = F.row_number().over(w)
+    gap, seen = "__gap", "__seen"
+    numbered = df.withColumns({"__place": place, seen: F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    last = F.last(F.when(x.isNotNull(), F.col("__place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = numbered.withColumn(gap, F.col("__place") - last).drop("__place")
+    given = {"x": x, seen: F.col(seen), gap: F.col(gap)}
+
+    def values(v: Callable[[str], Column]) -> dict[str, tuple[Column, Column]]:
+        fresh, out = v(gap).isNull() & v("x").isNotNull(), {}
         for n, a in alphas.items():
-            left = F.when(g == 1, 1 - a).otherwise(F.pow(F.lit(1 - a), g))
-            out[n] = F.when(x.isNull(), state[n]).when(state[n].isNull(), x).otherwise((left * state[n] + x * a) / (left + a))
-        for n, (f, a) in of.items():
-            y = f(out)
-            out[n] = F.coalesce(state[n] * (1 - a) + y * a, y)
+            left = F.when(v(gap) == 1, 1 - a).otherwise(F.pow(F.lit(1 - a), v(gap)))
+            out[n] = (F.when(v("x").isNull(), 1.0).when(fresh, 0.0).otherwise(left / (left + a)), F.when(v("x").isNull(), 0.0).when(fresh, v("x")).otherwise(v("x") * a / (left + a)))
         return out
 
-    slowest = min([*alphas.values(), *[a for _, a in of.values()]])
-    types = {gap: "int", **dict.fromkeys([*alphas, *of], "double")}
-    return folded(df, {"x": F.col(c).cast("double")}, step, types, vanishing(1 - slowest)).drop(gap)
+    def values_of(v: Callable[[str], Column]) -> dict[str, tuple[Column, Column]]:
+        fresh, early = v(gap).isNull() & v("x").isNotNull(), v(seen) == 0
+        return {n: (F.when(early | fresh, 0.0).otherwise(1 - a), F.when(early, 0.0).when(fresh, f(v)).otherwise(f(v) * a)) for n, (f, a) in of.items()}
+
+    out = linear(numbered, given, [values, values_of] if of else [values])
+    return out.withColumns({n: F.when(F.col(seen) > 0, F.col(n)) for n in [*alphas, *of]}).drop(seen, gap)
 
 
 def ema(df: DataFrame, c: str, out: str, span: float | None = None, com: float | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tideline.functions.windows import by_symbol, folded, lead, vanishing
+from tideline.functions.scan import linear
+from tideline.functions.windows import by_symbol, lead
 
 
 def forward_return(df: DataFrame, n: int = 5, c: str = "close") -> DataFrame:
@@ -44,12 +45,11 @@ def histogram(df: DataFrame, c: str, bins: int = 100) -> DataFrame:
 def discounted(df: DataFrame, reward: str, out: str = "ret", gamma: float = 0.99, done: str | None = None) -> DataFrame:
     """Adds out: R_t = r_t + gamma (1 - done_t) R_t+1 in each symbol, from the end."""
     keep = F.lit(gamma) if done is None else F.when(F.col(done) == 1, 0.0).otherwise(gamma)
-
-    def step(state, given):
-        carried = F.coalesce(state[out] * given["keep"], F.when(given["r"].isNotNull(), 0.0))
-        return {out: F.when(given["r"].isNull(), state[out]).otherwise(carried + given["r"])}
-
-    return folded(df, {"r": F.col(reward).cast("double"), "keep": keep.cast("double")}, step, {out: "double"}, vanishing(gamma), order=-F.datediff("dt", F.lit("1970-01-01")))
+    order = -F.datediff("dt", F.lit("1970-01-01"))
+    seen = F.count(reward).over(by_symbol(order).rowsBetween(Window.unboundedPreceding, 0))
+    given = {"r": F.col(reward).cast("double"), "keep": keep.cast("double")}
+    out_of = linear(df.withColumn("__seen", seen), given, [lambda v: {out: (F.when(v("r").isNull(), 1.0).otherwise(v("keep")), F.coalesce(v("r"), F.lit(0.0)))}], order)
+    return out_of.withColumn(out, F.when(F.col("__seen") > 0, F.col(out))).drop("__seen")
 
 
 def baseline_advantage(df: DataFrame, c: str) -> DataFrame:
