@@ -1,10 +1,10 @@
 """Periodic runs: stretches of words that repeat with some period, by matching aligned blocks.
 
 At scale b (a power of two) every aligned block of b words is searched, by an automaton
-over sequences of word numbers, among the b places that are b to 2b - 1 words after it. A
-stretch of period q with b <= q < 2b and at least 3q words holds an aligned block whose copy
-q words on is in it too, so each such stretch has a seed at its own scale; a seed is extended
-both ways, word by word.
+over sequences of numbers, among the b places that are b to 2b - 1 words after it. A stretch
+of period q with b <= q < 2b and at least 3q words holds an aligned block whose copy q words
+on is in it too, so each such stretch has a seed at its own scale; a seed is extended both
+ways, word by word.
 
 Two things keep that linear, a logarithm aside, for any text. A block can only have a copy
 there if each of its words comes again within 2b words; others aren't searched. And a block
@@ -30,6 +30,9 @@ LEAST = 6
 TIMES = 4
 #: Blocks of one automaton: its root has no more branches, which are looked through in a row.
 BLOCKS = 64
+#: Letters of a key: longer blocks are spelt in stretches of two, four, ... words, as the
+#: automaton goes back over the prefixes of a key that end at a place, one by one.
+DEPTH = 64
 #: Periods after which runs are sure to be found.
 _SURE = 3
 
@@ -43,25 +46,32 @@ def _recurrence(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _copies(ids: list[int], blocks: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of blocks (numbers of aligned ones) and of their copies b to 2b - 1 words on."""
-    at, copy = [], []
+def _pairs_named(names: np.ndarray, g: int) -> np.ndarray:
+    """Numbers of all stretches of 2g words from those of g words: equal stretches have equal numbers."""
+    both = names[: max(0, len(names) - g)].astype(np.int64) << 32 | names[g:]
+    return np.unique(both, return_inverse=True)[1]
+
+
+def _copies(names: np.ndarray, g: int, blocks: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of blocks (numbers of aligned ones) and of their copies b to 2b - 1 words on, by numbers of stretches of g words."""
+    at, copy, last = [], [], b // g - 1
     for near in np.split(blocks, np.flatnonzero(np.diff(blocks) > 2) + 1):
         for k in range(0, len(near), BLOCKS):
             some = near[k : k + BLOCKS].tolist()
-            names: dict[tuple[int, ...], int] = {}
-            name_of = {i: names.setdefault(tuple(ids[i * b : i * b + b]), len(names)) for i in some}
+            keys: dict[tuple[int, ...], int] = {}
+            key_of = {i: keys.setdefault(tuple(names[i * b : i * b + b : g].tolist()), len(keys)) for i in some}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-            for key, name in names.items():
-                automaton.add_word(key, name)
+            for key, number in keys.items():
+                automaton.add_word(key, number)
             automaton.make_automaton()
-            low = (some[0] + 1) * b
-            for end, name in automaton.iter(tuple(ids[low : (some[-1] + 3) * b - 1])):
-                j = low + end - b + 1
-                i = j // b - 1
-                if name_of.get(i) == name:
-                    at.append(i * b)
-                    copy.append(j)
+            low, high = (some[0] + 1) * b, (some[-1] + 3) * b - g
+            for phase in range(low, low + g):
+                for end, number in automaton.iter(tuple(names[phase:high:g].tolist())):
+                    j = phase + (end - last) * g
+                    i = j // b - 1
+                    if key_of.get(i) == number:
+                        at.append(i * b)
+                        copy.append(j)
     return np.array(at, np.int64), np.array(copy, np.int64)
 
 
@@ -111,13 +121,15 @@ def maximal_runs(ids: np.ndarray, least: int = LEAST, times: int = TIMES) -> lis
     """
     if times < _SURE:
         raise ValueError("runs of fewer than three periods may have no seed")
-    n, words = len(ids), ids.tolist()
-    again = _recurrence(ids)
+    n = len(ids)
+    again, names = _recurrence(ids), ids
     runs: dict[tuple[int, int], int] = {}
-    b = 1
+    b = g = 1
     while times * b <= n:
         blocks = np.flatnonzero((again[: n // b * b] < 2 * b).reshape(-1, b).all(axis=1))
-        at, copy = _copies(words, blocks, b) if len(blocks) else (blocks, blocks)
+        while len(blocks) and g * DEPTH < b:
+            names, g = _pairs_named(names, g), 2 * g
+        at, copy = _copies(names, g, blocks, b) if len(blocks) else (blocks, blocks)
         if len(at):
             keep = _telling(at, copy, b, runs)
             at, copy = at[keep], copy[keep]
