@@ -24,8 +24,8 @@ from tideline.llm.text import pieces, utf8
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-#: Matches whose ids a worker remembers from text to text, and the letters of the longest of them.
-REMEMBERED = 100_000
+#: Matches whose ids a worker remembers from text to text (and as many older ones), and the letters of the longest of them.
+REMEMBERED = 200_000
 REMEMBERED_LETTERS = 48
 #: Rows of an output batch.
 ROWS = 512
@@ -107,11 +107,14 @@ class Codec:
         # A match that is a token is that token, also where merging wouldn't lead to it.
         self.tokens = {s: (r,) for s, r in zip(surface, self.ranks, strict=True)}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, new: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of matches."""
+        out = {w: self.older[w] for w in new if w in self.older}
+        new = [w for w in new if w not in out]
         raw = [w.encode() for w in new]
-        out = {w: self.tokens[b] for w, b in zip(new, raw, strict=True) if b in self.tokens}
+        out.update((w, self.tokens[b]) for w, b in zip(new, raw, strict=True) if b in self.tokens)
         rest = [(w, b) for w, b in zip(new, raw, strict=True) if w not in out]
         if rest:
             ids = self.model.encode([letters(b) for _, b in rest], num_threads=1)
@@ -123,7 +126,7 @@ class Codec:
         words = self.matches(text)
         new = [w for w in set(words) if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             new = list(set(words))
         if new:
             self.known.update(self._learn(new))
