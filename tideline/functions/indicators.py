@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideline.functions.scan import blocked
 from tideline.functions.windows import averages, by_symbol, diff, ema, lag, rolling, running, sma, week_end
 
 
@@ -51,14 +52,18 @@ def log_return() -> Column:
     return F.ln(F.col("close") / lag("close"))
 
 
-def back_adjusted(df: DataFrame, first_is_one: bool = False) -> DataFrame:
+def back_adjusted(df: DataFrame, first_is_one: bool = False, block: Column | None = None) -> DataFrame:
     """Adds adj_factor, the product of previous close / pre_close, and scales open, high, low, close by it.
 
-    The first row's factor is null, and so are its prices, unless first_is_one.
+    The first row's factor is null, and so are its prices, unless first_is_one. With blocks (see
+    `blocked`; df should be a stored table then) a symbol's rows fall to many tasks.
     """
-    step = lag("close") / F.nullif(F.col("pre_close"), F.lit(0.0))
-    df = df.withColumn("__step", F.coalesce(step, F.when(F.row_number().over(by_symbol()) == 1, 1.0)) if first_is_one else step)
-    df = df.withColumn("adj_factor", F.when(F.col("__step").isNotNull(), running(F.product, "__step"))).drop("__step")
+    df = blocked(df, {"__before": ("before", "close")}, block=block) if block is not None else df.withColumn("__before", lag("close"))
+    step = F.col("__before") / F.nullif(F.col("pre_close"), F.lit(0.0))
+    # Only a first row has no close before it, as closes aren't null.
+    df = df.withColumn("__step", F.coalesce(step, F.when(F.col("__before").isNull(), 1.0)) if first_is_one else step).drop("__before")
+    df = blocked(df, {"adj_factor": ("product", "__step")}, block=block) if block is not None else df.withColumn("adj_factor", running(F.product, "__step"))
+    df = df.withColumn("adj_factor", F.when(F.col("__step").isNotNull(), F.col("adj_factor"))).drop("__step")
     return df.withColumns({c: F.col(c) * F.col("adj_factor") for c in ("open", "high", "low", "close")})
 
 

@@ -49,28 +49,30 @@ _OWN: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def blocked(df: DataFrame, wanted: dict[str, tuple[str, str | Column]], key: list[str] | None = None, order: str = "dt", block: Column | None = None) -> DataFrame:
+def blocked(df: DataFrame, wanted: dict[str, tuple[str, str | Column]], key: list[str] | None = None, order: str = "dt", block: Column | None = None, stored: bool = False) -> DataFrame:
     """Adds running aggregates of the rows up to each row: for out: (kind, column), kinds being the keys of _KINDS.
 
     first and last skip nulls; before is the value of the row before, null or not. Equal to the
     window functions over rows up to the current one (doubles but for the order in which they
     are added up). order must be unique in a key and not null; block must grow with it
-    (blocks of WIDTH days if None). df is read twice.
+    (blocks of WIDTH days if None). df is read twice; stored writes it to the checkpoint folder
+    before, where it is costly to make.
     """
+    df = df.checkpoint() if stored else df
     key = key or ["symbol"]
     block = days(order) if block is None else block
     named = {out: (kind, F.col(c) if isinstance(c, str) else c) for out, (kind, c) in wanted.items()}
     rows = df.withColumn(_BLOCK, block)
-    sums = rows.groupBy(*key, _BLOCK).agg(*[_KINDS[kind][0](c, F.col(order)).alias(f"__{out}") for out, (kind, c) in named.items()])
+    sums = rows.groupBy(*key, _BLOCK).agg(*[_KINDS[kind][0](c, F.col(order)).alias(f"__carried_{out}") for out, (kind, c) in named.items()])
     before = Window.partitionBy(*key).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(*key, _BLOCK, *[_KINDS[kind][1](F.col(f"__{out}")).over(before).alias(f"__{out}") for out, (kind, _) in named.items()])
+    carried = sums.select(*key, _BLOCK, *[_KINDS[kind][1](F.col(f"__carried_{out}")).over(before).alias(f"__carried_{out}") for out, (kind, _) in named.items()])
     inside = Window.partitionBy(*key, _BLOCK).orderBy(order)
 
     def own(kind: str, c: Column) -> Column:
         return F.lag(F.struct(c.alias("v"))).over(inside) if kind == "before" else _OWN[kind](c).over(inside.rowsBetween(Window.unboundedPreceding, 0))
 
     joined = rows.join(carried, [*key, _BLOCK], "left")
-    added = joined.withColumns({out: _KINDS[kind][2](F.col(f"__{out}"), own(kind, c)) for out, (kind, c) in named.items()})
+    added = joined.withColumns({out: _KINDS[kind][2](F.col(f"__carried_{out}"), own(kind, c)) for out, (kind, c) in named.items()})
     return added.select(*df.columns, *[out for out in named if out not in df.columns])
 
 

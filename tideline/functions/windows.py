@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tideline.functions.scan import linear
+from tideline.functions.scan import blocked, linear
 
 
 def by_symbol(*order: str | Column) -> WindowSpec:
@@ -55,7 +55,10 @@ def cumulative_product(c: str | Column) -> Column:
     return F.when(_col(c).isNotNull(), running(F.product, c))
 
 
-def forward_fill(df: DataFrame, columns: list[str]) -> DataFrame:
+def forward_fill(df: DataFrame, columns: list[str], block: Column | None = None) -> DataFrame:
+    """The last value known in place of nulls; with blocks (see `blocked`) a symbol's rows fall to many tasks."""
+    if block is not None:
+        return blocked(df, {c: ("last", c) for c in columns}, block=block)
     w = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideline.functions.scan import blocked
+
 
 def equity(ledger: DataFrame) -> DataFrame:
     """scenario_id, dt, tot_value, reward (change against the day before), cum_return of each day."""
@@ -13,10 +15,12 @@ def equity(ledger: DataFrame) -> DataFrame:
 
 
 def drawdown(values: DataFrame, key: list[str], order: str, c: str) -> DataFrame:
-    """key, max_drawdown, max_profit: the least value / running maximum - 1 and the greatest value / running minimum - 1."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = values.withColumns({"__down": F.col(c) / F.max(c).over(w) - 1, "__up": F.col(c) / F.min(c).over(w) - 1})
-    return df.groupBy(*key).agg(F.min("__down").alias("max_drawdown"), F.max("__up").alias("max_profit"))
+    """key, max_drawdown, max_profit: the least value / running maximum - 1 and the greatest value / running minimum - 1.
+
+    The extremes run over blocks of days, so that a long series isn't one task's; values is read twice.
+    """
+    df = blocked(values, {"__high": ("max", c), "__low": ("min", c)}, key, order)
+    return df.groupBy(*key).agg(F.min(F.col(c) / F.col("__high") - 1).alias("max_drawdown"), F.max(F.col(c) / F.col("__low") - 1).alias("max_profit"))
 
 
 def sharpe(values: DataFrame, key: list[str], order: str, c: str, risk_free: float = 0.0) -> DataFrame:
@@ -66,12 +70,14 @@ def named_orders(orders: DataFrame, universe: DataFrame) -> DataFrame:
     return orders.join(universe.select("symbol", "name"), "symbol", "left")
 
 
-def panels(equity: DataFrame, bars: DataFrame) -> DataFrame:
-    """One row a day for five panels: position, value, return in percent, capital, and the market's cumulative return.
+def panels(equity: DataFrame, bars: DataFrame, run: str = "scenario_id") -> DataFrame:
+    """One row a run and day for five panels: position, value, return in percent, capital, and the market's cumulative return.
 
-    equity has dt, position, tot_value and capital of one run, bars the symbol that it is held against.
+    equity has the run, dt, position, tot_value and capital, bars the one symbol that all runs
+    are held against. The first days come by aggregates, so that no task sees all days.
     """
-    order = Window.orderBy("dt")  # the days of one run: a bounded series
-    market = bars.select("dt", (F.col("close") / F.first("close").over(order) - 1).alias("market"))
-    df = equity.select("dt", "position", "tot_value", "capital").withColumn("return_pct", (F.col("tot_value") / F.first("tot_value").over(order) - 1) * 100)
-    return df.join(market, "dt", "left")
+    first_bar = bars.agg(F.min_by("close", "dt").alias("__bar"))
+    market = bars.select("dt", "close").join(F.broadcast(first_bar)).select("dt", (F.col("close") / F.col("__bar") - 1).alias("market"))
+    first_value = equity.groupBy(run).agg(F.min_by("tot_value", "dt").alias("__value"))
+    df = equity.select(run, "dt", "position", "tot_value", "capital").join(first_value, run)
+    return df.withColumn("return_pct", (F.col("tot_value") / F.col("__value") - 1) * 100).drop("__value").join(market, "dt", "left")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tideline.functions.windows import by_symbol, diff, lag, running
+from tideline.functions.scan import blocked
+from tideline.functions.windows import by_symbol, lag, running
 
 
 def previous_distinct(df: DataFrame, c: str, out: str) -> DataFrame:
@@ -44,12 +45,16 @@ def best_candidate(df: DataFrame, force: str = "force_index_close", by_size: boo
 
 
 def monotonic_runs(df: DataFrame, c: str = "close") -> DataFrame:
-    """symbol, start, end, trend: stretches of one direction by place from 0; level ones are left out."""
-    w = by_symbol()
-    df = df.select("symbol", "dt", (F.row_number().over(w) - 1).alias("place"), F.signum(F.coalesce(diff(c), F.lit(0.0))).cast("int").alias("trend"))
-    df = df.withColumn("changed", F.coalesce(F.col("trend") != F.lag("trend").over(w), F.lit(True)).cast("int"))
-    df = df.withColumn("run", F.sum("changed").over(w))
-    return df.filter("trend <> 0").groupBy("symbol", "run", "trend").agg(F.min("place").alias("start"), F.max("place").alias("end")).select("symbol", "start", "end", "trend")
+    """symbol, start, end, trend: stretches of one direction by place from 0; level ones are left out.
+
+    By blocks of days, so that a long symbol isn't one task's; what a pass adds is stored for the next.
+    """
+    df = blocked(df.select("symbol", "dt", c), {"place": ("count", F.lit(1)), "__before": ("before", c)})
+    df = df.select("symbol", "dt", (F.col("place") - 1).cast("int").alias("place"), F.signum(F.coalesce(F.col(c) - F.col("__before"), F.lit(0.0))).cast("int").alias("trend"))
+    df = blocked(df, {"__before": ("before", "trend")}, stored=True)
+    df = df.withColumn("__start", F.when(F.col("trend").eqNullSafe(F.col("__before")), None).otherwise(F.col("place")))
+    df = blocked(df.select("symbol", "dt", "place", "trend", "__start"), {"start": ("last", "__start")}, stored=True)
+    return df.filter("trend <> 0").groupBy("symbol", "start", "trend").agg(F.max("place").alias("end")).select("symbol", "start", "end", "trend")
 
 
 def lockstep(df: DataFrame) -> DataFrame:

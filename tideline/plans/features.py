@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.indicators import amplitude, force_index, kdj, log_return, macd, rsi, weekly_bars, weekly_macd_pit
 from tideline.functions.windows import ema_spans, forward_fill, sma
@@ -10,15 +10,16 @@ from tideline.functions.windows import ema_spans, forward_fill, sma
 SUFFIX = "_weekly"
 
 
-def with_weekly(df: DataFrame, weekly: DataFrame, mode: str = "left") -> DataFrame:
+def with_weekly(df: DataFrame, weekly: DataFrame, mode: str = "left", block: Column | None = None) -> DataFrame:
     """Joins weekly columns (suffixed) on the day and fills forward.
 
     left: a week whose Friday has no bar is lost, and the week before it stays in force.
     outer: such a Friday becomes a row, filled from the day before.
+    With blocks the fill goes by `blocked`.
     """
     weekly = weekly.toDF(*[c if c in ("symbol", "dt") else c + SUFFIX for c in weekly.columns])
     joined = df.join(weekly, ["symbol", "dt"], {"left": "left", "outer": "full"}[mode])
-    return forward_fill(joined, [c for c in joined.columns if c not in ("symbol", "dt")])
+    return forward_fill(joined, [c for c in joined.columns if c not in ("symbol", "dt")], block)
 
 
 def daily_features(bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline.functions import indicators as I
+from tideline.functions import scan
 from tideline.functions import windows as W
 from tideline.operators import datasets, report, signals, simulate
 from tideline.plans.features import daily_features, with_weekly
@@ -137,7 +138,7 @@ _add(
 )
 _add(
     "rolling_minmax",
-    lambda s, d: _days(bars(s, d).withColumns({"low5": W.rolling(F.min, "low", 5, False), "high5": W.rolling(F.max, "high", 5, False), "runmax": W.running(F.max, "close"), "runmin": W.running(F.min, "close")}), "low5", "high5", "runmax", "runmin"),
+    lambda s, d: _days(scan.blocked(bars(s, d), {"runmax": ("max", "close"), "runmin": ("min", "close")}).withColumns({"low5": W.rolling(F.min, "low", 5, False), "high5": W.rolling(F.max, "high", 5, False)}), "low5", "high5", "runmax", "runmin"),
     f"{_BARS} SELECT symbol, dt, min(low) OVER (w ROWS 4 PRECEDING) AS low5, max(high) OVER (w ROWS 4 PRECEDING) AS high5, max(close) OVER w AS runmax, min(close) OVER w AS runmin FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)".replace("(w ROWS 4 PRECEDING)", "(PARTITION BY symbol ORDER BY dt ROWS 4 PRECEDING)"),
 )
 _add(
@@ -147,12 +148,12 @@ _add(
 )
 _add(
     "adjusted_prices",
-    lambda s, d: _rounded(_days(I.back_adjusted(priced(s, d), first_is_one=True), "adj_factor", "open", "high", "low", "close"), "adj_factor", "open", "high", "low", "close"),
+    lambda s, d: _rounded(_days(I.back_adjusted(priced(s, d).checkpoint(), first_is_one=True, block=scan.days("dt")), "adj_factor", "open", "high", "low", "close"), "adj_factor", "open", "high", "low", "close"),
     f"{_BARS} SELECT symbol, dt, " + ", ".join(f"round({c} * power(1.1, n // 250), 4) AS {c}" for c in ("open", "high", "low", "close")) + ", round(power(1.1, n // 250), 4) AS adj_factor FROM numbered",
 )
 _add(
     "cumulative_return",
-    lambda s, d: _rounded(_days(bars(s, d).withColumn("returns", I.log_return()).withColumn("cum", W.running(F.sum, "returns")), "cum"), "cum", places=6),
+    lambda s, d: _rounded(_days(scan.blocked(bars(s, d).withColumn("returns", I.log_return()), {"cum": ("sum", "returns")}), "cum"), "cum", places=6),
     f"{_BARS} SELECT symbol, dt, CASE WHEN n > 1 THEN round(ln(close / first_value(close) OVER (PARTITION BY symbol ORDER BY dt)), 6) + 0.0 END AS cum FROM numbered",
 )
 _add(
@@ -210,7 +211,7 @@ SELECT symbol, dt, round(coalesce(m - (s * 0.8 + m * 0.2), 0), 4) + 0.0 AS macd_
 _add("weekly_macd_joined", lambda s, d: _rounded(_days(featured(s, d), "macd_close_weekly_vis"), "macd_close_weekly_vis"), f"{_BARS}, {_WEEKLY} SELECT symbol, dt, round(mw, 4) + 0.0 AS macd_close_weekly_vis FROM joined")
 _add(
     "weekly_outer_join",
-    lambda s, d: _days(with_weekly(bars(s, d), I.weekly_bars(bars(s, d)).select("symbol", "dt", "close"), "outer"), "close", "close_weekly"),
+    lambda s, d: _days(with_weekly(bars(s, d), I.weekly_bars(bars(s, d)).select("symbol", "dt", "close"), "outer", scan.days("dt")), "close", "close_weekly"),
     f"{_BARS}, {_WEEKS} SELECT symbol, dt, last_value(close IGNORE NULLS) OVER w AS close, last_value(cw IGNORE NULLS) OVER w AS close_weekly FROM (SELECT coalesce(b.symbol, k.symbol) AS symbol, coalesce(b.dt, k.we) AS dt, b.close, k.close AS cw FROM bars b FULL JOIN weeks k ON b.symbol = k.symbol AND b.dt = k.we) WINDOW w AS (PARTITION BY symbol ORDER BY dt)",
 )
 _SIGNAL3 = f"""{_BARS}, {_WEEKLY}, {_FORCE}, c0 AS (
@@ -240,7 +241,6 @@ _add(
     lambda s, d: signals.lockstep(bars(s, d)).groupBy("step").agg(F.min("dt").alias("first_dt"), _round(F.sum("close"), 4).alias("total"), F.count(F.lit(1)).alias("n")).withColumn("step", F.col("step").cast("int")),
     f"{_BARS}, m AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM bars GROUP BY symbol)) SELECT CAST(n - 1 AS INT) AS step, min(dt) AS first_dt, round(sum(close), 4) AS total, count(*) AS n FROM numbered, m WHERE n <= c GROUP BY numbered.n",
 )
-_add("common_days", lambda s, d: signals.common_days(bars(s, d)).select("symbol", "dt"), f"{_BARS} SELECT symbol, dt FROM bars SEMI JOIN (SELECT dt FROM bars GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)) USING (dt)")
 _FORWARD = f"{_BARS}, fw AS (SELECT symbol, dt, n, close, lead(close, 5) OVER (PARTITION BY symbol ORDER BY dt) / close - 1 AS r FROM numbered)"
 _add("forward_label", lambda s, d: _rounded(_days(datasets.forward_return(bars(s, d)), "fwd_return", "label"), "fwd_return", places=6), f"{_FORWARD} SELECT symbol, dt, round(r, 6) + 0.0 AS fwd_return, CAST(r > 0 AS INT) AS label FROM fw")
 _add(
@@ -291,7 +291,7 @@ _add(
     lambda s, d: tick_bars(_events(s, d).select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.col("event_id").alias("tick_id"))).withColumn("start", F.col("start").cast("timestamp_ntz")),
     "x AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS start, value, (ts, event_id) AS k FROM events) SELECT symbol, start, arg_min(value, k) AS open, max(value) AS high, min(value) AS low, arg_max(value, k) AS close, count(*) AS n FROM x GROUP BY symbol, start",
 )
-_add("chart_table", lambda s, d: report.chart(I.macd(bars(s, d)), bars(s, d).limit(0).select("symbol", F.col("dt").alias("timestamp"), F.lit("buy").alias("order_type")), "macd").select("symbol", "dt", "colour"), f"{_BARS}, {_macd_sql('numbered', 'm', 'dt')} SELECT symbol, dt, CASE WHEN a - b - s >= 0 THEN 'green' ELSE 'red' END AS colour FROM m")
+_add("chart_table", lambda s, d: report.chart(I.macd(bars(s, d)), _fills(bars(s, d)), "macd").select("symbol", "dt", "colour", "marker"), f"{_BARS}, {_macd_sql('numbered', 'm', 'dt')}, f AS (SELECT symbol, dt, CASE WHEN symbol LIKE 'A%' THEN low ELSE high END AS marker FROM bars WHERE day(dt) = 1) SELECT m.symbol, m.dt, CASE WHEN a - b - s >= 0 THEN 'green' ELSE 'red' END AS colour, marker FROM m LEFT JOIN f ON f.symbol = m.symbol AND f.dt = m.dt")
 _add("feature_frame", lambda s, d: daily_features(I.back_adjusted(priced(s, d))))
 
 
@@ -353,6 +353,6 @@ _add(
 _add("realized_pnl", lambda s, d: _rounded(report.realized_by_symbol(_pairs(s, d)), "pnl", places=2), f"{_PAIRS} SELECT symbol, round(sum((q - p) * 100.0), 2) AS pnl FROM n WHERE k % 2 = 0 AND q IS NOT NULL GROUP BY symbol")
 _add(
     "five_panels",
-    lambda s, d: _rounded(report.panels(bars(s, d).filter("symbol = 'NO'").select("dt", F.col("volume").alias("position"), F.col("amount").alias("tot_value"), F.col("close").alias("capital")), bars(s, d).filter("symbol = 'RF'")), "return_pct", "market"),
-    f"{_BARS}, m AS (SELECT dt, close / first_value(close) OVER (ORDER BY dt) - 1 AS market FROM bars WHERE symbol = 'RF') SELECT dt, volume AS position, amount AS tot_value, close AS capital, round((amount / first_value(amount) OVER (ORDER BY dt) - 1) * 100, 4) AS return_pct, round(market, 4) AS market FROM bars LEFT JOIN m USING (dt) WHERE symbol = 'NO'",
+    lambda s, d: _rounded(report.panels(bars(s, d).select(F.col("symbol").alias("scenario_id"), "dt", F.col("volume").alias("position"), F.col("amount").alias("tot_value"), F.col("close").alias("capital")), bars(s, d).filter("symbol = 'RF'")), "return_pct", "market"),
+    f"{_BARS}, m AS (SELECT dt, close / first_value(close) OVER (ORDER BY dt) - 1 AS market FROM bars WHERE symbol = 'RF') SELECT symbol AS scenario_id, dt, volume AS position, amount AS tot_value, close AS capital, round((amount / first_value(amount) OVER (PARTITION BY symbol ORDER BY dt) - 1) * 100, 4) AS return_pct, round(market, 4) AS market FROM bars LEFT JOIN m USING (dt)",
 )
