@@ -11,11 +11,11 @@ from tideline.functions.windows import averages, by_symbol, diff, ema, lag, roll
 def macd(df: DataFrame, c: str = "close", out: str = "macd", short: int = 12, long: int = 26, signal: int = 9) -> DataFrame:
     """Adds out, the histogram: EMA(short) - EMA(long) less its own EMA(signal)."""
     a, b, s = (f"__{out}_{n}" for n in ("short", "long", "signal"))
-    df = _macd_state(df, c, a, b, s, short, long, signal)
+    df = macd_state(df, c, a, b, s, short, long, signal)
     return df.withColumn(out, F.col(a) - F.col(b) - F.col(s)).drop(a, b, s)
 
 
-def _macd_state(df: DataFrame, c: str, a: str, b: str, s: str, short: int, long: int, signal: int) -> DataFrame:
+def macd_state(df: DataFrame, c: str, a: str, b: str, s: str, short: int, long: int, signal: int) -> DataFrame:
     """Adds the averages a (short) and b (long) of c, and s (signal) of their difference."""
     return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: y(a) - y(b), 2 / (signal + 1))})
 
@@ -89,7 +89,7 @@ def weekly_macd_pit(df: DataFrame, short: int = 12, long: int = 26, signal: int
     the histogram is 0 and _last null.
     """
     fridays = df.filter(F.weekday("dt") == 4).select("symbol", "dt", "close")
-    fridays = _macd_state(fridays, "close", "__a", "__b", "__s", short, long, signal).withColumn("__m", F.col("__a") - F.col("__b"))
+    fridays = macd_state(fridays, "close", "__a", "__b", "__s", short, long, signal).withColumn("__m", F.col("__a") - F.col("__b"))
     fridays = fridays.select("symbol", "dt", F.struct("__a", "__b", "__s", "__m").alias("__state"))
     df = df.join(fridays, ["symbol", "dt"], "left")
     state = F.last("__state", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1))
