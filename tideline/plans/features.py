@@ -23,10 +23,15 @@ def with_weekly(df: DataFrame, weekly: DataFrame, mode: str = "left", block: Col
 
 
 def daily_features(bars: DataFrame) -> DataFrame:
-    """From back-adjusted bars: weekly MACD as known each day and as joined, force index, KDJ, EMAs, amplitude, return."""
+    """From back-adjusted bars: weekly MACD as known each day, the joined week's bar and MACD, force index, KDJ, EMAs, amplitude, return.
+
+    The weekly columns are open_weekly, high_weekly, low_weekly, close_weekly_vis, volume_weekly,
+    amount_weekly and macd_close_weekly_vis, of the last week whose Friday had a bar.
+    """
     df = weekly_macd_pit(bars.na.drop("any"))
-    weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", F.col("macd_close").alias("macd_close_weekly_vis"))
-    joined = forward_fill(df.join(weekly, ["symbol", "dt"], "left"), [c for c in df.columns if c not in ("symbol", "dt")] + ["macd_close_weekly_vis"])
+    names = {c: f"{c}{SUFFIX}" for c in ("open", "high", "low", "volume", "amount")} | {"close": f"close{SUFFIX}_vis", "macd_close": f"macd_close{SUFFIX}_vis"}
+    weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", *[F.col(c).alias(n) for c, n in names.items()])
+    joined = forward_fill(df.join(weekly, ["symbol", "dt"], "left"), [c for c in df.columns if c not in ("symbol", "dt")] + list(names.values()))
     df = kdj(force_index(joined))
     df = ema_spans(df, (5, 10, 13, 20)).na.drop("any")
     return df.withColumns({"amplitude": amplitude(), "returns": log_return()}).na.drop("any")

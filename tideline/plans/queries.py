@@ -10,7 +10,7 @@ from tideline.functions import indicators as I
 from tideline.functions import scan
 from tideline.functions import windows as W
 from tideline.operators import datasets, report, signals, simulate
-from tideline.plans.features import daily_features, with_weekly
+from tideline.plans.features import daily_features, file_features, with_weekly
 from tideline.sources.bars import bars_from_trades, closed, half_open, in_universe, points_to_rows, prefixed, recent, row_slice, with_pre_close
 from tideline.sources.sinks import latest
 from tideline.streaming.live import tick_bars
@@ -110,9 +110,31 @@ _FORCE = """moved AS (SELECT symbol, dt, n - 1 AS n, (close - prev) * volume AS
 ), force AS (
   SELECT symbol, dt, n, x AS f FROM moved WHERE n = 1
   UNION ALL SELECT r.symbol, r.dt, r.n, m.f / 3 + r.x * 2 / 3 FROM force m JOIN moved r ON r.symbol = m.symbol AND r.n = m.n + 1)"""
+_PIT = f"""fr AS (SELECT symbol, dt, close, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS n FROM bars WHERE isodow(dt) = 5
+), {_macd_sql("fr", "fm", "dt")}, st AS (
+  SELECT b.symbol, b.dt, b.close, f.a, f.b, f.s, row_number() OVER (PARTITION BY b.symbol, b.dt ORDER BY f.dt DESC) AS k FROM bars b LEFT JOIN fm f ON f.symbol = b.symbol AND f.dt < b.dt
+), x AS (SELECT *, (a * 11 / 13 + close * 2 / 13) - (b * 25 / 27 + close * 2 / 27) AS m FROM st WHERE k = 1)"""
 _WEEKLY = f"""{_WEEKS}, {_macd_sql("wn", "wm", "we")}, joined AS (
   SELECT b.*, last_value(w.a - w.b - w.s IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.dt) AS mw
   FROM numbered b LEFT JOIN wm w ON w.symbol = b.symbol AND w.dt = b.dt)"""
+_KDJ = """r0 AS (
+  SELECT symbol, dt, n, min(low) OVER w AS l, max(high) OVER w AS h, close FROM numbered WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 4 PRECEDING)
+), r1 AS (SELECT symbol, dt, n, CASE WHEN h > l THEN (close - l) / (h - l) * 100 END AS rsv FROM r0
+), k AS (
+  SELECT symbol, dt, n, rsv, rsv AS k, rsv AS d, CASE WHEN rsv IS NULL THEN 0 ELSE 1 END AS g FROM r1 WHERE n = 1
+  UNION ALL
+  SELECT symbol, dt, n, rsv, k, CASE WHEN k IS NULL THEN NULL WHEN d0 IS NULL THEN k ELSE 0.75 * d0 + 0.25 * k END, CASE WHEN rsv IS NULL THEN g + (CASE WHEN k IS NULL THEN 0 ELSE 1 END) ELSE 1 END FROM (
+    SELECT r.symbol, r.dt, r.n, r.rsv, m.g, m.d AS d0,
+      CASE WHEN r.rsv IS NULL THEN m.k WHEN m.k IS NULL THEN r.rsv ELSE (power(0.75, m.g) * m.k + 0.25 * r.rsv) / (power(0.75, m.g) + 0.25) END AS k
+    FROM k m JOIN r1 r ON r.symbol = m.symbol AND r.n = m.n + 1))"""
+
+
+def _ema_sql(span: int) -> str:
+    return f"""e{span} AS (
+  SELECT symbol, dt, n, close AS e FROM numbered WHERE n = 1
+  UNION ALL SELECT r.symbol, r.dt, r.n, m.e * {span - 1} / {span + 1} + r.close * 2 / {span + 1} FROM e{span} m JOIN numbered r ON r.symbol = m.symbol AND r.n = m.n + 1)"""
+
+
 _EMA13 = """e13 AS (
   SELECT symbol, dt, n, close AS e FROM numbered WHERE n = 1
   UNION ALL SELECT r.symbol, r.dt, r.n, m.e * 12 / 14 + r.close * 2 / 14 FROM e13 m JOIN numbered r ON r.symbol = m.symbol AND r.n = m.n + 1)"""
@@ -180,16 +202,7 @@ _add("force_index", lambda s, d: _rounded(_days(I.force_index(bars(s, d)), "forc
 _add(
     "kdj",
     lambda s, d: _rounded(_days(I.kdj(bars(s, d)), "RSV", "K", "D", "J"), "RSV", "K", "D", "J"),
-    f"""{_BARS}, r0 AS (
-  SELECT symbol, dt, n, min(low) OVER w AS l, max(high) OVER w AS h, close FROM numbered WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 4 PRECEDING)
-), r1 AS (SELECT symbol, dt, n, CASE WHEN h > l THEN (close - l) / (h - l) * 100 END AS rsv FROM r0
-), k AS (
-  SELECT symbol, dt, n, rsv, rsv AS k, rsv AS d, CASE WHEN rsv IS NULL THEN 0 ELSE 1 END AS g FROM r1 WHERE n = 1
-  UNION ALL
-  SELECT symbol, dt, n, rsv, k, CASE WHEN k IS NULL THEN NULL WHEN d0 IS NULL THEN k ELSE 0.75 * d0 + 0.25 * k END, CASE WHEN rsv IS NULL THEN g + (CASE WHEN k IS NULL THEN 0 ELSE 1 END) ELSE 1 END FROM (
-    SELECT r.symbol, r.dt, r.n, r.rsv, m.g, m.d AS d0,
-      CASE WHEN r.rsv IS NULL THEN m.k WHEN m.k IS NULL THEN r.rsv ELSE (power(0.75, m.g) * m.k + 0.25 * r.rsv) / (power(0.75, m.g) + 0.25) END AS k
-    FROM k m JOIN r1 r ON r.symbol = m.symbol AND r.n = m.n + 1))
+    f"""{_BARS}, {_KDJ}
 SELECT symbol, dt, round(rsv, 4) + 0.0 AS "RSV", round(k, 4) + 0.0 AS "K", round(d, 4) + 0.0 AS "D", round(3 * k - 2 * d, 4) + 0.0 AS "J" FROM k""",
 )
 _add(
@@ -202,10 +215,7 @@ SELECT symbol, dt, CASE WHEN l > 0 THEN round(100 - 100 / (1 + g / l), 4) WHEN g
 _add(
     "weekly_macd_pit",
     lambda s, d: _rounded(_days(I.weekly_macd_pit(bars(s, d)), "macd_close_weekly", "macd_close_weekly_last"), "macd_close_weekly", "macd_close_weekly_last"),
-    f"""{_BARS}, fr AS (SELECT symbol, dt, close, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS n FROM bars WHERE isodow(dt) = 5
-), {_macd_sql("fr", "fm", "dt")}, st AS (
-  SELECT b.symbol, b.dt, b.close, f.a, f.b, f.s, row_number() OVER (PARTITION BY b.symbol, b.dt ORDER BY f.dt DESC) AS k FROM bars b LEFT JOIN fm f ON f.symbol = b.symbol AND f.dt < b.dt
-), x AS (SELECT *, (a * 11 / 13 + close * 2 / 13) - (b * 25 / 27 + close * 2 / 27) AS m FROM st WHERE k = 1)
+    f"""{_BARS}, {_PIT}
 SELECT symbol, dt, round(coalesce(m - (s * 0.8 + m * 0.2), 0), 4) + 0.0 AS macd_close_weekly, round(a - b - s, 4) + 0.0 AS macd_close_weekly_last FROM x""",
 )
 _add("weekly_macd_joined", lambda s, d: _rounded(_days(featured(s, d), "macd_close_weekly_vis"), "macd_close_weekly_vis"), f"{_BARS}, {_WEEKLY} SELECT symbol, dt, round(mw, 4) + 0.0 AS macd_close_weekly_vis FROM joined")
@@ -292,7 +302,41 @@ _add(
     "x AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS start, value, (ts, event_id) AS k FROM events) SELECT symbol, start, arg_min(value, k) AS open, max(value) AS high, min(value) AS low, arg_max(value, k) AS close, count(*) AS n FROM x GROUP BY symbol, start",
 )
 _add("chart_table", lambda s, d: report.chart(I.macd(bars(s, d)), _fills(bars(s, d)), "macd").select("symbol", "dt", "colour", "marker"), f"{_BARS}, {_macd_sql('numbered', 'm', 'dt')}, f AS (SELECT symbol, dt, CASE WHEN symbol LIKE 'A%' THEN low ELSE high END AS marker FROM bars WHERE day(dt) = 1) SELECT m.symbol, m.dt, CASE WHEN a - b - s >= 0 THEN 'green' ELSE 'red' END AS colour, marker FROM m LEFT JOIN f ON f.symbol = m.symbol AND f.dt = m.dt")
-_add("feature_frame", lambda s, d: daily_features(I.back_adjusted(priced(s, d))))
+_ADJUSTED = f"""{_BARS.replace("bars AS (", "raw AS (", 1).replace("numbered AS (", "raw_numbered AS (").replace("FROM bars WINDOW", "FROM raw WINDOW")}, bars AS (
+  SELECT symbol, dt, open * f AS open, high * f AS high, low * f AS low, close * f AS close, volume, amount, CASE WHEN n % 250 = 0 THEN prev / 1.1 ELSE prev END AS pre_close, f AS adj_factor
+  FROM (SELECT *, power(1.1, n // 250) AS f FROM raw_numbered) WHERE n > 1
+), numbered AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w AS prev FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt))"""
+_FEATURES = {
+    "open": 4, "high": 4, "low": 4, "close": 4, "volume": 2, "amount": 2, "pre_close": 4, "adj_factor": 6, "macd_close_weekly": 4, "macd_close_weekly_last": 4, "open_weekly": 4, "high_weekly": 4, "low_weekly": 4,
+    "close_weekly_vis": 4, "volume_weekly": 2, "amount_weekly": 2, "macd_close_weekly_vis": 4, "force_index_close": 2, "RSV": 4, "K": 4, "D": 4, "J": 4, "ema5": 4, "ema10": 4, "ema13": 4, "ema20": 4, "amplitude": 6, "returns": 6,
+}
+_FRAME = f"""{_ADJUSTED}, {_PIT}, {_WEEKLY}, {_FORCE}, {_KDJ}, {", ".join(_ema_sql(n) for n in (5, 10, 13, 20))}, parts AS (
+  SELECT b.symbol, b.dt, b.open, b.high, b.low, b.close, b.volume, b.amount, b.pre_close, b.adj_factor, coalesce(x.m - (x.s * 0.8 + x.m * 0.2), 0) AS macd_close_weekly, x.a - x.b - x.s AS macd_close_weekly_last,
+    {", ".join(f"last_value(weeks.{c} IGNORE NULLS) OVER w AS {c}_weekly{'_vis' if c == 'close' else ''}" for c in ("open", "high", "low", "close", "volume", "amount"))}, j.mw AS macd_close_weekly_vis, f.f AS force_index_close,
+    k.rsv AS "RSV", k.k AS "K", k.d AS "D", 3 * k.k - 2 * k.d AS "J", e5.e AS ema5, e10.e AS ema10, e13.e AS ema13, e20.e AS ema20
+  FROM numbered b LEFT JOIN x ON x.symbol = b.symbol AND x.dt = b.dt LEFT JOIN weeks ON weeks.symbol = b.symbol AND weeks.we = b.dt LEFT JOIN joined j ON j.symbol = b.symbol AND j.dt = b.dt
+    LEFT JOIN force f ON f.symbol = b.symbol AND f.dt = b.dt LEFT JOIN k ON k.symbol = b.symbol AND k.dt = b.dt
+    {" ".join(f"JOIN e{n} ON e{n}.symbol = b.symbol AND e{n}.dt = b.dt" for n in (5, 10, 13, 20))}
+  WINDOW w AS (PARTITION BY b.symbol ORDER BY b.dt)
+), whole AS (SELECT * FROM parts WHERE macd_close_weekly_last IS NOT NULL AND macd_close_weekly_vis IS NOT NULL AND force_index_close IS NOT NULL AND "RSV" IS NOT NULL
+), moves AS (SELECT *, (high - low) / lag(close) OVER w AS amplitude, ln(close / lag(close) OVER w) AS returns FROM whole WINDOW w AS (PARTITION BY symbol ORDER BY dt))
+SELECT symbol, dt, {", ".join(f'round("{c}", {n}) + 0.0 AS "{c}"' for c, n in _FEATURES.items())} FROM moves WHERE amplitude IS NOT NULL"""
+_add("feature_frame", lambda s, d: daily_features(I.back_adjusted(priced(s, d))).select("symbol", "dt", *[_round(F.col(c), n).alias(c) for c, n in _FEATURES.items()]), _FRAME)
+_FILE_FEATURES = {"open": 4, "high": 4, "low": 4, "close": 4, "volume": 2, "amplitude": 6, "returns": 6, "macd_close_weekly": 4, "force_index_close": 2, "MA5": 4, "ema5": 4, "ema10": 4, "ema20": 4}
+_FILE_FRAME = f"""{_BARS.replace("bars AS (", "raw AS (", 1).replace("numbered AS (", "raw_numbered AS (").replace("FROM bars WINDOW", "FROM raw WINDOW")}, {_WEEKS.replace("FROM bars GROUP", "FROM raw GROUP")}, {_macd_sql("wn", "wm", "we")}, outer_rows AS (
+  SELECT coalesce(b.symbol, m.symbol) AS symbol, coalesce(b.dt, m.dt) AS dt, b.open, b.high, b.low, b.close, b.volume, b.amount, m.a - m.b - m.s AS mw FROM raw b FULL JOIN wm m ON m.symbol = b.symbol AND m.dt = b.dt
+), bars AS (
+  SELECT symbol, dt, {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("open", "high", "low", "close", "volume", "amount", "mw"))} FROM outer_rows WINDOW w AS (PARTITION BY symbol ORDER BY dt)
+), numbered AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w AS prev FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)
+), {_FORCE}, {", ".join(_ema_sql(n) for n in (5, 10, 20))}, whole AS (
+  SELECT b.*, f.f AS force_index_close, e5.e AS ema5, e10.e AS ema10, e20.e AS ema20 FROM numbered b JOIN force f ON f.symbol = b.symbol AND f.dt = b.dt
+    {" ".join(f"JOIN e{n} ON e{n}.symbol = b.symbol AND e{n}.dt = b.dt" for n in (5, 10, 20))} WHERE b.mw IS NOT NULL
+), moves AS (
+  SELECT *, (high - low) / lag(close) OVER w AS amplitude, ln(close / lag(close) OVER w) AS returns, close - lag(close) OVER w AS c, row_number() OVER w AS place,
+    {", ".join(f"avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS {n - 1} PRECEDING) AS m{n}" for n in (5, 10, 20))} FROM whole WINDOW w AS (PARTITION BY symbol ORDER BY dt)
+), sides AS (SELECT *, avg(greatest(coalesce(c, 0), 0)) OVER w AS g, avg(greatest(-coalesce(c, 0), 0)) OVER w AS l FROM moves WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS 5 PRECEDING))
+SELECT symbol, dt, {", ".join(f'round({dict(macd_close_weekly="mw", MA5="m5").get(c, c)}, {n}) + 0.0 AS "{c}"' for c, n in _FILE_FEATURES.items())} FROM sides WHERE place >= 20 AND (g > 0 OR l > 0)"""
+_add("file_features", lambda s, d: file_features(bars(s, d)).select("symbol", "dt", *[_round(F.col(c), n).alias(c) for c, n in _FILE_FEATURES.items()]), _FILE_FRAME)
 
 
 def _scenarios(spark: SparkSession, d: str) -> DataFrame:
