@@ -35,7 +35,7 @@ def test_averages_across_blocks_with_nulls(spark):
     x = pd.Series(np.where(rng.random(1500) < 0.4, np.nan, rng.random(1500)))
     x[200:500] = np.nan
     df = spark.createDataFrame([("s", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "symbol string, dt int, x double")
-    got = windows.averages(df, "x", {"a": 2 / 3, "b": 2 / 27, "c": 1.0}, {"d": (lambda y: y("a") - y("b"), 0.2)}).orderBy("dt").toPandas()
+    got = windows.averages(df, "x", {"a": 2 / 3, "b": 2 / 27, "c": 1.0}, {"d": (lambda y: f"{y('a')} - {y('b')}", 0.2)}).orderBy("dt").toPandas()
     a, b = x.ewm(alpha=2 / 3, adjust=False).mean(), x.ewm(alpha=2 / 27, adjust=False).mean()
     for name, want in {"a": a, "b": b, "c": x.ffill(), "d": (a - b).ewm(alpha=0.2, adjust=False).mean()}.items():
         assert np.allclose(got[name].astype(float), want, rtol=1e-9, equal_nan=True), name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions.scan import blocked
-from tideline.functions.windows import averages, by_symbol, diff, ema, lag, rolling, running, sma, week_end
+from tideline.functions.windows import Averages, averages, averages_of, by_symbol, diff, lag, rolling, running, sma, week_end
 
 
 def macd(df: DataFrame, c: str = "close", out: str = "macd", short: int = 12, long: int = 26, signal: int = 9) -> DataFrame:
@@ -17,21 +17,39 @@ def macd(df: DataFrame, c: str = "close", out: str = "macd", short: int = 12, lo
 
 def macd_state(df: DataFrame, c: str, a: str, b: str, s: str, short: int, long: int, signal: int) -> DataFrame:
     """Adds the averages a (short) and b (long) of c, and s (signal) of their difference."""
-    return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: y(a) - y(b), 2 / (signal + 1))})
+    return averages(df, c, {a: 2 / (short + 1), b: 2 / (long + 1)}, {s: (lambda y: f"{y(a)} - {y(b)}", 2 / (signal + 1))})
+
+
+def _force(raw: str, out: str, period: int) -> Averages:
+    return raw, {out: 2 / (period + 1)}, {}
+
+
+def _with_rsv(df: DataFrame, n: int) -> DataFrame:
+    df = df.withColumns({"low_n": rolling(F.min, "low", n, full=False), "high_n": rolling(F.max, "high", n, full=False)})
+    return df.withColumn("RSV", (F.col("close") - F.col("low_n")) / F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0)) * 100)
+
+
+def _kdj(com: float) -> Averages:
+    return "RSV", {"K": 1 / (1 + com)}, {"D": (lambda y: y("K"), 1 / (1 + com))}
 
 
 def force_index(df: DataFrame, c: str = "close", out: str = "force_index_close", period: int = 2) -> DataFrame:
     """Adds out: EMA(period) of the change of c times volume; the first row is null."""
     raw = f"__{out}_raw"
-    return ema(df.withColumn(raw, diff(c) * F.col("volume")), raw, out, span=period).drop(raw)
+    return averages_of(df.withColumn(raw, diff(c) * F.col("volume")), [_force(raw, out, period)]).drop(raw)
 
 
 def kdj(df: DataFrame, n: int = 5, com: float = 3) -> DataFrame:
     """Adds low_n, high_n, RSV, K, D, J; in a flat window RSV is null and K, D carry on."""
-    df = df.withColumns({"low_n": rolling(F.min, "low", n, full=False), "high_n": rolling(F.max, "high", n, full=False)})
-    df = df.withColumn("RSV", (F.col("close") - F.col("low_n")) / F.nullif(F.col("high_n") - F.col("low_n"), F.lit(0.0)) * 100)
-    df = averages(df, "RSV", {"K": 1 / (1 + com)}, {"D": (lambda y: y("K"), 1 / (1 + com))})
-    return df.withColumn("J", F.col("K") * 3 - F.col("D") * 2)
+    return averages_of(_with_rsv(df, n), [_kdj(com)]).withColumn("J", F.col("K") * 3 - F.col("D") * 2)
+
+
+def force_kdj_emas(df: DataFrame, spans: tuple[int, ...]) -> DataFrame:
+    """What force_index, kdj and ema_spans add, in one scan."""
+    raw = "__force_raw"
+    df = _with_rsv(df.withColumn(raw, diff("close") * F.col("volume")), 5)
+    df = averages_of(df, [_force(raw, "force_index_close", 2), _kdj(3), ("close", {f"ema{n}": 2 / (n + 1) for n in spans}, {})])
+    return df.drop(raw).withColumn("J", F.col("K") * 3 - F.col("D") * 2)
 
 
 def rsi(df: DataFrame, n: int = 6, out: str = "RSI") -> DataFrame:

@@ -76,70 +76,65 @@ def blocked(df: DataFrame, wanted: dict[str, tuple[str, str | Column]], key: lis
     return added.select(*df.columns, *[out for out in named if out not in df.columns])
 
 
-Look = Callable[[str], Column]
-Steps = dict[str, tuple[Column, Column]]
+Look = Callable[[str], str]
+Steps = dict[str, tuple[str, str]]
 
 
-def linear(df: DataFrame, given: dict[str, Column], stages: list[Callable[[Look], Steps]], order: Column | None = None, rows: int = ROWS) -> DataFrame:
+def number(x: float) -> str:
+    """A double in SQL."""
+    return f"{float(x)!r}D"
+
+
+def linear(df: DataFrame, given: dict[str, Column], stages: list[Callable[[Look], Steps]], order: Column | None = None, places: tuple[str, str] | None = None, rows: int = ROWS) -> DataFrame:
     """Adds columns y = a * y' + b of each row in a symbol's order (of dt, or by the order), from 0.
 
-    A stage makes out: (a, b), neither null, of a row's given columns and of the outs of stages
-    before it, all by name. One shuffle by symbol serves all stages.
+    places names columns that have a row's place from 1 and the number of the symbol's rows, where
+    the caller has them; they are dropped, and so are given ones that are columns by the same name.
+
+    A stage makes out: (a, b), neither null, as SQL of a row's given columns and of the outs of
+    stages before it, all looked up by name. One shuffle by symbol serves all stages. (SQL, as
+    a column object for each node of a step would take longer to build than the scan to run.)
     """
     at = F.col("dt") if order is None else order
     w = Window.partitionBy("symbol").orderBy(at)
-    n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    place, n = (F.col(c) for c in places) if places else (F.row_number().over(w), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    columns = [c for c in df.columns if c not in (places or ())]
     # With as many rows in a block as there are blocks, the scan over the blocks is linear, too.
     size = F.greatest(F.lit(rows), F.ceil(F.sqrt(n)))
-    own, states, steps = "__own", "__states", "__steps"
-    row = F.struct(at.alias("at"), F.struct(*[c for c in df.columns if c != "symbol"]).alias("row"), *[c.alias(n) for n, c in given.items()])
-    placed = df.select("symbol", F.floor((F.row_number().over(w) - 1) / size).alias(_BLOCK), row.alias(own))
-    blocks = placed.groupBy("symbol", _BLOCK).agg(F.sort_array(F.collect_list(own)).alias(own))
+    row = F.struct(at.alias("at"), F.struct(*[c for c in columns if c != "symbol" and c not in given]).alias("row"), *[c.alias(n) for n, c in given.items()])
+    placed = df.select("symbol", F.floor((place - 1) / size).alias(_BLOCK), row.alias("__own"))
+    blocks = placed.groupBy("symbol", _BLOCK).agg(F.sort_array(F.collect_list("__own")).alias("__own"))
     outs: list[str] = []
     for stage in stages:
-        blocks, added = _stage(blocks, stage, own, states, steps)
+        blocks, added = _stage(blocks, stage)
+        kept = ["row", *(given if stage is not stages[-1] else []), *outs]
         outs += added
-        carry = [*(["at", "row"] if stage is not stages[-1] else ["row"]), *(given if stage is not stages[-1] else []), *outs[: -len(added)]]
-        blocks = blocks.select("symbol", _BLOCK, F.zip_with(own, states, lambda e, s: F.struct(*[e[c].alias(c) for c in carry], *[s[c].alias(c) for c in added])).alias(own))  # noqa: B023
-
-    def flat(e: Column) -> Column:
-        return F.struct(*[e["row"][c].alias(c) for c in df.columns if c != "symbol"], *[e[c].alias(c) for c in outs])
-
+        fields = [*[f"'{c}', e.`{c}`" for c in kept], *[f"'{c}', s.`{c}`" for c in added]]
+        blocks = blocks.select("symbol", _BLOCK, F.expr(f"zip_with(__own, __states, (e, s) -> named_struct({', '.join(fields)}))").alias("__own"))
+    columns = [c for c in columns if c not in given]
+    flat = [*[f"'{c}', e.row.`{c}`" for c in columns if c != "symbol"], *[f"'{c}', e.`{c}`" for c in outs]]
     # The fields come out as columns of inline: a projection to them would double what Catalyst
     # infers from a filter with each. The outer form, as no block is empty and inline would
     # fold twice, once to look whether it is.
-    return blocks.select("symbol", F.inline_outer(F.transform(own, flat))).select(*df.columns, *outs)
+    return blocks.selectExpr("symbol", f"inline_outer(transform(__own, e -> named_struct({', '.join(flat)})))").select(*columns, *outs)
 
 
-def _stage(blocks: DataFrame, stage: Callable[[Look], Steps], own: str, states: str, steps: str) -> tuple[DataFrame, list[str]]:
-    """Adds the states after each row of a block, an array beside that of its rows."""
+def _stage(blocks: DataFrame, stage: Callable[[Look], Steps]) -> tuple[DataFrame, list[str]]:
+    """Adds __states, the states after each row of a block, beside its rows; names of a state's fields."""
+    steps = stage(lambda name: f"e.`{name}`")
 
-    def of(e: Column) -> Steps:
-        return stage(lambda name: e[name])
+    def state(field: Callable[[str], str]) -> str:
+        return f"named_struct({', '.join(f"'{n}', {field(n)}" for n in steps)})"
 
-    names = list(of(F.element_at(own, 1)))
-    number = lambda x: F.lit(x).cast("double")
-
-    def composed(s: Column, e: Column) -> Column:
-        made = of(e)
-        return F.struct(*[F.struct((s[n]["a"] * a).alias("a"), (s[n]["b"] * a + b).alias("b")).alias(n) for n, (a, b) in made.items()])
-
-    whole = F.struct(*[F.struct(number(1).alias("a"), number(0).alias("b")).alias(n) for n in names])
-    blocks = blocks.withColumn(steps, F.aggregate(own, whole, composed))
+    whole = state(lambda n: "named_struct('a', 1D, 'b', 0D)")
+    composed = state(lambda n: f"named_struct('a', s.`{n}`.a * ({steps[n][0]}), 'b', s.`{n}`.b * ({steps[n][0]}) + ({steps[n][1]}))")
+    blocks = blocks.withColumn("__steps", F.expr(f"aggregate(__own, {whole}, (s, e) -> {composed})"))
     before = Window.partitionBy("symbol").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn(steps, F.collect_list(steps).over(before))
-    zero = F.struct(*[number(0).alias(n) for n in names])
-    start = F.aggregate(steps, zero, lambda s, e: F.struct(*[(e[n]["a"] * s[n] + e[n]["b"]).alias(n) for n in names]))
-
-    def stepped(s: Column, e: Column) -> Column:
-        return F.struct(*[(a * s[n] + b).alias(n) for n, (a, b) in of(e).items()])
-
+    blocks = blocks.withColumn("__steps", F.collect_list("__steps").over(before))
+    start = f"aggregate(__steps, {state(lambda n: '0D')}, (s, e) -> {state(lambda n: f'e.`{n}`.a * s.`{n}` + e.`{n}`.b')})"
+    step = state(lambda n: f"({steps[n][0]}) * element_at(x, -1).`{n}` + ({steps[n][1]})")
     # Results are gathered in short arrays, as each one more copies the array that it goes to.
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / CHUNK).cast("int")), lambda i: F.slice(F.col(own), i * CHUNK + 1, F.lit(CHUNK)))
-    done = F.aggregate(
-        chunks,
-        F.array(F.array(start)),
-        lambda d, chunk: F.concat(d, F.array(F.aggregate(chunk, F.array(F.element_at(F.element_at(d, -1), -1)), lambda x, e: F.concat(x, F.array(stepped(F.element_at(x, -1), e)))))),
-    )
-    flat = F.flatten(F.transform(F.slice(done, F.lit(2), F.size(own)), lambda x: F.slice(x, F.lit(2), F.lit(CHUNK))))
-    return blocks.withColumn(states, flat), names
+    chunks = f"transform(sequence(0, int(floor((size(__own) - 1) / {CHUNK}))), i -> slice(__own, i * {CHUNK} + 1, {CHUNK}))"
+    inner = f"aggregate(chunk, array(element_at(element_at(done, -1), -1)), (x, e) -> concat(x, array({step})))"
+    done = f"aggregate({chunks}, array(array({start})), (done, chunk) -> concat(done, array({inner})))"
+    return blocks.withColumn("__states", F.expr(f"flatten(transform(slice({done}, 2, size(__own)), x -> slice(x, 2, {CHUNK})))")), list(steps)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from tideline.functions.scan import blocked, linear
+from tideline.functions.scan import Look, Steps, blocked, linear, number
 
 
 def by_symbol(*order: str | Column) -> WindowSpec:
@@ -81,34 +81,54 @@ def standardized(c: str | Column, eps: float = 0.0) -> Column:
     return (_col(c) - F.avg(_col(c)).over(w)) / F.nullif(F.stddev_samp(_col(c)).over(w) + eps, F.lit(0.0))
 
 
-def averages(df: DataFrame, c: str, alphas: dict[str, float], of: dict[str, tuple[Callable[[Callable[[str], Column]], Column], float]] | None = None) -> DataFrame:
-    """Adds an exponential average of c with y0 = x0 for each name and alpha, all in one scan.
+#: A column, its averages (name to alpha), and averages (name to SQL and alpha) of what some SQL
+#: makes of the averages before them, which it looks up by name.
+Averages = tuple[str, dict[str, float], dict[str, tuple[Callable[[Look], str], float]]]
 
-    of has averages of what a function makes of the averages before them (by name). Leading
-    nulls give null. A null inside carries y on, and the weight of the past decays for each
-    skipped row: with g rows since the last value y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
+
+def averages(df: DataFrame, c: str, alphas: dict[str, float], of: dict[str, tuple[Callable[[Look], str], float]] | None = None) -> DataFrame:
+    """Adds exponential averages of c with y0 = x0, and averages of them; see averages_of."""
+    return averages_of(df, [(c, alphas, of or {})])
+
+
+def averages_of(df: DataFrame, wanted: list[Averages]) -> DataFrame:
+    """Adds the averages of several columns, all in one scan.
+
+    The first one is the first value; leading nulls give null. A null inside carries y on, and
+    the weight of the past decays for each skipped row: with g rows since the last value
+    y = ((1 - a)**g y' + a x) / ((1 - a)**g + a).
     """
-    w, x, of = by_symbol(), F.col(c).cast("double"), of or {}
-    place = F.row_number().over(w)
-    gap, seen = "__gap", "__seen"
-    numbered = df.withColumns({"__place": place, seen: F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    last = F.last(F.when(x.isNotNull(), F.col("__place")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = numbered.withColumn(gap, F.col("__place") - last).drop("__place")
-    given = {"x": x, seen: F.col(seen), gap: F.col(gap)}
-
-    def values(v: Callable[[str], Column]) -> dict[str, tuple[Column, Column]]:
-        fresh, out = v(gap).isNull() & v("x").isNotNull(), {}
-        for n, a in alphas.items():
-            left = F.when(v(gap) == 1, 1 - a).otherwise(F.pow(F.lit(1 - a), v(gap)))
-            out[n] = (F.when(v("x").isNull(), 1.0).when(fresh, 0.0).otherwise(left / (left + a)), F.when(v("x").isNull(), 0.0).when(fresh, v("x")).otherwise(v("x") * a / (left + a)))
+    w, place, n = by_symbol(), "__place", "__n"
+    so_far, all_rows = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = [F.col(c).cast("double") for c, _, _ in wanted]
+    # One window serves all of these; the gaps to the last values need another one.
+    numbered = df.withColumns({place: F.row_number().over(w), n: F.count(F.lit(1)).over(all_rows)} | {f"__{kind}{i}": count for i, v in enumerate(x) for kind, count in (("seen", F.count(v).over(so_far)), ("none", F.count(v).over(so_far) == 0))})
+    gaps = {f"__gap{i}": F.col(place) - F.last(F.when(v.isNotNull(), F.col(place)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for i, v in enumerate(x)}
+    numbered = numbered.withColumns(gaps)
+    given = {f"__x{i}": v for i, v in enumerate(x)} | {c: F.col(c) for i in range(len(x)) for c in (f"__seen{i}", f"__gap{i}")}
+
+    def values(v: Look) -> Steps:
+        out = {}
+        for i, (_, alphas, _) in enumerate(wanted):
+            value, gap = v(f"__x{i}"), v(f"__gap{i}")
+            for name, a in alphas.items():
+                left = f"CASE WHEN {gap} = 1 THEN {number(1 - a)} ELSE pow({number(1 - a)}, {gap}) END"
+                kinds = f"CASE WHEN {value} IS NULL THEN {{}} WHEN {gap} IS NULL THEN {{}} ELSE {{}} / ({left} + {number(a)}) END"
+                out[name] = kinds.format("1D", "0D", left), kinds.format("0D", value, f"{value} * {number(a)}")
         return out
 
-    def values_of(v: Callable[[str], Column]) -> dict[str, tuple[Column, Column]]:
-        fresh, early = v(gap).isNull() & v("x").isNotNull(), v(seen) == 0
-        return {n: (F.when(early | fresh, 0.0).otherwise(1 - a), F.when(early, 0.0).when(fresh, f(v)).otherwise(f(v) * a)) for n, (f, a) in of.items()}
+    def values_of(v: Look) -> Steps:
+        out = {}
+        for i, (_, _, of) in enumerate(wanted):
+            early, fresh = f"{v(f'__seen{i}')} = 0", f"{v(f'__gap{i}')} IS NULL AND {v(f'__x{i}')} IS NOT NULL"
+            for name, (f, a) in of.items():
+                out[name] = f"CASE WHEN {early} OR {fresh} THEN 0D ELSE {number(1 - a)} END", f"CASE WHEN {early} THEN 0D WHEN {fresh} THEN {f(v)} ELSE ({f(v)}) * {number(a)} END"
+        return out
 
-    out = linear(numbered, given, [values, values_of] if of else [values])
-    return out.withColumns({n: F.when(F.col(seen) > 0, F.col(n)) for n in [*alphas, *of]}).drop(seen, gap)
+    stages = [values, values_of] if any(of for _, _, of in wanted) else [values]
+    out = linear(numbered, given, stages, places=(place, n))
+    known = {name: F.when(~F.col(f"__none{i}"), F.col(name)) for i, (_, alphas, of) in enumerate(wanted) for name in [*alphas, *of]}
+    return out.withColumns(known).drop(*[f"__none{i}" for i in range(len(x))])
 
 
 def ema(df: DataFrame, c: str, out: str, span: float | None = None, com: float | None = None) -> DataFrame:

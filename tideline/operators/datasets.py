@@ -47,8 +47,8 @@ def discounted(df: DataFrame, reward: str, out: str = "ret", gamma: float = 0.99
     keep = F.lit(gamma) if done is None else F.when(F.col(done) == 1, 0.0).otherwise(gamma)
     order = -F.datediff("dt", F.lit("1970-01-01"))
     seen = F.count(reward).over(by_symbol(order).rowsBetween(Window.unboundedPreceding, 0))
-    given = {"r": F.col(reward).cast("double"), "keep": keep.cast("double")}
-    out_of = linear(df.withColumn("__seen", seen), given, [lambda v: {out: (F.when(v("r").isNull(), 1.0).otherwise(v("keep")), F.coalesce(v("r"), F.lit(0.0)))}], order)
+    given = {"__r": F.col(reward).cast("double"), "__keep": keep.cast("double")}
+    out_of = linear(df.withColumn("__seen", seen), given, [lambda v: {out: (f"CASE WHEN {v('__r')} IS NULL THEN 1D ELSE {v('__keep')} END", f"coalesce({v('__r')}, 0D)")}], order)
     return out_of.withColumn(out, F.when(F.col("__seen") > 0, F.col(out))).drop("__seen")
 
 

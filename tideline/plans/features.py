@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.functions.indicators import amplitude, force_index, kdj, log_return, macd, rsi, weekly_bars, weekly_macd_pit
+from tideline.functions.indicators import amplitude, force_index, force_kdj_emas, log_return, macd, rsi, weekly_bars, weekly_macd_pit
 from tideline.functions.windows import ema_spans, forward_fill, sma
 
 SUFFIX = "_weekly"
@@ -32,8 +32,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
     names = {c: f"{c}{SUFFIX}" for c in ("open", "high", "low", "volume", "amount")} | {"close": f"close{SUFFIX}_vis", "macd_close": f"macd_close{SUFFIX}_vis"}
     weekly = macd(weekly_bars(df), "close", "macd_close").select("symbol", "dt", *[F.col(c).alias(n) for c, n in names.items()])
     joined = forward_fill(df.join(weekly, ["symbol", "dt"], "left"), [c for c in df.columns if c not in ("symbol", "dt")] + list(names.values()))
-    df = kdj(force_index(joined))
-    df = ema_spans(df, (5, 10, 13, 20)).na.drop("any")
+    df = force_kdj_emas(joined, (5, 10, 13, 20)).na.drop("any")
     return df.withColumns({"amplitude": amplitude(), "returns": log_return()}).na.drop("any")
 
 

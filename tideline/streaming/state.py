@@ -113,7 +113,7 @@ class IndicatorState(StatefulProcessor):
 def indicator_state(bars: DataFrame) -> DataFrame:
     """symbol, last, week, recent: the state after stored bars, for a stream that goes on from there."""
     df = kdj(bars.select("symbol", "dt", "high", "low", "close", "volume"), KDJ, COM)
-    df = averages(df, "close", {"__short": 2 / (SHORT + 1), "__long": 2 / (LONG + 1), **{f"ema{n}": 2 / (n + 1) for n in SPANS}}, {"__signal": (lambda y: y("__short") - y("__long"), 2 / (SIGNAL + 1))})
+    df = averages(df, "close", {"__short": 2 / (SHORT + 1), "__long": 2 / (LONG + 1), **{f"ema{n}": 2 / (n + 1) for n in SPANS}}, {"__signal": (lambda y: f"{y('__short')} - {y('__long')}", 2 / (SIGNAL + 1))})
     df = averages(df.withColumn("__moved", diff("close") * F.col("volume")), "__moved", {"__force": 2 / (FORCE + 1)})
     w = by_symbol()
     place = F.row_number().over(w)
