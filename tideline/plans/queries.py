@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tideline.functions import indicators as I
 from tideline.functions import scan
 from tideline.functions import windows as W
-from tideline.operators import datasets, report, signals, simulate
+from tideline.operators import datasets, report, sampling, signals, simulate
 from tideline.plans.features import daily_features, file_features, with_weekly
-from tideline.sources.bars import bars_from_trades, closed, half_open, in_universe, points_to_rows, prefixed, recent, row_slice, with_pre_close
+from tideline.sources import lookups, store
+from tideline.sources.bars import bars_from_trades, closed, half_open, in_universe, points_to_rows, prefixed, recent, row_slice, unpivoted_pre_close, with_pre_close
 from tideline.sources.sinks import latest
-from tideline.streaming.live import tick_bars
+from tideline.streaming.live import intraday, policy_memory, tick_bars
 
 
 def bars(spark: SparkSession, d: str, weekdays: bool = True) -> DataFrame:
@@ -400,3 +403,87 @@ _add(
     lambda s, d: _rounded(report.panels(bars(s, d).select(F.col("symbol").alias("scenario_id"), "dt", F.col("volume").alias("position"), F.col("amount").alias("tot_value"), F.col("close").alias("capital")), bars(s, d).filter("symbol = 'RF'")), "return_pct", "market"),
     f"{_BARS}, m AS (SELECT dt, close / first_value(close) OVER (ORDER BY dt) - 1 AS market FROM bars WHERE symbol = 'RF') SELECT symbol AS scenario_id, dt, volume AS position, amount AS tot_value, close AS capital, round((amount / first_value(amount) OVER (PARTITION BY symbol ORDER BY dt) - 1) * 100, 4) AS return_pct, round(market, 4) AS market FROM bars LEFT JOIN m USING (dt)",
 )
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/tideline-store-{uuid.uuid4().hex}"
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Bars that came in three batches, the last of which corrects what the first had wrong and comes twice."""
+    all_bars, path = bars(spark, d), _scratch(spark)
+    store.upsert(all_bars.filter("dt < '1996-01-01'").withColumn("close", F.when(F.col("symbol") == "NO", F.col("close") * 2).otherwise(F.col("close"))), path, 0)
+    store.upsert(all_bars.filter("dt >= '1996-01-01'"), path, 1)
+    for _ in range(2):
+        store.upsert(all_bars.filter("symbol = 'NO' AND dt < '1996-01-01'"), path, 2)
+    return store.read_bars(spark, path, fields=["close", "volume"])
+
+
+def _intraday(spark: SparkSession, d: str) -> DataFrame:
+    before = bars(spark, d).filter("dt < '1996-01-01'")
+    state = W.ema_spans(before, (5, 10, 20)).groupBy("symbol").agg(*[F.max_by(f"ema{n}", "dt").alias(f"ema{n}") for n in (5, 10, 20)]).withColumn("adj_factor", F.lit(2.0))
+    return intraday(bars(spark, d).filter("dt >= '1996-01-01' AND dt < '1996-02-01'"), state)
+
+
+_WEIGHTED = "-ln(u) / volume"
+_UNIFORM = "(CAST('0x' || substr(md5(concat_ws('|', symbol, CAST(dt AS VARCHAR), '7')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+def _sample_sql(priority: str, k: int) -> str:
+    return f"""{_BARS}, u AS (SELECT symbol, dt, volume, {_UNIFORM} AS u FROM bars), p AS (SELECT symbol, dt, row_number() OVER (PARTITION BY symbol ORDER BY {priority}) AS place FROM u)
+SELECT symbol, dt FROM p WHERE place <= {k}"""
+
+
+_add("sampled_bars", lambda s, d: sampling.bottom_k(bars(s, d), 50, ["symbol", "dt"], 7, ["symbol"]).select("symbol", "dt"), _sample_sql("u", 50))
+_add(
+    "merged_samples",
+    lambda s, d: sampling.merged([sampling.bottom_k(bars(s, d).filter(F.year("dt") % 3 == i), 40, ["symbol", "dt"], 7, ["symbol"], "volume") for i in range(3)], 40, ["symbol"]).select("symbol", "dt"),
+    _sample_sql(_WEIGHTED, 40),
+)
+_add("stored_bars", _stored, f"{_BARS} SELECT symbol, dt, close, volume FROM bars")
+_add(
+    "listed_symbols",
+    lambda s, d: _days(lookups.look_up(bars(s, d), ["RF", "AF", "NO"]).rows, "close"),
+    f"{_BARS} SELECT symbol, dt, close FROM bars WHERE symbol IN ('RF', 'AF', 'NO')",
+)
+_add(
+    "unpivoted_pre_close",
+    lambda s, d: unpivoted_pre_close(bars(s, d).groupBy("dt").pivot("symbol", ["AF", "NO", "RF"]).agg(F.max(F.when(F.col("volume") > 30, F.col("close")).otherwise(0.0))).toDF("date", "AF.X", "NO.X", "RF.X")),
+    f"{_BARS} SELECT symbol, dt, close AS pre_close FROM bars WHERE symbol IN ('AF', 'NO', 'RF') AND volume > 30",
+)
+_add(
+    "intraday_snapshots",
+    lambda s, d: _rounded(_days(_intraday(s, d), "close", "ema5", "ema10", "ema20"), "close", "ema5", "ema10", "ema20"),
+    f"""{_BARS}, {", ".join(_ema_sql(n) for n in (5, 10, 20))}, y AS (
+  SELECT e5.symbol, arg_max(e5.e, e5.dt) AS e5, arg_max(e10.e, e5.dt) AS e10, arg_max(e20.e, e5.dt) AS e20 FROM e5 JOIN e10 ON e10.symbol = e5.symbol AND e10.n = e5.n JOIN e20 ON e20.symbol = e5.symbol AND e20.n = e5.n WHERE e5.dt < DATE '1996-01-01' GROUP BY e5.symbol)
+SELECT symbol, dt, round(close * 2, 4) AS close, round(close * 2 / 3 + e5 * 4 / 6, 4) AS ema5, round(close * 4 / 11 + e10 * 9 / 11, 4) AS ema10, round(close * 4 / 21 + e20 * 19 / 21, 4) AS ema20
+FROM bars JOIN y USING (symbol) WHERE dt >= DATE '1996-01-01' AND dt < DATE '1996-02-01'""",
+)
+_add(
+    "candidate_by_size",
+    lambda s, d: signals.best_candidate(signals.signal_ema(featured(s, d)), by_size=True).select("dt", "symbol"),
+    f"""{_BARS}, {_FORCE}, {_EMA13}, c0 AS (SELECT e.symbol, e.dt, e.e, lag(e.e) OVER w AS pe, f.f, lag(f.f) OVER w AS pf FROM e13 e LEFT JOIN force f ON f.symbol = e.symbol AND f.dt = e.dt WINDOW w AS (PARTITION BY e.symbol ORDER BY e.dt))
+SELECT dt, symbol FROM (SELECT dt, symbol, row_number() OVER (PARTITION BY dt ORDER BY abs(f), symbol) AS k FROM c0 WHERE pf <> 0 AND e > pe AND f < 0 AND pf > 0) WHERE k = 1""",
+)
+_add(
+    "trades_by_return",
+    lambda s, d: _pairs(s, d).select("symbol", F.col("pair").cast("int").alias("pair"), "return_pct", _round(F.col("revenue"), 2).alias("revenue")),
+    f"{_PAIRS} SELECT symbol, CAST(k // 2 AS INT) AS pair, (SELECT x FROM (SELECT floor(abs((q / p - 1) * 100) * 100 + 0.5) / 100 * sign(q - p) AS x)) + 0.0 AS return_pct, round((q - p) * 100.0, 2) AS revenue FROM n WHERE k % 2 = 0 AND q IS NOT NULL",
+)
+_add("sma_or_zero", lambda s, d: _rounded(_days(bars(s, d).withColumn("ma100", W.sma_or_zero("close")), "ma100"), "ma100"), f"{_BARS} SELECT symbol, dt, CASE WHEN n >= 100 THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS 99 PRECEDING), 4) ELSE 0.0 END AS ma100 FROM numbered")
+_add(
+    "greedy_action",
+    lambda s, d: bars(s, d).select("symbol", "dt", datasets.greedy_action(F.array("open", "close", (F.col("high") + F.col("low")) / 2)).cast("int").alias("action")),
+    f"{_BARS} SELECT symbol, dt, CAST(list_position(v, list_max(v)) - 1 AS INT) AS action FROM (SELECT symbol, dt, [open, close, (high + low) / 2] AS v FROM bars)",
+)
+_add(
+    "order_memory",
+    lambda s, d: _days(policy_memory(bars(s, d)), "high_1", "low_1", "high_2", "low_2"),
+    f"{_BARS} SELECT symbol, dt, lag(high) OVER w AS high_1, lag(low) OVER w AS low_1, lag(high, 2) OVER w AS high_2, lag(low, 2) OVER w AS low_2 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY dt)",
+)
