@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 
 NEIGHBOURS = 10
 TABLES = 24
@@ -157,14 +157,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(best.of, np.int64), n)), pa.array(np.concatenate([x[0] for x in best.of.values()])), pa.array(np.concatenate([x[1] for x in best.of.values()]))], ["query_id", "vec_id", "score"])
 
 
-def _meet(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """The best candidates of queries from rows of the same table and bucket, as each task has found them."""
+def _meet(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best candidates of queries from rows of the same table and bucket, as each task has found them, and a table that this reads."""
     counts = rows.groupBy("table", "bucket").count().select("table", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     counts = materialize(counts)
     candidates = rows.join(counts, ["table", "bucket"]).select("table", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
     asking = queries.join(counts, ["table", "bucket"]).select("table", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
     key = ["table", "bucket", "block"]
-    return candidates.union(asking).repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(_search, "query_id long, vec_id long, score double")
+    return candidates.union(asking).repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(_search, "query_id long, vec_id long, score double"), counts
 
 
 def _ranked(found: DataFrame) -> DataFrame:
@@ -204,13 +204,17 @@ def nearest(embeddings: DataFrame, every: int = 100, dimension: int | None = Non
     rows = materialize(rows)
     queries = rows.filter(F.col("vec_id") % every == 0)
     schema = f"table int, bucket long, vec_id long, embedding {dict(rows.dtypes)['embedding']}"
-    found = materialize(_ranked(_meet(rows.mapInArrow(_hash(dimension, False), schema), queries.mapInArrow(_hash(dimension, True), schema))))
+    met, counts = _meet(rows.mapInArrow(_hash(dimension, False), schema), queries.mapInArrow(_hash(dimension, True), schema))
+    found = materialize(_ranked(met))
+    dropped(counts)
     n = rows.count()
     enough = found.groupBy("query_id").count().filter(F.col("count") >= min(NEIGHBOURS, n - 1)).select(F.col("query_id").alias("vec_id"))
     short = materialize(queries.join(enough, "vec_id", "left_anti"))
-    if not short.isEmpty():
+    if short.isEmpty():
+        dropped(rows, short)
+    else:
         blocks = -(-n // BLOCK)
         one = rows.select(F.lit(-1).alias("table"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("bucket"), "vec_id", "embedding")
         all_blocks = short.select(F.lit(-1).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("bucket"), "vec_id", "embedding")
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").union(_ranked(_meet(one, all_blocks)).select("query_id", "vec_id", "score", "rank"))
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").union(_ranked(_meet(one, all_blocks)[0]).select("query_id", "vec_id", "score", "rank"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

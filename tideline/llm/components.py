@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         parent = materialize(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
         step = parent.select(F.col("u").alias("component"), "p")
-        labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
+        merged = materialize(labels.join(step, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         moved = edges.join(parent, "u").select(F.col("p").alias("a"), "v")
         moved = moved.join(parent.select(F.col("u").alias("v"), "p"), "v").select("a", F.col("p").alias("b"))
-        edges = materialize(moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        left = materialize(moved.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        dropped(labels, edges, parent)
+        labels, edges = merged, left
+    dropped(edges)
     return labels

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.storage import dropped, materialize
+from tideline.llm.storage import alone, materialize
 from tideline.llm.text import LETTERS_AND_DIGITS, hashes, pieces, tokens, utf8
 
 #: Words of a passage and of the window that is judged; windows start at every STRIDE-th word of a document.
@@ -389,5 +389,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaks, with their own columns."""
-    bad = materialize(_leaked(documents, benchmark).select(F.col("key").alias("__tideline_key")).distinct())
+    bad = alone(lambda: _leaked(documents, benchmark).select(F.col("key").alias("__tideline_key")).distinct())
     return documents.withColumn("__tideline_key", F.xxhash64("doc_id", "text")).join(bad, "__tideline_key", "left_anti").select(*documents.columns)

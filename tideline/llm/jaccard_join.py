@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tideline.llm.components import connected_components
-from tideline.llm.storage import materialize
+from tideline.llm.storage import dropped, materialize
 from tideline.llm.substring_dedup import _only, key_map
 from tideline.llm.text import WORDS, hashes, mix, pair, pieces, tokens, utf8
 
@@ -270,8 +270,9 @@ def near_copies(documents: DataFrame) -> DataFrame:
     groups = component.select(F.col("node").alias("class"), "component")
     known = classes.select("class", "class_id", "size").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = known.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    known = materialize(known.join(least, "component").join(links, "class", "left").select("class", "class_id", "group_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return members.select("key", "doc_id", "class", "n_shingles").join(known, "class", "left").select(
+    out = materialize(known.join(least, "component").join(links, "class", "left").select("class", "class_id", "group_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    dropped(classes, many, pruned, verified, component)
+    return members.select("key", "doc_id", "class", "n_shingles").join(out, "class", "left").select(
         "key",
         "doc_id",
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),

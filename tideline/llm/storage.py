@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
+#: Tables written inside calls of `alone` that are under way.
+_MEANWHILE: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +34,20 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.tideline_path = path
+    for tables in _MEANWHILE:
+        tables.append(out)
+    return out
+
+
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns as a table, without all tables that were written to make it."""
+    tables: list[DataFrame] = []
+    _MEANWHILE.append(tables)
+    try:
+        out = materialize(make())
+    finally:
+        _MEANWHILE.pop()
+    dropped(*[t for t in tables if t is not out])
     return out
 
 
