@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import decontaminate, jaccard_join, line_dedup, piece_codec, quality
-from tideline.llm.storage import materialize
+from tideline.llm.storage import alone, dropped
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; each stage is written as Parquet and read by the next."""
+    """The rows of the last stage over documents; each stage is written as Parquet and read by the next.
+
+    What a stage has written on its way goes when it is done, and its rows when the next one is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = alone(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
