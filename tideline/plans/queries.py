@@ -20,7 +20,7 @@ from tideline.streaming.live import intraday, policy_memory, tick_bars
 
 
 def bars(spark: SparkSession, d: str, weekdays: bool = True) -> DataFrame:
-    """Daily bars of line items: a symbol for each flag and status, the price an item."""
+    """Daily bars of line items: a symbol for each flag and status, the price an item; without weekends, as trading days are, if weekdays."""
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     day = F.col("l_shipdate").cast("date")
     t = t.filter(F.weekday(day) < 5) if weekdays else t

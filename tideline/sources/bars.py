@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+# The columns of the files and feeds that are read.
 _DOUBLES = ["open", "high", "low", "close", "volume", "amount"]
-BARS = T.StructType([T.StructField("datetime", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _DOUBLES]])
-VENDOR_BARS = T.StructType([T.StructField(c, T.StringType() if c in ("date", "code") else T.DoubleType()) for c in "date code open high low close preclose volume amount adjustflag turn tradestatus pctChg isST".split()])
+_VENDOR = ["date", "code", "open", "high", "low", "close", "preclose", "volume", "amount", "adjustflag", "turn", "tradestatus", "pctChg", "isST"]
+_SNAPSHOT = ["code", "close", "amount", "open", "high", "low", "pre_close", "date"]
+
+
+def _schema(columns: list[str], texts: list[str]) -> T.StructType:
+    """Columns of doubles, but for texts."""
+    return T.StructType([T.StructField(c, T.StringType() if c in texts else T.DoubleType()) for c in columns])
+
+
+BARS = _schema(["datetime", *_DOUBLES], ["datetime"])
+VENDOR_BARS = _schema(_VENDOR, ["date", "code"])
 UNIVERSE = T.StructType([T.StructField("code", T.StringType()), T.StructField("freq", T.IntegerType()), T.StructField("name", T.StringType())])
-SNAPSHOT = T.StructType([T.StructField("code", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("close", "amount", "open", "high", "low", "pre_close")], T.StructField("date", T.StringType())])
+SNAPSHOT = _schema(_SNAPSHOT, ["code", "date"])
 
 
 def parsed_date(c: str | Column) -> Column:
