@@ -1,10 +1,12 @@
 """HTML extraction with a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks: runs of text between block-level tags.
-Each block has a hashed vector of its tag path (tags, classes, ids), a hashed vector of
-its words and a few measures. A bidirectional LSTM in numpy reads the whole sequence and
-labels every block as main text or not. It is trained here, on generated pages of many
-layouts whose blocks are known; batches of pages run through it inside tasks.
+Each block has a vector of its tag path (tags, and known parts of class and id names), a
+hashed vector of its words, and measures of itself and of the elements around it (how much
+text they hold and how much of that is links). A bidirectional LSTM in numpy reads the whole
+sequence and labels every block as main text or not. It is trained here, on generated pages of
+many layouts whose blocks are known, with telling names, machine-made names and none; batches
+of pages run through it inside tasks.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-PATH, WORD, MEASURES = 96, 32, 6
-INPUTS = PATH + WORD + MEASURES
+WORD, MEASURES, LEVELS = 128, 6, 4
 HIDDEN = 24
-TRAINING_PAGES = 1000
-EPOCHS = 3
+TRAINING_PAGES = 1600
+EPOCHS = 5
 SEED = 5
 
 # Fixed values of HTML: elements inside a line of text (of formulas and drawings, too), without an end tag, with text
@@ -42,13 +43,21 @@ ENDS_PARAGRAPH = set("address article aside blockquote details div dl fieldset f
 ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("ul ol dl table tbody thead tfoot article section div body main aside nav".split())
 
+# Names that the tag path tells apart: elements, whole words of class, id and role, and parts of such words.
+_TAGS = set("address article aside blockquote body center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre section summary table td th tr ul".split())
+_WHOLE = set("ad ads ad1 ads1 side rail main body text post page top tools toc bas haut pied kopf fuss alert more".split())
+_PARTS = set("advert aktuell alert anzeig article artikel author banner bottom breadcrumb byline colophon comment consent content contenido contenu cookie copyright corps cuerpo discussion disqus entry enlace footer form gdpr head inhalt legal login mast menu meta nav news notice popular post primary privacy promo publici recommend region related replies reply response review search secondary share sharing sidebar sign social sponsor story subscri tag title toolbar topnav trend widget werbung".split())
+_PATH_SLOTS = {name: k for k, name in enumerate([*(f"<{t}>" for t in sorted(_TAGS)), *(f"={w}" for w in sorted(_WHOLE)), *sorted(_PARTS)])}
+PATH = len(_PATH_SLOTS)
+INPUTS = PATH + WORD + MEASURES + 3 * LEVELS
+
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r">|=\s*([\"'])")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 class Place:
-    """An open element by its names (tag, tag.class) and the one around it."""
+    """An open element by its names (<tag>, then words of class, id and role) and the one around it."""
 
     __slots__ = ("around", "names", "depth", "_row")
 
@@ -65,8 +74,7 @@ class Place:
         row = place._row if place is not None else np.zeros(PATH, bool)
         for place in reversed(waiting):
             row = row.copy()
-            # Besides tag.name the name alone counts, whatever tag has it.
-            row[[_slot(n, PATH) for name in place.names for n in (name, name.partition(".")[2]) if n]] = True
+            row[[k for name in place.names for k in _path_slots(name)]] = True
             place._row = row
         return row
 
@@ -202,7 +210,7 @@ def blocks(page: str) -> list[Block]:
             continue
         place = stack[-1][1] if stack else None
         if tag not in INLINE:
-            place = Place(place, (tag, *(f"{tag}.{n}" for x in _NAMES.findall(attributes) for n in re.split(r"[\s_-]+", "".join(x).lower()) if n)))
+            place = Place(place, (f"<{tag}>", *(n for x in _NAMES.findall(attributes) for n in re.split(r"[\s_-]+", "".join(x).lower()) if n)))
         stack.append((tag, place))
         opened[tag] += 1
         hidden += tag in HIDDEN_TEXT
@@ -221,16 +229,51 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode()) % size
 
 
+@functools.lru_cache(maxsize=100_000)
+def _path_slots(name: str) -> tuple[int, ...]:
+    """Slots of a tag or of a word of a class; machine-made names have none."""
+    if name.startswith("<"):
+        return (_PATH_SLOTS[name],) if name in _PATH_SLOTS else ()
+    whole = (_PATH_SLOTS[f"={name}"],) if name in _WHOLE else ()
+    return whole + tuple(_PATH_SLOTS[part] for part in sorted(_PARTS) if part in name)
+
+
+def _held(found: list[Block]) -> dict[Place | None, list[int]]:
+    """Characters, and those inside links, that each element around a block holds; None is the page."""
+    held: dict[Place | None, list[int]] = {None: [0, 0]}
+    for b in found:
+        place = b.place
+        while place is not None and place not in held:
+            held[place] = [0, 0]
+            place = place.around
+        of = held[b.place]
+        of[0] += len(b.text)
+        of[1] += b.linked
+    for place in sorted((p for p in held if p is not None), key=lambda p: -p.depth):
+        of, around = held[place], held[place.around]
+        around[0] += of[0]
+        around[1] += of[1]
+    return held
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), INPUTS), np.float32)
+    held = _held(found)
+    page = held[None][0] - held[None][1] or 1
     for row, b in zip(x, found, strict=True):
         depth = 0
         if b.place is not None:
             row[:PATH], depth = b.place.row(), b.place.depth
-        words = b.text.split()
-        row[PATH : PATH + WORD] = np.bincount([_slot(w, WORD) for w in words], minlength=WORD) / len(words)
+        words = b.text.lower().split()
+        row[PATH : PATH + WORD] = np.bincount([_slot(w.strip(".,:;!?()") or w, WORD) for w in words], minlength=WORD) / len(words)
         n = len(b.text)
-        row[PATH + WORD :] = (min(1.0, np.log1p(n) / 8), b.linked / n, min(4.0, depth / 16), min(1.0, b.text.count(".") / 8), b.text[-1] in ".!?", min(1.0, n / 40))
+        measures, place = [], b.place
+        for _ in range(LEVELS):
+            chars, linked = held[place]
+            measures += [min(1.0, np.log1p(chars) / 10), linked / chars, (chars - linked) / page]
+            place = place.around if place is not None else None
+        row[PATH + WORD + MEASURES :] = measures
+        row[PATH + WORD : PATH + WORD + MEASURES] = (min(1.0, np.log1p(n) / 8), b.linked / n, min(4.0, depth / 16), min(1.0, b.text.count(".") / 8), b.text[-1] in ".!?", min(1.0, n / 40))
     return x
 
 
@@ -308,14 +351,14 @@ def probabilities(model: Labeller, pages: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> Labeller:
-    """Adam on the cross-entropy of all blocks."""
+    """Adam on the cross-entropy of all blocks, in ever smaller steps."""
     rng = np.random.default_rng(SEED)
     size = INPUTS + HIDDEN + 1
     w = (rng.standard_normal((2, size, 4 * HIDDEN)) * 0.1).astype(np.float32)
     w[:, -1, HIDDEN : 2 * HIDDEN] = 1
     parameters = [w, (rng.standard_normal(2 * HIDDEN + 1) * 0.1).astype(np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-    step = 0
+    step, steps = 0, epochs * -(-len(pages) // 16)
     for _ in range(epochs):
         order = rng.permutation(len(pages))
         for a in range(0, len(order), 16):
@@ -333,93 +376,194 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> L
             d_states = d[:, :, None] * out[:-1]
             g_w = np.stack([_backward(w[0], x, mask, kept, d_states[:, :, :HIDDEN]), _backward(w[1], x[::-1], mask[::-1], kept_back, d_states[::-1, :, HIDDEN:])])
             step += 1
+            rate = 0.01 * (1.05 - step / steps)
             for p, g, (m1, m2) in zip(parameters, (g_w, g_out), moments, strict=True):
                 m1 += 0.1 * (g - m1)
                 m2 += 0.001 * (g * g - m2)
-                p -= (0.01 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                p -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return Labeller(*parameters)
 
 
-# Names that pages give to parts outside the main text, and to what holds it.
+# Names that pages give to parts outside the main text, to what holds it, and to what holds anything.
 _ASIDE = {
-    "nav": "nav menu navbar navigation breadcrumb topnav", "header": "header masthead site-header banner top", "footer": "footer site-footer colophon bottom", "aside": "sidebar aside widget related recommended trending",
-    "ad": "ad ads advert advertisement sponsored promo banner-ad", "notice": "cookie notice consent gdpr alert message", "form": "newsletter subscribe signup search login form", "comment": "comments comment comment-list replies discussion reply", "share": "share social tags meta-links",
+    "nav": "nav menu navbar navigation breadcrumb topnav", "header": "header masthead site-header banner top kopf haut", "footer": "footer site-footer colophon bottom legal fuss pied", "aside": "sidebar aside widget related recommended trending rail popular side",
+    "ad": "ad ads advert advertisement sponsored promo banner-ad werbung publicidad", "notice": "cookie notice consent gdpr alert message", "form": "newsletter subscribe signup search login form", "comment": "comments comment comment-list replies discussion reply responses reviews", "share": "share social tags meta-links toolbar",
+}
+_MAIN = "article content main post entry story text body-text post-content article-body entry-content primary artikel".split()
+_ANY = "page site container wrapper content main body row layout region primary".split()
+_UTILITY = "flex grid px-4 mt-6 mb-4 text-lg text-sm font-bold bg-white border-t mx-auto max-w-2xl container col-span-8 sticky".split()
+
+# Common words of four languages, and words that stand in parts outside the main text.
+_COMMON = [
+    "the of and to in is that it was for on with as at by this from they had not are but which one when there".split(),
+    "der die das und in zu den ist mit von sich nicht auf ein eine es dem auch als an wurde nach bei noch".split(),
+    "le la les de des et en un une du dans que qui il est pour sur pas au plus par avec ce".split(),
+    "el la los las de y en un una que se por con para del al es lo como su no más pero".split(),
+]
+_SAID = {
+    "nav": "home news sport business about us contact help login start shop blog inicio accueil startseite next previous index",
+    "header": "the daily journal online welcome to skip to content sign in search",
+    "footer": "copyright all rights reserved privacy policy terms of use contact imprint © impressum datenschutz alle rechte vorbehalten tous droits réservés mentions légales todos los derechos reservados last updated powered by site",
+    "aside": "related articles read more most popular trending now you may also like recent posts archives links mehr zum thema à lire aussi lo más leído categories tools events",
+    "ad": "advertisement sponsored buy now anzeige publicidad publicité offer save",
+    "notice": "we use cookies to improve your experience accept learn more wir verwenden cookies",
+    "form": "subscribe to our newsletter sign up email inbox get updates search abonnez suscríbete your",
+    "comment": "thanks great post i agree love this says comments replies reviews thank you",
+    "share": "share this twitter facebook email print tweet like",
 }
-_MAIN = "article content main post entry story text body-text post-content article-body entry-content".split()
 
 
 def generated_page(rng: np.random.Generator) -> str:
-    """A page in some layout; the blocks of its main text hold the mark \\x02 (removed before the model sees them)."""
+    """A page in some layout; the blocks of its main text hold the mark \x02 (removed before the model sees them).
+
+    A page names its parts tellingly, tellingly within longer names, by utility classes, by machine-made names or
+    not at all, and has semantic tags or not; where nothing names them, links and words tell its parts apart.
+    """
     letters = "".join(rng.choice(list("abdeghilmnorstu"), 40))
+    common = _COMMON[int(rng.integers(0, 4))] if rng.random() < 0.8 else []
+    naming = str(rng.choice(["plain", "longer", "utility", "machine", "none"], p=[0.36, 0.14, 0.12, 0.23, 0.15]))
+    semantic = rng.random() < (0.65 if naming in ("plain", "longer") else 0.35)
+    told = semantic or naming in ("plain", "longer")
+    prefix = str(rng.choice(["css-", "sc-", "_", "k", "x"]))
+    machine: dict[str, str] = {}
+    by_words = not told or rng.random() < 0.6
+
+    def below(n: int) -> int:
+        return int(rng.random() * n)
 
     def word() -> str:
-        a = int(rng.integers(0, 30))
-        return letters[a : a + int(rng.integers(2, 9))]
+        if common and rng.random() < 0.45:
+            return common[below(len(common))]
+        a = below(30)
+        return letters[a : a + 2 + below(7)]
 
     def sentence(n: int) -> str:
-        return " ".join(word() for _ in range(n)).capitalize() + str(rng.choice([".", ".", ".", "!", "?", ""]))
+        return " ".join(word() for _ in range(n)).capitalize() + [".", ".", ".", "!", "?", ""][below(6)]
 
     def text(low: int, high: int) -> str:
-        return " ".join(sentence(int(rng.integers(1, 14))) for _ in range(int(rng.integers(low, high))))
+        return " ".join(sentence(1 + below(13)) for _ in range(low + below(high - low)))
 
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+    def title() -> str:
+        return sentence(int(rng.integers(1, 12))).rstrip("." if rng.random() < 0.8 else "")
 
-    def attribute(name: str) -> str:
-        return f' {rng.choice(["class", "id", "class"])}="{name}"' if name else ""
+    def said(kind: str, low: int, high: int) -> str:
+        """Words of such a part, among any others."""
+        if not by_words:
+            return text(low, high)
+        words = _SAID[kind].split()
+        a = int(rng.integers(0, len(words)))
+        some = words[a : a + int(rng.integers(1, 8))]
+        return (" ".join(some).capitalize() + str(rng.choice([".", "", ""])) + (" " + text(low, high) if rng.random() < 0.35 else "")).strip()
+
+    def link(kind: str) -> str:
+        return f'<a href="/{word()}">{said(kind, 1, 2) if rng.random() < 0.3 else sentence(int(rng.integers(1, 7))).rstrip(".")}</a>'
+
+    def links(kind: str, n: int) -> str:
+        r = rng.random()
+        each = [link(kind) for _ in range(n)]
+        if r < 0.55:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>"
+        if r < 0.7:
+            return "".join(f"<div{named('item')}>{x}</div>" for x in each)
+        return str(rng.choice(["<br>", " | ", " ", ""])).join(each)
+
+    def named(name: str) -> str:
+        if naming == "none" or not name:
+            return ""
+        if naming == "utility":
+            name = " ".join(rng.choice(_UTILITY, 2))
+        elif naming == "machine":
+            name = machine.setdefault(name, prefix + "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyz0123456789"), int(rng.integers(1, 7)))))
+        elif naming == "longer":
+            name = str(rng.choice([f"{word()}-{name}", f"{name}__{word()}", f"{name}-wrap {word()}", f"{name}{word()}"]))
+        return f' {rng.choice(["class", "id", "class"])}="{name}"'
 
     def other(kind: str) -> str:
         name = str(rng.choice(_ASIDE[kind].split()))
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
-        plain = tag != "div" and rng.random() < 0.6
-        open_, close = (f"<{tag}{attribute(name if rng.random() < 0.3 else '')}>", f"</{tag}>") if plain else (f"<div{attribute(name)}>", "</div>")
+        plain = tag != "div" and semantic and (naming != "plain" or rng.random() < 0.7)
+        open_, close = (f"<{tag}{named(name if rng.random() < 0.3 else '')}>", f"</{tag}>") if plain else (f"<div{named(name)}>", "</div>")
+        lead = f"<{(t := str(rng.choice(['h3', 'h2', 'h4', 'div', 'p', 'b'])))}>{said(kind, 1, 2)}</{t}>"
+        n = int(rng.integers(2, 10))
+        # Only a part whose tag or name tells what it is may hold plain prose.
+        prose = (plain or naming in ("plain", "longer")) and rng.random() < 0.7
         body = {
-            "nav": f"<ul>{links(int(rng.integers(2, 10)))}</ul>",
-            "header": f"<p>{sentence(3)}</p>" + (f"<h1>{sentence(2)}</h1>" if rng.random() < 0.3 else "") + f"<ul>{links(2)}</ul>" * int(rng.integers(0, 2)),
-            "footer": f"&copy; {word()}.example &middot; {text(1, 4)}" if rng.random() < 0.5 else f"<p>{text(1, 3)}</p><ul>{links(3)}</ul>",
-            "aside": f"<h3>{sentence(2)}</h3><ul>{links(4)}</ul>" if rng.random() < 0.5 else f"<h3>{sentence(2)}</h3><p>{text(1, 4)}</p>",
-            "ad": text(1, 5) if rng.random() < 0.6 else f"<p>{text(1, 4)}</p><a href='/x'>{sentence(2)}</a>",
-            "notice": f"<p>{text(1, 3)}</p><button>{word()}</button>" if rng.random() < 0.7 else text(1, 3),
-            "form": f"<p>{text(1, 2)}</p><label>{word()}</label><input name=q><button>{word()}</button>",
-            "comment": "".join(f"<{t}{attribute('comment')}><p>{text(1, 6)}</p></{t}>" for t in [str(rng.choice(["div", "li", "article", "section"]))] for _ in range(int(rng.integers(1, 6)))),
-            "share": f"<ul>{links(3)}</ul>" if rng.random() < 0.5 else f"<span>{word()}</span> <a href='#'>{word()}</a>",
-        }[kind]
+            "nav": lambda: links("nav", n),
+            "header": lambda: (f"<p>{said('header', 1, 2)}</p>" if rng.random() < 0.5 else f'<a href="/">{sentence(2)}</a>') + (f"<h1>{sentence(2)}</h1>" if rng.random() < 0.2 and told else "") + links("nav", 3) * int(rng.integers(0, 2)),
+            "footer": lambda: (f"&copy; {word()}.example &middot; {text(1, 4) if prose else said('footer', 1, 2)}" if rng.random() < 0.5 else f"<p>{text(1, 3) if prose else said('footer', 1, 3)}</p>" + links("footer", 3)),
+            "aside": lambda: lead + links("aside", int(rng.integers(1, 5))) if rng.random() < 0.7 or not prose else f"<h3>{sentence(2)}</h3><p>{text(1, 4)}</p>",
+            "ad": lambda: (text(1, 5) if rng.random() < 0.6 else f"<p>{text(1, 4)}</p><a href='/x'>{sentence(2)}</a>") if prose else said("ad", 1, 2) + f" <a href='/x'>{said('ad', 1, 2)}</a>" * int(rng.integers(0, 2)),
+            "notice": lambda: f"<p>{text(1, 3) if prose else said('notice', 1, 3)}</p>" + f"<button>{word()}</button>" * int(rng.integers(0, 2)),
+            "form": lambda: f"<p>{text(1, 2) if prose else said('form', 1, 3)}</p><label>{word()}</label><input name=q><button>{word()}</button>",
+            "comment": lambda: (lead if rng.random() < 0.6 or not prose else "") + "".join(f"<{t}{named('comment')}><p>{said('comment', 1, 3) if not prose else text(1, 6)}</p></{t}>" for t in [str(rng.choice(["div", "li", "article" if told else "div", "section"]))] for _ in range(int(rng.integers(1, 6)))),
+            "share": lambda: links("share", 3) if rng.random() < 0.5 else f"<span>{said('share', 1, 2)}</span> <a href='#'>{word()}</a>",
+        }[kind]()
         return open_ + body + close
 
+    mark = "\x02"
+
     def main_block(first: bool) -> str:
-        mark = "\x02"
         if first:
-            return f"<h1>{mark}{sentence(int(rng.integers(2, 14)))}</h1>"
+            t = str(rng.choice(["h1", "h1", "h1", "h2", "div", "b"]))
+            if t == "b":
+                return f"<p><b>{mark}{title()}</b></p>"
+            return f"<{t}{named('headline') if t == 'div' else ''}>{mark}{title()}</{t}>"
         r = rng.random()
-        body = mark + text(1, 9 if r < 0.8 else 2)
-        if r < 0.55:
-            return f"<p>{body}</p>"
-        if r < 0.7:
+        body = mark + (text(1, 9 if r < 0.8 else 3) if rng.random() < 0.75 else sentence(1 + below(4)))
+        if r < 0.5:
+            return f"<p{named('para') if rng.random() < 0.3 else ''}>{body}</p>"
+        if r < 0.62:
             return f"<p><b>{body}<br>"
-        if r < 0.76:
-            return f"<h2>{mark}{sentence(3)}</h2>"
-        if r < 0.82:
-            return f"<blockquote><p>{body}</p></blockquote>"
-        if r < 0.88:
-            return "<ul>" + "".join(f"<li>{mark}{sentence(6)}</li>" for _ in range(3)) + "</ul>"
-        if r < 0.92:
+        if r < 0.7:
+            return f"<h{(h := int(rng.integers(2, 4)))}>{mark}{title()}</h{h}>"
+        if r < 0.75:
+            return f"<blockquote><p>{body}</p></blockquote>" if rng.random() < 0.6 else f"<blockquote>{body}</blockquote>"
+        if r < 0.83:
+            t = str(rng.choice(["ul", "ol"]))
+            return f"<{t}>" + "".join(f"<li>{mark}{sentence(int(rng.integers(2, 12)))}</li>" for _ in range(int(rng.integers(2, 5)))) + f"</{t}>"
+        if r < 0.87:
+            return "<dl>" + "".join(f"<dt>{mark}{sentence(2)}</dt><dd>{mark}{text(1, 3)}</dd>" for _ in range(int(rng.integers(1, 4)))) + "</dl>"
+        if r < 0.91:
             return f"<pre>{body}</pre>"
-        if r < 0.96:
-            return f"<table><tr><td>{mark}{word()}</td><td>{mark}{word()}</td></tr></table>"
+        if r < 0.94:
+            return "<table>" + "".join(f"<tr><td>{mark}{word()}</td><td>{mark}{word()}</td></tr>" for _ in range(int(rng.integers(1, 4)))) + "</table>"
+        if r < 0.97:
+            return f"<section><p>{body}</p></section>"
         return f"<div>{body}</div>"
 
     kinds = list(_ASIDE)
-    inner = [main_block(k == 0 and rng.random() < 0.7) for k in range(int(rng.integers(1, 12)))]
+    style = rng.random()
+    inner = [main_block(k == 0 and rng.random() < 0.8) for k in range(int(rng.integers(1, 12)))]
+    if style < 0.12:  # every paragraph in an element of its own
+        inner = [inner[0], *(f"<div{named('block')}><div{named('para')}>{mark}{text(1, 6)}</div></div>" if style < 0.06 else f"<div{named('para')}>{mark}{text(1, 6)}</div>" for _ in inner[1:])]
+    elif rng.random() < 0.15:
+        inner[0] = f"<header>{inner[0]}</header>"
     for kind in rng.choice(["ad", "share", "form", "notice", "aside", "nav"], int(rng.integers(0, 3))):
         inner.insert(int(rng.integers(1, len(inner) + 1)), other(str(kind)))
-    if rng.random() < 0.3:
+    if rng.random() < 0.2:
         inner.append(other("comment"))
-    name = str(rng.choice(_MAIN))
     r = rng.random()
-    wrap = ("<article>", "</article>") if r < 0.5 else ("<main>", "</main>") if r < 0.6 else (f"<div{attribute(name)}>", "</div>") if r < 0.9 else (f"<section{attribute(name)}>", "</section>")
+    main = "".join(inner)
+    for _ in range(int(rng.integers(0, 4))):
+        main = f"<div{named(str(rng.choice(_MAIN)) if rng.random() < 0.5 else str(rng.choice(_ANY)))}>{main}</div>"
+    if told:
+        main = f"<article>{main}</article>" if semantic and r < 0.6 else f"<main>{main}</main>" if semantic and r < 0.8 else f"<{(t := str(rng.choice(['div', 'div', 'section'])))}{named(str(rng.choice(_MAIN)))}>{main}</{t}>"
+    elif r < 0.85:
+        main = f"<div{named('holder')}>{main}</div>"
     before = [other(str(k)) for k in rng.choice(["nav", "header", "ad", "notice", "form", "aside", "share"], int(rng.integers(0, 5)))]
     after = [other(str(k)) for k in rng.choice(kinds, int(rng.integers(0, 5)))]
-    return f"<!DOCTYPE html><html><head><title>{sentence(3)}</title></head><body>{''.join(before)}{wrap[0]}{''.join(inner)}{wrap[1]}{''.join(after)}</body></html>"
+    if not told and rng.random() < 0.4:  # cells
+        foot = f"<tr><td colspan=2>{said('footer', 1, 2)}</td></tr>" if rng.random() < 0.7 else ""
+        side, cells = f"<td width=120>{links('nav', int(rng.integers(2, 8)))}</td>", f"<td valign=top>{main}</td>"
+        head = f"<tr><td colspan=2>{link('header')}</td></tr>" if rng.random() < 0.6 else ""
+        page = f"<table>{head}<tr>{side + cells if rng.random() < 0.6 else cells + side}</tr>{foot}</table>" + ("" if foot or rng.random() < 0.3 else f"<{(t := str(rng.choice(['p', 'center', 'div'])))}><small>{said('footer', 1, 2)}</small></{t}>")
+    else:
+        page = "".join(before) + main + "".join(after)
+        if after and rng.random() < 0.3:  # main text and what stands beside it in one element
+            page = "".join(before) + f"<div{named(str(rng.choice(_ANY)))}>{main}{after[0]}</div>" + "".join(after[1:])
+    if rng.random() < 0.4:
+        page = f"<div{named(str(rng.choice(_ANY)))}>{page}</div>"
+    return f"<!DOCTYPE html><html><head><title>{sentence(3)}</title></head><body{named('page') if rng.random() < 0.2 else ''}>{page}</body></html>"
 
 
 def generated(count: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
