@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: multiprobe cross-polytope hashing, then exact reranking.
 
 A vector of unit length is turned by fast Hadamard pseudo-rotations and hashed to the
-nearest signed axis; two such hashes name a bucket of a table. Queries also look into the
+nearest signed axis; two such hashes name a bucket of a table. Vectors of another number of
+components have tables of their own. Queries also look into the
 buckets that are next best. Buckets meet their queries by a shuffle; large ones are cut
 into blocks. Each task keeps the best candidates of each query it has seen, so that
 candidates make no rows of their own.
@@ -71,23 +72,42 @@ def probes(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
     return names[0][a] * 2 * len(x) + names[1][b]
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+class _Vectors:
+    """The vectors of an Arrow list column, which may differ in length from row to row."""
 
+    def __init__(self, column: pa.Array) -> None:
+        self.values = column.flatten().to_numpy()
+        starts = column.offsets.to_numpy()
+        self.starts = starts - starts[0]
+        self.sizes = np.diff(starts)
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """Rows a to b, all of one length."""
+        return self.values[self.starts[a] : self.starts[b]].reshape(b - a, -1).astype(np.float64)
+
+    def of_size(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of this length, and their vectors."""
+        at = np.flatnonzero(self.sizes == size)
+        return at, self.values[self.starts[at][:, None] + np.arange(size)].astype(np.float64)
+
+
+def _hash(query: bool) -> Callable:
+    """Rows of table, bucket, vec_id, embedding; the tables of vectors of n components start at n * TABLES."""
 
-def _hash(dimension: int, query: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rounds = signs(dimension)
+        all_rounds: dict[int, np.ndarray] = {}
         for batch in batches:
-            if not len(batch):
-                continue
-            vectors = _vectors(batch.column("embedding"))
-            for t, (a, b) in enumerate(all_rounds):
-                x, y = turned(vectors, a), turned(vectors, b)
-                names = [probes(p, q, PROBES) for p, q in zip(x, y, strict=True)] if query else (bucket(x) * 2 * x.shape[1] + bucket(y))[:, None]
-                n = len(names[0])
-                take = pa.array(np.repeat(np.arange(len(batch)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * len(batch), t, np.int32)), pa.array(np.concatenate(names).astype(np.int64)), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["table", "bucket", "vec_id", "embedding"])
+            column = _Vectors(batch.column("embedding"))
+            for size in np.unique(column.sizes).tolist():
+                if size not in all_rounds:
+                    all_rounds[size] = signs(size)
+                at, vectors = column.of_size(size)
+                for t, (a, b) in enumerate(all_rounds[size]):
+                    x, y = turned(vectors, a), turned(vectors, b)
+                    names = [probes(p, q, PROBES) for p, q in zip(x, y, strict=True)] if query else (bucket(x) * 2 * x.shape[1] + bucket(y))[:, None]
+                    n = len(names[0])
+                    take = pa.array(np.repeat(at, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n * len(at), size * TABLES + t, np.int64)), pa.array(np.concatenate(names).astype(np.int64)), batch.column("vec_id").take(take), batch.column("embedding").take(take)], ["table", "bucket", "vec_id", "embedding"])
 
     return run
 
@@ -129,14 +149,14 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("table", "bucket", "block", "kind")])
         edges = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1), len(batch)]
-        all_ids, all_vectors = batch.column("vec_id").to_numpy(), _vectors(batch.column("embedding"))
+        all_ids, column = batch.column("vec_id").to_numpy(), _Vectors(batch.column("embedding"))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             here = tuple(names[:3, a])
             if here != unit:
                 unit, ids, vectors = here, [], []
             if names[3, a] == 0:
                 ids.append(all_ids[a:b])
-                vectors.append(all_vectors[a:b])
+                vectors.append(column.rows(a, b))
             elif ids:
                 if len(ids) > 1:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
@@ -145,7 +165,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 moved = vectors[0] - centre
                 squares = (moved**2).sum(1)
                 for i in range(a, b, 256):
-                    q = all_vectors[i : min(b, i + 256)]
+                    q = column.rows(i, min(b, i + 256))
                     own = q - centre
                     lengths = (own**2).sum(1)
                     rough = lengths[:, None] + squares[None] - 2 * own @ moved.T
@@ -176,45 +196,41 @@ def _ranked(found: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= NEIGHBOURS)
 
 
-def usable(embeddings: DataFrame, dimension: int | None = None) -> tuple[DataFrame, int]:
-    """vec_id, embedding of the vectors that take part, and their dimension.
+def usable(embeddings: DataFrame) -> DataFrame:
+    """vec_id, embedding of the vectors that take part.
 
-    Those that are null, zero, or hold a null or non-finite component don't, nor do rows
-    without vec_id or of another dimension than `dimension` (default: the commonest; of
-    two, the larger). Of rows with the same vec_id the least vector counts.
+    Those that are null, empty, zero, or hold a null or non-finite component don't, nor do rows
+    without vec_id. Of rows with the same vec_id the least vector counts.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     some = F.exists("embedding", lambda x: x != 0)
     kind = "array<float>" if dict(embeddings.dtypes).get("embedding") == "array<float>" else "array<double>"
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some)
-    if dimension is None:
-        size = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-        dimension = size["size"] if size else 1
-    return rows.filter(F.size("embedding") == dimension).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), dimension
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(embeddings: DataFrame, every: int = 100, dimension: int | None = None) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the NEIGHBOURS nearest found of each vector whose id is divisible by `every`.
 
-    All other vectors are candidates; score is the Euclidean distance. Hashing sees
-    directions only, which suits vectors of like length. A query that finds fewer than
-    NEIGHBOURS is compared with all rows, in blocks, so it gets as many as there are.
+    All other vectors with as many components are candidates (between others there is no
+    distance); score is the Euclidean distance. Hashing sees directions only, which suits
+    vectors of like length. A query that finds fewer than NEIGHBOURS is compared with all
+    its candidates, in blocks, so it gets as many as there are.
     """
-    rows, dimension = usable(embeddings, dimension)
-    rows = materialize(rows)
+    rows = materialize(usable(embeddings))
     queries = rows.filter(F.col("vec_id") % every == 0)
-    schema = f"table int, bucket long, vec_id long, embedding {dict(rows.dtypes)['embedding']}"
-    met, counts = _meet(rows.mapInArrow(_hash(dimension, False), schema), queries.mapInArrow(_hash(dimension, True), schema))
+    schema = f"table long, bucket long, vec_id long, embedding {dict(rows.dtypes)['embedding']}"
+    met, counts = _meet(rows.mapInArrow(_hash(False), schema), queries.mapInArrow(_hash(True), schema))
     found = materialize(_ranked(met))
     dropped(counts)
-    n = rows.count()
-    enough = found.groupBy("query_id").count().filter(F.col("count") >= min(NEIGHBOURS, n - 1)).select(F.col("query_id").alias("vec_id"))
-    short = materialize(queries.join(enough, "vec_id", "left_anti"))
+    size = F.size("embedding").alias("size")
+    sizes = rows.groupBy(size).count().select("size", F.least(F.lit(NEIGHBOURS), F.col("count") - 1).alias("there"))
+    has = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("has"))
+    short = materialize(queries.withColumn("size", size).join(sizes, "size").join(has, "vec_id", "left").filter(F.coalesce("has", F.lit(0)) < F.col("there")).select("vec_id", "embedding"))
     if short.isEmpty():
         dropped(rows, short)
     else:
-        blocks = -(-n // BLOCK)
-        one = rows.select(F.lit(-1).alias("table"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("bucket"), "vec_id", "embedding")
-        all_blocks = short.select(F.lit(-1).alias("table"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("bucket"), "vec_id", "embedding")
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").union(_ranked(_meet(one, all_blocks)[0]).select("query_id", "vec_id", "score", "rank"))
+        # One bucket a length, which is cut into blocks as any other.
+        one, asking = (df.select((-F.size("embedding")).cast("long").alias("table"), F.lit(0).cast("long").alias("bucket"), "vec_id", "embedding") for df in (rows, short))
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score", "rank").union(_ranked(_meet(one, asking)[0]).select("query_id", "vec_id", "score", "rank"))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
