@@ -4,6 +4,8 @@ Lines with the same set of tokens form a class. The tokens of a class are put in
 rarity, and what is posted are pairs of neighbours in that order, from the rarest on: the
 prefix of which any similar class must share one. Postings meet by such pairs under
 length, positional and bitmap filters; what passes is verified by its Jaccard similarity.
+Most pairs stand in one class only, so postings are first dealt by their pair with nothing
+but their class and place, and only those that meet get what the filters need.
 A line goes if an earlier one is similar to it; its likely original is tried before all
 others, so that a group of near copies makes no rows for all its pairs.
 
@@ -16,8 +18,9 @@ the same for all lines gives right results.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.llm.storage import dropped, materialize
 
@@ -25,6 +28,8 @@ THRESHOLD = 0.8
 SLOTS = 1 << 18
 #: Levels of frequency; they fit into 7 bits.
 LEVELS = 100
+#: Parts of the tokens whose postings are dealt one after the other.
+PARTS = 2
 _KEY = "__tideline_key"
 
 
@@ -95,6 +100,11 @@ def _parity(half: int) -> Column:
     return F.aggregate("codes", F.lit(0).cast("long"), flip)
 
 
+def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
+    """Whether sets of n and m tokens with these parities may be similar."""
+    differ = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True))
+    return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= n + m - _needed(n, m) * 2)
+
 
 def numbered_classes(posted: DataFrame) -> DataFrame:
     """class, first (its first line), lines (how many), n, bits, more, prefix, id of each class; ids grow in the order of first lines."""
@@ -106,25 +116,31 @@ def numbered_classes(posted: DataFrame) -> DataFrame:
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, more, place, token (each pair of neighbours in a prefix as one number), before (what comes before the pair)."""
+    """id, place, token (each pair of neighbours in a prefix as one number)."""
     low = F.lit(0xFFFFFFFF)
-    before = F.concat(F.array(F.lit(None).cast("int")), F.slice("prefix", F.lit(1), F.size("prefix") - 2))
     pairs = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(low)))
-    each = F.posexplode(F.arrays_zip(pairs.alias("token"), before.alias("before"))).alias("place", "pair")
-    return classes.filter(F.size("prefix") > 1).select("id", "n", "bits", "more", each).select("id", "n", "bits", "more", "place", "pair.token", "pair.before")
+    return classes.filter(F.size("prefix") > 1).select("id", F.posexplode(pairs).alias("place", "token"))
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, more, place, token, before, a: the postings whose token another class has, too; a is the earliest class with it."""
+    """id, n, bits, more, place, token, before (what comes before the pair), a: the postings whose token another class has, too; a is the earliest class with it."""
+    same = Window.partitionBy("token")
     each = _neighbours(classes)
-    met = each.groupBy("token").agg(F.min("id").alias("a"), F.count("*").alias("count")).filter("count > 1").select("token", "a")
-    return materialize(each.join(met, "token"))
+    # All postings are dealt, a part of the tokens at a time, so that the shuffle files of one part lie on disk at once.
+    parts = [each.filter(F.pmod("token", F.lit(PARTS)) == k).select("*", F.min("id").over(same).alias("a"), F.max("id").over(same).alias("z")) for k in range(PARTS)]
+    met = [materialize(part.filter("a < z").drop("z")) for part in parts]
+    before = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).alias("before")
+    out = materialize(reduce(DataFrame.union, met).join(classes.select("id", "n", "bits", "more", "prefix"), "id").select("id", "n", "bits", "more", "place", "token", before, "a"))
+    dropped(*met)
+    return out
 
 
-def likely_originals(shared: DataFrame) -> DataFrame:
-    """a, b: for each class b the one that is most often the earliest class with a token of b: a row a class."""
-    met = shared.filter("a < id").groupBy("id", "a").count()
-    return met.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+def likely_originals(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: for each class b the one that is most often the earliest class with a token of b, if they may be similar: a row a class at most."""
+    met = shared.filter("a < id").groupBy("id", "a").agg(F.count("*").alias("count"), F.first("n").alias("m"), F.first("bits").alias("y0"), F.first("more").alias("y1"))
+    best = met.groupBy(F.col("id").alias("b")).agg(F.max_by(F.struct("a", "m", "y0", "y1"), F.struct("count", "a")).alias("best")).select("b", "best.*")
+    both = best.join(classes.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1")), "a")
+    return both.filter(_alike(F.col("n"), F.col("m"), [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")])).select("a", "b")
 
 
 def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
@@ -141,26 +157,29 @@ def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
     n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = n + m - 2 * o
-    differ = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(2))
-    alike = (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= d)
+    alike = _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")])
     near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
     starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
     return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & alike & near).select("a", "b").distinct()
 
 
-def _class_lines(shared: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, words (64-bit hashes of the distinct ones) of the classes that share a posting."""
-    places = classes.select("id", "first.key", "first.line_no").join(shared.select("id").distinct(), "id")
+def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
+    """id, words (64-bit hashes of the distinct ones) of these classes."""
+    places = classes.select("id", "first.key", "first.line_no").join(ids, "id")
     # Documents that agree in key and line number are copies of one another.
-    words = _lines(documents).select("key", "line_no", "line").join(places, ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
+    words = _lines(documents).select("key", "line_no", "line").join(places.hint("shuffle_hash"), ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
     return materialize(words.dropDuplicates(["id"]))
 
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """id: the b of those pairs whose lines are similar."""
+    pairs = materialize(pairs)
+    lines = _class_lines(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, documents)
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
-    return near.select(F.col("b").alias("id")).distinct()
+    out = materialize(near.select(F.col("b").alias("id")).distinct())
+    dropped(pairs, lines)
+    return out
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
@@ -172,15 +191,15 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     posted = materialize(postings(documents))
     classes = numbered_classes(posted.filter("n > 0"))
     shared = shared_neighbours(classes)
-    lines = _class_lines(shared, classes, documents)
-    first = materialize(_similar(likely_originals(shared), lines))
+    first = _similar(likely_originals(shared, classes), classes, documents)
     asking = shared.select("id").distinct().join(first, "id", "left_anti")
-    rest = materialize(_similar(candidates(shared, asking), lines))
+    rest = _similar(candidates(shared, asking), classes, documents)
+    dropped(shared)
     gone = first.union(rest).withColumn("gone", F.lit(True))
     info = classes.join(gone, "id", "left").filter("gone OR lines > 1").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
     found = posted.filter("n > 0").select("key", "line_no", "class").join(info, "class").filter("gone OR key <> k OR line_no <> l")
     out = materialize(found.groupBy("key").agg(F.collect_set("line_no").alias("lines")))
-    dropped(posted, classes, shared, lines, first, rest)
+    dropped(posted, classes, first, rest)
     return out
 
 
