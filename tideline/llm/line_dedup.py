@@ -174,7 +174,9 @@ def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> Da
 def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """id: the b of those pairs whose lines are similar."""
     pairs = materialize(pairs)
-    lines = _class_lines(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, documents)
+    # A class may be in many pairs.
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
+    lines = _class_lines(ids, classes, documents)
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
     out = materialize(near.select(F.col("b").alias("id")).distinct())
