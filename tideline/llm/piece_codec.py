@@ -29,12 +29,12 @@ from tideline.llm.text import mix, pieces, utf8
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
-#: Bytes of texts whose new parts are searched together.
-TOGETHER = 1 << 22
+#: Bytes of texts whose parts are looked up together, code points of new parts that are searched together, and of the longest of those.
+TOGETHER, SEARCHED, LONG = 1 << 20, 1 << 16, 64
 #: Rows of an output batch.
 ROWS = 256
 #: Parts whose segmentations a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: A character without a piece scores this less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Pieces that score no more than this are for other uses and don't set that.
@@ -163,83 +163,138 @@ def best_and_gap(pieces: Pieces, part: str) -> tuple[float, float, bytes]:
 
 
 class PieceTable:
-    """Looks up many strings of code points among the pieces at once, by 64-bit hashes."""
+    """Looks up many strings of code points among the pieces and their prefixes at once, by 64-bit hashes."""
 
     def __init__(self, pieces: Pieces) -> None:
-        own = [(p, i) for p, i in pieces.known.items() if i >= 0]
-        self.longest = max(len(p) for p, _ in own)
-        h = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p, _ in own], np.uint64)
+        self.longest = max(len(p) for p, i in pieces.known.items() if i >= 0)
+        n = np.fromiter(map(len, pieces.known), np.int64)
+        chars = np.frombuffer("".join(pieces.known).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(len(n), np.uint64)
+        for k in range(int(n.max(initial=0))):
+            on = np.flatnonzero(n > k)
+            h[on] = self.step(h[on], chars[(np.cumsum(n) - n)[on] + k])
         order = np.argsort(h)
-        self.hashes, self.ids = h[order], np.array([i for _, i in own])[order]
-        # A map of the upper bits tells most strings apart before the search.
-        self.may = np.zeros(1 << 20, bool)
-        self.may[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # Strings with the same upper bits follow one another; the numbers at the end keep the last ones in range.
+        buckets = (h[order] >> np.uint64(44)).astype(np.int64)
+        counts = np.bincount(buckets, minlength=1 << 20)
+        self.most = int(counts.max(initial=0))
+        self.first, self.filled = (np.cumsum(counts) - counts).astype(np.int32), counts > 0
+        self.hashes = np.append(h[order], np.zeros(self.most, np.uint64))
+        self.ids = np.append(np.fromiter(pieces.known.values(), np.int32)[order], np.full(self.most, -2, np.int32))
         self.scores = np.array(pieces.scores)
 
     @staticmethod
     def step(h: np.ndarray, chars: np.ndarray) -> np.ndarray:
         return mix(h + chars + np.uint64(1))
 
-    def _hash(self, chars: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(chars), np.uint64)
-        for k in range(chars.shape[1]):
-            h = self.step(h, chars[:, k])
-        return h
-
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids, or -1."""
-        out = np.full(len(h), -1)
-        some = np.flatnonzero(self.may[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        out[some] = np.where(self.hashes[at] == h[some], self.ids[at], -1)
+        """Ids; -1 of strings that only begin pieces, and -2 of all others."""
+        out = np.full(len(h), -2, np.int32)
+        bucket = (h >> np.uint64(44)).astype(np.int64)
+        some = np.flatnonzero(self.filled[bucket])
+        h, at = h[some], self.first[bucket[some]]
+        for k in range(self.most):
+            same = self.hashes[at + k] == h
+            out[some[same]] = self.ids[(at + k)[same]]
         return out
 
 
-def many_best_and_gap(pieces: Pieces, table: PieceTable, parts: list[str]) -> Iterator[tuple[str, tuple[float, float, bytes]]]:
-    """best_and_gap of parts of one length, by the same rules, for all of them at once."""
-    m, n = len(parts), len(parts[0])
-    chars = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64)
-    edges: list[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n + 1)]
-    alone = np.zeros(m, bool)
-    for i in range(n):
-        h = np.zeros(m, np.uint64)
-        for j in range(i + 1, min(n, i + table.longest) + 1):
-            h = table.step(h, chars[:, j - 1])
-            ids = table.find(h)
-            if j == i + 1:
-                alone |= ids < 0
-            rows = np.flatnonzero(ids >= 0)
-            if len(rows):
-                edges[j].append((i, rows, ids[rows], table.scores[ids[rows]]))
-    best, back, piece = np.zeros((n + 1, m)), np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
-    for j in range(1, n + 1):
-        best[j] = -1e300
-        for i, rows, ids, score in edges[j]:
-            total = best[i, rows] + score
-            better = np.flatnonzero(total > best[j, rows])
-            rows = rows[better]
-            best[j, rows], back[j, rows], piece[j, rows] = total[better], i, ids[better]
-    on_path, rows, at = np.zeros((n + 1, m), bool), np.arange(m), np.full(m, n)
-    while at.any():
-        on_path[at, rows] = True
-        at = back[at, rows]
-    on_path[0] = False
-    after, other = np.full((n + 1, m), -1e300), np.full(m, -1e300)
-    after[n] = 0
-    for j in range(n, 0, -1):
-        for i, rows, _, score in edges[j]:
-            total = score + after[j, rows]
-            after[i, rows] = np.maximum(after[i, rows], total)
-            total += best[i, rows]
-            total[on_path[j, rows] & (back[j, rows] == i)] = -1e300
-            other[rows] = np.maximum(other[rows], total)
-    gap = np.where(other > -1e299, np.maximum(0.0, best[n] - other), np.inf)
-    flat, ends = piece.T[on_path.T].astype(np.int32), np.cumsum(on_path.sum(0))
-    for k, part in enumerate(parts):
-        if alone[k]:  # a character without a piece
-            yield part, best_and_gap(pieces, part)
-        else:
-            yield part, (float(best[n, k]), float(gap[k]), flat[ends[k - 1] if k else 0 : ends[k]].tobytes())
+class Found(NamedTuple):
+    """best_and_gap of many parts, in their order."""
+
+    score: np.ndarray
+    gap: np.ndarray
+    size: np.ndarray  # how many ids
+    ids: np.ndarray  # of all parts, one after another
+
+
+def many_best_and_gap(pieces: Pieces, table: PieceTable, parts: list[str]) -> Found:
+    """best_and_gap of parts, by the same rules, for many of them at once.
+
+    Place j of a part has the cell of its first place plus j; the pieces are met in the order of
+    the place where they end, then of that where they start, in all parts at once.
+    """
+    m = len(parts)
+    n = np.fromiter(map(len, parts), np.int64, m)
+    first = np.cumsum(n + 1) - (n + 1)
+    last = first + n
+    chars = np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    part = np.repeat(np.arange(m), n + 1)
+    place = np.arange(len(chars)) - first[part]
+    left = n[part] - place
+    start, size, piece = [], [], []
+    at = np.flatnonzero(left)
+    h, alone = np.zeros(len(at), np.uint64), np.zeros(m, bool)
+    for k in range(1, table.longest + 1):
+        h = table.step(h, chars[at + (k - 1)])
+        ids = table.find(h)
+        if k == 1:
+            alone[part[at[ids < 0]]] = True
+            ids[alone[part[at]]] = -2
+        here = np.flatnonzero(ids >= 0)
+        start.append(at[here])
+        size.append(np.full(len(here), k))
+        piece.append(ids[here])
+        on = np.flatnonzero((ids > -2) & (left[at] > k))
+        at, h = at[on], h[on]
+    start, size, piece = np.concatenate(start), np.concatenate(size), np.concatenate(piece)
+    key = (place[start] + size) * (int(n.max(initial=0)) + 1) + place[start]
+    order = np.argsort(key.astype(np.min_scalar_type(int(key.max(initial=0)))), kind="stable")  # short numbers sort faster
+    key, start, piece = key[order], start[order], piece[order]
+    end = start + size[order]
+    score = table.scores[piece]
+    edges = np.flatnonzero(np.append(True, np.diff(key) != 0)) if len(key) else np.zeros(0, np.int64)
+    groups = [slice(a, b) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=False)]
+    best, via = np.full(len(chars), -1e300), np.zeros(len(chars), np.int64)
+    best[first] = 0
+    for g in groups:
+        to, total = end[g], best[start[g]] + score[g]
+        better = np.flatnonzero(total > best[to])
+        to = to[better]
+        best[to], via[to] = total[better], better + g.start
+    on_path, at = np.zeros(len(chars), bool), last[~alone & (n > 0)]
+    while len(at):
+        on_path[at] = True
+        at = start[via[at]]
+        at = at[place[at] > 0]
+    after = np.full(len(chars), -1e300)
+    after[last] = 0
+    for g in reversed(groups):
+        of = start[g]
+        after[of] = np.maximum(after[of], score[g] + after[end[g]])
+    rest = score + after[end] + best[start]
+    rest[on_path[end] & (via[end] == np.arange(len(end)))] = -1e300
+    other = np.full(m, -1e300)
+    np.maximum.at(other, part[start], rest)
+    path = np.flatnonzero(on_path)
+    out = Found(best[last], np.where(other > -1e299, np.maximum(0.0, best[last] - other), np.inf), np.bincount(part[path], minlength=m), piece[via[path]])
+    if not alone.any():
+        return out
+    ids = np.split(out.ids, np.cumsum(out.size)[:-1])
+    for k in np.flatnonzero(alone).tolist():  # a character without a piece
+        out.score[k], out.gap[k], own = best_and_gap(pieces, parts[k])
+        ids[k] = np.frombuffer(own, np.int32)
+        out.size[k] = len(ids[k])
+    return out._replace(ids=np.concatenate(ids))
+
+
+class Store:
+    """Parts and their best segmentations: numbers in arrays, which take less than an object for each."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.score, self.gap, self.end, self.ids = np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, parts: list[str], found: Found) -> None:
+        self.place.update(zip(parts, range(len(self.place), len(self.place) + len(parts)), strict=True))
+        self.end = np.append(self.end, len(self.ids) + np.cumsum(found.size))
+        self.score, self.gap, self.ids = np.append(self.score, found.score), np.append(self.gap, found.gap), np.append(self.ids, found.ids.astype(np.int32))
+
+    def get(self, at: np.ndarray) -> Found:
+        end = self.end[at]
+        size = end - np.where(at > 0, self.end[at - 1], 0)
+        to = np.cumsum(size)
+        return Found(self.score[at], self.gap[at], size, self.ids[np.repeat(end - to, size) + np.arange(int(size.sum()))])
 
 
 class Encoder:
@@ -247,73 +302,93 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, count: int = NBEST) -> None:
         self.pieces, self.count, self.part, self.table = pieces, count, re.compile(pieces.parts), PieceTable(pieces)
-        self.new: dict[str, tuple[float, float, bytes]] = {}
-        self.old: dict[str, tuple[float, float, bytes]] = {}
+        self.new, self.old = Store(), Store()
         self.others: dict[str, list[Segmentation]] = {}
 
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Searches the parts of some texts that are new, those of a length together."""
-        missing = set().union(*texts) - self.new.keys()
-        if len(self.new) + len(missing) > REMEMBERED:
-            self.old, self.new = self.new, {}
-            missing = set().union(*texts)
-        by_length: dict[int, list[str]] = {}
-        for part in missing:
-            entry = self.old.get(part)
-            if entry:
-                self.new[part] = entry
-            elif len(part) > 64:
-                self.new[part] = best_and_gap(self.pieces, part)
-            else:
-                by_length.setdefault(len(part), []).append(part)
-        for parts in by_length.values():
-            for i in range(0, len(parts), 4096):
-                self.new.update(many_best_and_gap(self.pieces, self.table, parts[i : i + 4096]))
+    def _search(self, parts: list[str]) -> None:
+        """Remembers new parts; those of like length are searched together."""
+        parts = sorted(parts, key=len)
+        at = np.fromiter(map(self.old.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        older = np.flatnonzero(at >= 0)
+        if len(older):
+            self.new.add([parts[k] for k in older.tolist()], self.old.get(at[older]))
+            parts = [parts[k] for k in np.flatnonzero(at < 0).tolist()]
+        waiting, size = [], 0
+        for part in parts:
+            if len(part) > LONG:
+                score, gap, ids = best_and_gap(self.pieces, part)
+                self.new.add([part], Found(np.array([score]), np.array([gap]), np.array([len(ids) // 4]), np.frombuffer(ids, np.int32)))
+                continue
+            waiting.append(part)
+            size += len(part)
+            if size > SEARCHED:
+                self.new.add(waiting, many_best_and_gap(self.pieces, self.table, waiting))
+                waiting, size = [], 0
+        if waiting:
+            self.new.add(waiting, many_best_and_gap(self.pieces, self.table, waiting))
+
+    def prepare(self, parts: list[str]) -> Found:
+        """What is known of each of these parts, once the new ones among them are searched."""
+        at = np.fromiter(map(self.new.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        unknown = [parts[k] for k in np.flatnonzero(at < 0).tolist()]
+        missing = dict.fromkeys(unknown)
+        if missing and len(self.new.place) + len(missing) > REMEMBERED:
+            self.old, self.new = self.new, Store()
+            at[:] = -1
+            unknown, missing = parts, dict.fromkeys(parts)
+        if missing:
+            self._search(list(missing))
+            at[at < 0] = np.fromiter(map(self.new.place.__getitem__, unknown), np.int64, len(unknown))
+        return self.new.get(at)
 
     def split(self, text: str) -> list[str]:
         return self.part.findall(" " + text) if text else []
 
-    def _others(self, part: str, best: bytes) -> list[Segmentation]:
+    def _others(self, part: str, best: np.ndarray) -> list[Segmentation]:
         found = self.others.get(part)
         if found is None:
-            first = tuple(np.frombuffer(best, np.int32).tolist())
+            first = tuple(best.tolist())
             found = [s for s in segmentations(self.pieces, part, self.count + 1) if s[1] != first][: self.count - 1]
-            if len(self.others) >= REMEMBERED // 4:
+            if len(self.others) >= REMEMBERED // 8:
                 self.others.clear()
             self.others[part] = found
         return found
 
-    def encode(self, parts: list[str]) -> tuple[list[float], list[bytes]]:
-        """Of prepared parts of a text: scores and ids (4 bytes each) of its best segmentations.
+    def encode(self, texts: list[list[str]]) -> Iterator[tuple[list[float], list[np.ndarray]]]:
+        """Of the parts of each text: scores and ids of its best segmentations.
 
         Of the parts only those with the count - 1 smallest gaps can differ in one of the `count` best.
         """
-        get = self.new.__getitem__
-        met = [get(p) for p in parts]
-        total = sum([m[0] for m in met])
-        ids = [m[2] for m in met]
-        best: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
-        if self.count > 1 and met:
-            gaps = np.array([m[1] for m in met])
-            some = np.argpartition(gaps, self.count - 2)[: self.count - 1] if len(gaps) >= self.count else np.arange(len(gaps))
-            for i in sorted(some[np.isfinite(gaps[some])].tolist()):
-                more = [(loss + met[i][0] - score, {**ways, i: way}) for score, way in self._others(parts[i], ids[i]) for loss, ways in best]
-                best = heapq.nsmallest(self.count, best + more, key=lambda x: x[0])
-        out = []
-        for _, ways in best:
-            own = ids if not ways else ids.copy()
-            for i, way in ways.items():
-                own[i] = np.array(way, np.int32).tobytes()
-            out.append(b"".join(own))
-        return [total - loss for loss, _ in best], out
+        known = self.prepare(list(itertools.chain.from_iterable(texts)))
+        ends, low = np.cumsum(known.size), 0
+        for parts in texts:
+            high = low + len(parts)
+            score, gaps, end, size = known.score[low:high], known.gap[low:high], ends[low:high], known.size[low:high]
+            a, b = (int(end[0] - size[0]), int(end[-1])) if parts else (0, 0)
+            best: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
+            if self.count > 1 and parts:
+                some = np.argpartition(gaps, self.count - 2)[: self.count - 1] if len(gaps) >= self.count else np.arange(len(gaps))
+                for i in sorted(some[np.isfinite(gaps[some])].tolist()):
+                    others = self._others(parts[i], known.ids[end[i] - size[i] : end[i]])
+                    more = [(loss + float(score[i]) - other, {**ways, i: way}) for other, way in others for loss, ways in best]
+                    best = heapq.nsmallest(self.count, best + more, key=lambda x: x[0])
+            out = []
+            for _, ways in best:
+                own, done = [], a
+                for i in sorted(ways):
+                    own += [known.ids[done : end[i] - size[i]], np.array(ways[i], np.int32)]
+                    done = int(end[i])
+                out.append(np.concatenate([*own, known.ids[done:b]]))
+            total = sum(score.tolist())
+            yield [total - loss for loss, _ in best], out
+            low = high
 
 
 def nbest(pieces: Pieces, text: str, count: int) -> list[Segmentation]:
     """The `count` best segmentations of a whole text."""
     encoder = Encoder(pieces, count)
-    all_parts = encoder.split(text)
-    encoder.prepare([all_parts])
-    return [(score, tuple(np.frombuffer(ids, np.int32).tolist())) for score, ids in zip(*encoder.encode(all_parts), strict=True)]
+    ((scores, ids),) = encoder.encode([encoder.split(text)])
+    return [(score, tuple(x.tolist())) for score, x in zip(scores, ids, strict=True)]
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
@@ -343,18 +418,19 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 def _encode(shared, name: str, count: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(name, Encoder(shared.value, count))
+        encoder = _ENCODERS.get(name)
+        if encoder is None:
+            encoder = _ENCODERS[name] = Encoder(shared.value, count)
         tables = _tables(encoder.pieces.surface)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in pieces(offsets, TOGETHER):
                 texts = [encoder.split(data[offsets[r] : offsets[r + 1]].tobytes().decode()) for r in range(i, j)]
-                encoder.prepare(texts)
+                encodings = encoder.encode(texts)
                 for k in range(i, j, ROWS):
                     ids, scores, same, others, counts = [], [], [], [], [0]
                     for r in range(k, min(j, k + ROWS)):
-                        score, best = encoder.encode(texts[r - i])
-                        best = [np.frombuffer(x, np.int32) for x in best]
+                        score, best = next(encodings)
                         ids.append(best[0])
                         others += best[1:]
                         counts.append(len(others))
