@@ -45,6 +45,10 @@ COMMON, NEARLY_ALL, ANSWER = 0.7, 0.9, 0.5
 #: Item windows that are broadcast at once; a larger benchmark takes more passes over the documents, with the same latent space.
 WINDOWS = 20_000
 SEED = 11
+#: Cells of a table that says which item has which word; a larger benchmark is searched in sorted lists.
+CELLS = 1 << 25
+#: Rows that are summed one by one.
+LONGEST_SUM = 16
 
 
 class Item(NamedTuple):
@@ -122,6 +126,26 @@ def _passages(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return words[at] - 1, np.searchsorted(first, at, "right") - 1
 
 
+def summed(table: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a table that each run of index names: np.add.reduceat(table[index], starts), by whole rows at a time."""
+    n = np.diff(np.append(starts, len(index)))
+    if n.max(initial=0) > LONGEST_SUM:
+        # Parts of long runs first, so that few rows are left.
+        parts = -(-n // LONGEST_SUM)
+        first = np.cumsum(parts) - parts
+        cuts = np.repeat(starts, parts) + (np.arange(int(parts.sum())) - np.repeat(first, parts)) * LONGEST_SUM
+        return np.add.reduceat(summed(table, index, cuts), first, dtype=table.dtype)
+    order = np.argsort(-n, kind="stable")
+    first, n = starts[order], n[order]
+    sums = table.take(index[first], axis=0)
+    for k in range(1, int(n.max(initial=0))):
+        m = int(np.searchsorted(-n, -k))  # runs that have more rows than k
+        sums[:m] += table.take(index[first[:m] + k], axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def _frequencies(size: int) -> Callable:
     """In how many passages each word occurs; the word -1 stands for any passage."""
 
@@ -155,12 +179,12 @@ def _sketch(idf: np.ndarray) -> Callable:
                     continue
                 starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
                 square = np.add.reduceat(idf[word] ** 2, starts)
-                y = np.add.reduceat(weighted.take(word, axis=0), starts) / np.maximum(square, 1e-9)[:, None]
+                y = summed(weighted, word, starts) / np.maximum(square, 1e-9)[:, None]
                 order = np.argsort(word.astype(np.min_scalar_type(len(idf))), kind="stable")  # short numbers sort faster
                 row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(word))))
                 starts = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
                 here = word[order][starts]
-                out[here] += np.add.reduceat(y.take(row[order], axis=0), starts) * idf[here][:, None]
+                out[here] += summed(y, row[order], starts) * idf[here][:, None]
                 seen[here] = True
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(out[at, k]) for k in range(SKETCH))], ["word", *(f"y{k}" for k in range(SKETCH))])
@@ -197,6 +221,8 @@ class Query(NamedTuple):
     least: int  # known words of a passage
     vectors: np.ndarray  # one column a window
     owner: np.ndarray  # item of each
+    own: np.ndarray  # the items
+    has: np.ndarray | None  # for each word and each of these items 1 if it has the word, in CELLS at most
     words: np.ndarray  # sorted: item times the vocabulary's size and each of its words
     needed: np.ndarray  # words of each item that a passage near it has
 
@@ -216,7 +242,11 @@ def queries_of(items: list[Item], latent: np.ndarray) -> list[Query]:
         if own:
             needed = np.array([np.ceil(scale.known * min(len(x.words), length)) for x in items], np.int64)
             words = np.unique(np.concatenate([i * (len(latent) + 1) + items[i].words for i in own]))
-            out.append(Query(scale, int(needed[own].min()), _unit(np.array(vectors, np.float32)).T, np.array(owner), words, needed))
+            has = np.zeros((len(latent), len(own)), np.uint8) if len(latent) * len(own) <= CELLS else None
+            if has is not None:
+                for column, i in enumerate(own):
+                    has[items[i].words - 1, column] = 1
+            out.append(Query(scale, int(needed[own].min()), _unit(np.array(vectors, np.float32)).T, np.array(owner), np.array(own), has, words, needed))
     return out
 
 
@@ -304,6 +334,17 @@ def around(start: int, length: int, n: int) -> range:
     return range(max(0, (start - PASSAGE) // STRIDE + 1) * STRIDE, min(n, start + length), STRIDE)
 
 
+def _of_strides(table: np.ndarray, strides: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a table for the known words of each stride."""
+    words = strides.ravel()
+    at = np.flatnonzero(words)
+    owners = at // strides.shape[1]
+    starts = np.flatnonzero(np.append(True, np.diff(owners) != 0)) if len(at) else at
+    out = np.zeros((len(strides), table.shape[1]), table.dtype)
+    out[owners[starts]] = summed(table, words[at] - 1, starts)
+    return out
+
+
 def candidates(rows: list[np.ndarray], latent: np.ndarray, query: Query) -> Iterator[tuple[int, int, int]]:
     """(row, first word of the passage, item) of high cosine; of overlapping passages each is given."""
     # Rows are cut into strides; a passage is two strides of a row, so each row ends with an empty one.
@@ -316,22 +357,29 @@ def candidates(rows: list[np.ndarray], latent: np.ndarray, query: Query) -> Iter
     strides = padded.reshape(-1, stride)
     known = np.count_nonzero(strides, axis=1)
     full = np.flatnonzero(known[:-1] + known[1:] >= query.least)
+    shares = None
+    if query.has is not None:
+        # Most passages share too few words with any item to be looked at.
+        counts = _of_strides(query.has, strides)
+        shares = counts[full] + counts[full + 1] >= query.needed[query.own]
+        some = np.flatnonzero(shares.any(axis=1))
+        full, shares = full[some], shares[some]
     for i in range(0, len(full), 4096):
         p = full[i : i + 4096]
         met = np.zeros(p[-1] - p[0] + 2, bool)
         met[p - p[0]] = met[p - p[0] + 1] = True
-        place, words = np.cumsum(met) - 1, strides[p[0] : p[-1] + 2][met].ravel()
-        at = np.flatnonzero(words)
-        sums = np.zeros((len(words) // stride, latent.shape[1]), np.float32)
-        owners = at // stride
-        starts = np.flatnonzero(np.append(True, np.diff(owners) != 0))
-        sums[owners[starts]] = np.add.reduceat(latent.take(words[at] - 1, axis=0), starts)
+        place = np.cumsum(met) - 1
+        sums = _of_strides(latent, strides[p[0] : p[-1] + 2][met])
         z = _unit(sums[place[p - p[0]]] + sums[place[p - p[0] + 1]])
         x, y = np.divmod(np.flatnonzero(z @ query.vectors >= query.scale.cosine), len(query.owner))
+        if shares is not None:
+            both = np.flatnonzero(shares[i + x, np.searchsorted(query.own, query.owner)[y]])
+            x, y = x[both], y[both]
         s, k = np.divmod(np.unique(p[x] * len(query.needed) + query.owner[y]), len(query.needed))
-        there = np.concatenate([strides[s], strides[s + 1]], axis=1) + k[:, None] * (len(latent) + 1)
-        shared = np.count_nonzero(query.words[np.minimum(np.searchsorted(query.words, there), len(query.words) - 1)] == there, axis=1)
-        s, k = s[shared >= query.needed[k]], k[shared >= query.needed[k]]
+        if shares is None:
+            there = np.concatenate([strides[s], strides[s + 1]], axis=1) + k[:, None] * (len(latent) + 1)
+            shared = np.count_nonzero(query.words[np.minimum(np.searchsorted(query.words, there), len(query.words) - 1)] == there, axis=1)
+            s, k = s[shared >= query.needed[k]], k[shared >= query.needed[k]]
         r = np.searchsorted(first, s, "right") - 1
         yield from zip(r.tolist(), (np.maximum(0, s - first[r]) * stride).tolist(), k.tolist(), strict=True)
 
