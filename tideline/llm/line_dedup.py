@@ -28,7 +28,7 @@ THRESHOLD = 0.8
 SLOTS = 1 << 18
 #: Levels of frequency; they fit into 7 bits.
 LEVELS = 100
-#: Parts of the tokens whose postings are dealt one after the other.
+#: Parts of the tokens whose postings, and of the documents whose lines, are dealt one after the other.
 PARTS = 2
 _KEY = "__tideline_key"
 
@@ -163,12 +163,19 @@ def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
     return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & alike & near).select("a", "b").distinct()
 
 
-def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, words (64-bit hashes of the distinct ones) of these classes."""
-    places = classes.select("id", "first.key", "first.line_no").join(ids, "id")
-    # Documents that agree in key and line number are copies of one another.
-    words = _lines(documents).select("key", "line_no", "line").join(places.hint("shuffle_hash"), ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
-    return materialize(words.dropDuplicates(["id"]))
+def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
+    """Tables of id, words (64-bit hashes of the distinct ones) of these classes, each class in one of them."""
+    places = materialize(classes.select("id", "first.key", "first.line_no").join(ids, "id"))
+    parts = []
+    for k in range(PARTS):
+        # All lines are dealt, a part of the documents at a time, so that the shuffle files of one part lie on disk at once.
+        here = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == k)
+        wanted = places.filter(F.pmod("key", F.lit(PARTS)) == k)
+        # Documents that agree in key and line number are copies of one another.
+        words = _lines(here).select("key", "line_no", "line").join(wanted.hint("shuffle_hash"), ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
+        parts.append(materialize(words.dropDuplicates(["id"])))
+    dropped(places)
+    return parts
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -176,11 +183,12 @@ def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     pairs = materialize(pairs)
     # A class may be in many pairs.
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
-    lines = _class_lines(ids, classes, documents)
+    parts = _class_lines(ids, classes, documents)
+    lines = reduce(DataFrame.union, parts)
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
     out = materialize(near.select(F.col("b").alias("id")).distinct())
-    dropped(pairs, lines)
+    dropped(pairs, *parts)
     return out
 
 
