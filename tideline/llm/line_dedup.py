@@ -1,23 +1,20 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
 Lines with the same set of tokens form a class. The tokens of a class are put in order of
-rarity, and what is posted are pairs of neighbours in that order, from the rarest on: the
-prefix of which any similar class must share one. Postings meet by such pairs under
-length, positional and bitmap filters; what passes is verified by its Jaccard similarity.
+length, the longest first, as long words are mostly rare, and what is posted are pairs of
+neighbours in that order, from the first on: the prefix of which any similar class must
+share one. Postings meet by such pairs under length, positional and bitmap filters; what
+passes is verified by its Jaccard similarity. Any order that is the same for all lines
+gives right results, and this one asks for no count of the tokens before.
 Most pairs stand in one class only, so postings are first dealt by their pair with nothing
 but their class and place, and only those that meet get what the filters need.
-A line goes if an earlier one is similar to it; its likely original is tried before all
-others, so that a group of near copies makes no rows for all its pairs.
-
-Rarity is the frequency of a token over all lines, counted for each of SLOTS hash slots
-and put in levels: a table of fixed size that goes with the plan as a constant. Common
-tokens are far fewer than slots, so they come last at any size of input; any order that is
-the same for all lines gives right results.
+A line goes if an earlier one is similar to it. Where many classes share a pair each tries
+the earliest of them before all others, so that a group of near copies makes no rows for
+all its pairs.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tideline.llm.storage import dropped, materialize
 
 THRESHOLD = 0.8
-SLOTS = 1 << 18
-#: Levels of frequency; they fit into 7 bits.
-LEVELS = 100
+#: Words of so many bytes or more count as equally long; lengths fit into 7 bits.
+LONGEST = 63
+#: Classes with a token of which each asks all earlier ones at once; if more have it, each asks the earliest one first.
+FEW = 16
 #: Parts of the tokens whose postings, and of the documents whose lines, are dealt one after the other.
 PARTS = 2
 _KEY = "__tideline_key"
@@ -47,22 +45,17 @@ def _hashed(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_split(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
-def _slot(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+def _code(word: Column) -> Column:
+    """Codes sort by how long words are in bytes, the longest first; below that are 56 bits of the word's hash."""
+    short = F.lit(LONGEST) - F.least(F.octet_length(word), F.lit(LONGEST))
+    return F.shiftleft(short.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 8))
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def _lines(documents: DataFrame, *others: str) -> DataFrame:
+    """key, others, doc_id, line_no, line of each line."""
     # The key goes below the explosion: beside it, each line would hash the whole text.
-    keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    return keyed.select("key", "doc_id", F.posexplode("lines").alias("line_no", "line"))
-
-
-def rarity(documents: DataFrame) -> Column:
-    """An array: for each slot (from 0) a level that is greater the commoner its tokens are over all lines."""
-    words = documents.select(F.explode(_split(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("t")).filter("t <> ''")
-    counts = {r["slot"]: r["count"] for r in words.groupBy(_slot(F.xxhash64("t")).alias("slot")).count().collect()}
-    scale = (LEVELS - 1) / math.log1p(max(counts.values(), default=1))
-    return F.split(F.lit(",".join(str(int(scale * math.log1p(counts.get(s, 0)))) for s in range(SLOTS))), ",").cast("array<bigint>")
+    keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), *others, F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return keyed.select("key", *others, "doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -71,80 +64,71 @@ def _needed(n: Column, m: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """key, doc_id, line_no, class, n (tokens), bits, more, prefix (its rarest tokens) of each line; n is 0 without tokens.
+    """key, row, doc_id, line_no, class, n (tokens), bits, prefix (its first tokens by code) of each line; n is 0 without tokens.
 
-    A code has the level of a token's slot above 56 bits of the token's hash, so codes sort
-    by rarity; the prefix keeps the lower 32 bits. bits and more have for each of 128 places the
-    parity of the tokens there, so they differ in no more places than two sets do in tokens.
+    The prefix keeps the lower 32 bits of codes. bits has for each of 64 places the parity of
+    the tokens there, so it differs in no more places than two sets do in tokens.
     """
-    levels = rarity(documents)
-
-    def code(h: Column) -> Column:
-        return F.shiftleft(F.get(levels, _slot(h)), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    coded = _lines(documents).select("key", "doc_id", "line_no", F.sort_array(F.transform(_hashed(F.col("line")), code)).alias("codes"))
+    codes = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), _code)), _code(F.lit("")))
+    coded = _lines(documents.withColumn("row", F.monotonically_increasing_id()), "row").select("key", "row", "doc_id", "line_no", F.sort_array(codes).alias("codes"))
     n = F.size("codes")
     # Sets of fewer than 4 tokens are similar to equal sets only. Sets of THRESHOLD as many tokens ask for the longest prefix.
     length = F.when(n < 4, F.lit(0)).otherwise(F.floor(n * (2 - 2 * THRESHOLD) + 1e-9).cast("int") + 2)
     prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
-    return coded.select("key", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), _parity(0).alias("bits"), _parity(1).alias("more"), prefix.alias("prefix"))
+    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    return coded.select("key", "row", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
 
 
-def _parity(half: int) -> Column:
-    """For each of 64 places the parity of the tokens of codes there, of one half of all tokens."""
+def _alike(n: Column, m: Column, x: Column, y: Column) -> Column:
+    """Whether sets of n and m tokens with these parities may be similar."""
+    differ = F.bit_count(x.bitwiseXOR(y))
+    return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= n + m - _needed(n, m) * 2)
 
-    def flip(acc: Column, c: Column) -> Column:
-        chosen = F.shiftright(c, 6).bitwiseAND(F.lit(1).cast("long")).bitwiseXOR(F.lit(1 - half).cast("long"))
-        return acc.bitwiseXOR(F.call_function("shiftleft", chosen, c.bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.aggregate("codes", F.lit(0).cast("long"), flip)
+def ordered_classes(posted: DataFrame) -> DataFrame:
+    """class, first (its first line), lines (how many), id of each class; ids grow in the order of first lines."""
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no", "row")
+    return materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines")).orderBy("first").withColumn("id", F.monotonically_increasing_id()))
 
 
-def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
-    """Whether sets of n and m tokens with these parities may be similar."""
-    differ = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True))
-    return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= n + m - _needed(n, m) * 2)
+def with_prefixes(order: DataFrame, posted: DataFrame) -> DataFrame:
+    """id, n, bits, prefix of each class: prefixes are dealt once, and neither sorted nor aggregated, as a row is the first line of its class or goes."""
+    firsts = order.select("id", "class", "first.row", "first.line_no").hint("shuffle_hash")
+    return materialize(posted.select("class", "row", "line_no", "n", "bits", "prefix").join(firsts, ["class", "row", "line_no"]).select("id", "n", "bits", "prefix"))
 
 
 def numbered_classes(posted: DataFrame) -> DataFrame:
-    """class, first (its first line), lines (how many), n, bits, more, prefix, id of each class; ids grow in the order of first lines."""
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no")
-    classes = materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix")))
-    out = materialize(classes.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
-    dropped(classes)
+    """class, first, lines, id, n, bits, prefix of each class."""
+    order = ordered_classes(posted)
+    classes = with_prefixes(order, posted)
+    out = materialize(order.join(classes, "id"))
+    dropped(order, classes)
     return out
 
 
 def _neighbours(classes: DataFrame) -> DataFrame:
     """id, place, token (each pair of neighbours in a prefix as one number)."""
-    low = F.lit(0xFFFFFFFF)
-    pairs = F.zip_with(F.slice("prefix", F.lit(1), F.size("prefix") - 1), F.slice("prefix", F.lit(2), F.size("prefix")), lambda x, y: F.shiftleft(x.cast("long"), 32).bitwiseOR(y.cast("long").bitwiseAND(low)))
-    return classes.filter(F.size("prefix") > 1).select("id", F.posexplode(pairs).alias("place", "token"))
+    pairs = F.arrays_zip(F.slice("prefix", F.lit(1), F.size("prefix") - 1).alias("x"), F.slice("prefix", F.lit(2), F.size("prefix")).alias("y"))
+    each = classes.filter(F.size("prefix") > 1).select("id", F.posexplode(pairs).alias("place", "pair"))
+    return each.select("id", "place", F.shiftleft(F.col("pair.x").cast("long"), 32).bitwiseOR(F.col("pair.y").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, more, place, token, before (what comes before the pair), a: the postings whose token another class has, too; a is the earliest class with it."""
+    """id, n, bits, place, token, before (what comes before the pair), a, few: the postings whose token another class has, too; a is the earliest class with it, few whether FEW at most have it."""
     same = Window.partitionBy("token")
     each = _neighbours(classes)
     # All postings are dealt, a part of the tokens at a time, so that the shuffle files of one part lie on disk at once.
-    parts = [each.filter(F.pmod("token", F.lit(PARTS)) == k).select("*", F.min("id").over(same).alias("a"), F.max("id").over(same).alias("z")) for k in range(PARTS)]
+    parts = [each.filter(F.pmod("token", F.lit(PARTS)) == k).select("*", F.min("id").over(same).alias("a"), F.max("id").over(same).alias("z"), (F.count("*").over(same) <= FEW).alias("few")) for k in range(PARTS)]
     met = [materialize(part.filter("a < z").drop("z")) for part in parts]
     before = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).alias("before")
-    out = materialize(reduce(DataFrame.union, met).join(classes.select("id", "n", "bits", "more", "prefix"), "id").select("id", "n", "bits", "more", "place", "token", before, "a"))
+    known = classes.select("id", "n", "bits", "prefix").hint("shuffle_hash")
+    out = materialize(reduce(DataFrame.union, met).join(known, "id").select("id", "n", "bits", "place", "token", before, "a", "few"))
     dropped(*met)
     return out
 
 
-def likely_originals(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: for each class b the one that is most often the earliest class with a token of b, if they may be similar: a row a class at most."""
-    met = shared.filter("a < id").groupBy("id", "a").agg(F.count("*").alias("count"), F.first("n").alias("m"), F.first("bits").alias("y0"), F.first("more").alias("y1"))
-    best = met.groupBy(F.col("id").alias("b")).agg(F.max_by(F.struct("a", "m", "y0", "y1"), F.struct("count", "a")).alias("best")).select("b", "best.*")
-    both = best.join(classes.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1")), "a")
-    return both.filter(_alike(F.col("n"), F.col("m"), [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")])).select("a", "b")
-
-
-def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
-    """a, b: pairs of a class b of asking (id) and an earlier one that pass the prefix, length, positional and bitmap filters.
+def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """a, b: pairs of a class of earlier and one after it of later (rows of shared neighbours) that pass the prefix, length, positional and bitmap filters.
 
     Sets of n and m tokens are similar if they share some number o, so n + m - 2 * o = d are
     in one only. Of the o - 1 neighbours among the shared ones d at most have another token
@@ -152,15 +136,14 @@ def candidates(shared: DataFrame, asking: DataFrame) -> DataFrame:
     among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other. Of a
     run of neighbours that two sets share only the first makes a row.
     """
-    a = shared.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
-    b = shared.join(asking, "id", "left_semi").select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
+    a = earlier.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
+    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
     n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = n + m - 2 * o
-    alike = _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")])
     near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
     starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & alike & near).select("a", "b").distinct()
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, F.col("x"), F.col("y")) & near).select("a", "b")
 
 
 def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
@@ -185,7 +168,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
     parts = _class_lines(ids, classes, documents)
     lines = reduce(DataFrame.union, parts)
-    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
+    # Hashed, as words are long to sort.
+    both = lines.toDF("b", "y").join(lines.toDF("a", "x").join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
     out = materialize(near.select(F.col("b").alias("id")).distinct())
     dropped(pairs, *parts)
@@ -196,20 +180,28 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     """key, lines (numbers, from 0) to remove of each document that has any.
 
     A class goes with one similar class before it, so most of a group of near copies go by
-    a look at their likely original, and only what is left asks all earlier classes.
+    a look at the earliest class with a token of theirs, and only what is left asks all
+    earlier classes with the tokens of more than FEW.
     """
     posted = materialize(postings(documents))
-    classes = numbered_classes(posted.filter("n > 0"))
+    words = posted.filter("n > 0")
+    order = ordered_classes(words)
+    classes = with_prefixes(order, words)
+    # Prefixes are most of what these tables hold, and go as soon as they have been dealt.
+    lines = materialize(words.select("key", "line_no", "class"))
+    dropped(posted)
     shared = shared_neighbours(classes)
-    first = _similar(likely_originals(shared, classes), classes, documents)
-    asking = shared.select("id").distinct().join(first, "id", "left_anti")
-    rest = _similar(candidates(shared, asking), classes, documents)
+    dropped(classes)
+    few, many = shared.filter("few"), shared.filter("NOT few")
+    # The earliest class with a token is a likely original of a group of near copies.
+    first = _similar(candidates(few, few).union(candidates(many.filter("id = a"), many)).distinct(), order, documents)
+    rest = _similar(candidates(many, many.join(first, "id", "left_anti")).distinct(), order, documents)
     dropped(shared)
     gone = first.union(rest).withColumn("gone", F.lit(True))
-    info = classes.join(gone, "id", "left").filter("gone OR lines > 1").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    found = posted.filter("n > 0").select("key", "line_no", "class").join(info, "class").filter("gone OR key <> k OR line_no <> l")
+    info = order.join(gone, "id", "left").filter("gone OR lines > 1").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    found = lines.join(info, "class").filter("gone OR key <> k OR line_no <> l")
     out = materialize(found.groupBy("key").agg(F.collect_set("line_no").alias("lines")))
-    dropped(posted, classes, first, rest)
+    dropped(lines, order, first, rest)
     return out
 
 
@@ -233,7 +225,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     what the earlier lines of others take from one; they count as one document.
     """
     keyed = documents.withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    out = keyed.join(removed_lines(documents).toDF(_KEY, "__tideline_lines"), _KEY, "left")
+    out = keyed.join(removed_lines(documents).toDF(_KEY, "__tideline_lines").hint("shuffle_hash"), _KEY, "left")
     changed = F.col("__tideline_lines").isNotNull()
     out = _without(out.withColumn("__tideline_changed", changed), "__tideline_lines")
     if "n_chars" in documents.columns:
@@ -244,6 +236,6 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 def line_dedup(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text (what is kept) of every document; see deduplicated."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    found = docs.join(removed_lines(docs), "key", "left")
+    found = docs.join(removed_lines(docs).hint("shuffle_hash"), "key", "left")
     counted = found.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), "lines")
     return _without(counted, "lines").select("doc_id", "n_lines", "n_removed", "text")
