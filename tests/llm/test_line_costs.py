@@ -53,3 +53,16 @@ def test_groups_larger_than_few_lose_no_link(spark):
     want = {i for i, s in enumerate(sets) if any(10 * len(s & r) >= 8 * len(s | r) for r in sets[:i])}
     got = {r["doc_id"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect() if r["n_removed"]}
     assert got == want
+
+
+def test_both_parities_bound_the_difference_of_sets(spark):
+    lines = [" ".join(f"w{(i * k) % 31}" for k in range(1, 25)) for i in range(1, 12)]
+    sets = [set(t.split()) for t in lines]
+    got = {r["doc_id"]: (r["bits"], r["more"]) for r in line_dedup.postings(spark.createDataFrame(list(enumerate(lines)), DOCS)).collect()}
+    apart = [0, 0]
+    for i, s in enumerate(sets):
+        for j, r in enumerate(sets):
+            differ = [((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(got[i], got[j], strict=True)]
+            assert max(differ) <= len(s ^ r)
+            apart = [x + y for x, y in zip(apart, differ, strict=True)]
+    assert min(apart) > 0 and any(x != y for x, y in got.values())

@@ -64,10 +64,11 @@ def _needed(n: Column, m: Column) -> Column:
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """key, row, doc_id, line_no, class, n (tokens), bits, prefix (its first tokens by code) of each line; n is 0 without tokens.
+    """key, row, doc_id, line_no, class, n (tokens), bits, more, prefix (its first tokens by code) of each line; n is 0 without tokens.
 
-    The prefix keeps the lower 32 bits of codes. bits has for each of 64 places the parity of
-    the tokens there, so it differs in no more places than two sets do in tokens.
+    The prefix keeps the lower 32 bits of codes. bits and more, by different bits of codes, have
+    for each of 64 places the parity of the tokens there, so each differs in no more places
+    than two sets do in tokens.
     """
     codes = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), _code)), _code(F.lit("")))
     coded = _lines(documents.withColumn("row", F.monotonically_increasing_id()), "row").select("key", "row", "doc_id", "line_no", F.sort_array(codes).alias("codes"))
@@ -75,13 +76,18 @@ def postings(documents: DataFrame) -> DataFrame:
     # Sets of fewer than 4 tokens are similar to equal sets only. Sets of THRESHOLD as many tokens ask for the longest prefix.
     length = F.when(n < 4, F.lit(0)).otherwise(F.floor(n * (2 - 2 * THRESHOLD) + 1e-9).cast("int") + 2)
     prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
-    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
-    return coded.select("key", "row", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+    return coded.select("key", "row", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), _parity(0).alias("bits"), _parity(6).alias("more"), prefix.alias("prefix"))
 
 
-def _alike(n: Column, m: Column, x: Column, y: Column) -> Column:
+def _parity(skipped: int) -> Column:
+    """For each of 64 places the parity of the tokens of codes there, by bits of codes beyond the skipped ones."""
+    one = F.lit(1).cast("long")
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(c, skipped).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
     """Whether sets of n and m tokens with these parities may be similar."""
-    differ = F.bit_count(x.bitwiseXOR(y))
+    differ = F.greatest(*(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)))
     return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= n + m - _needed(n, m) * 2)
 
 
@@ -92,13 +98,13 @@ def ordered_classes(posted: DataFrame) -> DataFrame:
 
 
 def with_prefixes(order: DataFrame, posted: DataFrame) -> DataFrame:
-    """id, n, bits, prefix of each class: prefixes are dealt once, and neither sorted nor aggregated, as a row is the first line of its class or goes."""
+    """id, n, bits, more, prefix of each class: prefixes are dealt once, and neither sorted nor aggregated, as a row is the first line of its class or goes."""
     firsts = order.select("id", "class", "first.row", "first.line_no").hint("shuffle_hash")
-    return materialize(posted.select("class", "row", "line_no", "n", "bits", "prefix").join(firsts, ["class", "row", "line_no"]).select("id", "n", "bits", "prefix"))
+    return materialize(posted.select("class", "row", "line_no", "n", "bits", "more", "prefix").join(firsts, ["class", "row", "line_no"]).select("id", "n", "bits", "more", "prefix"))
 
 
 def numbered_classes(posted: DataFrame) -> DataFrame:
-    """class, first, lines, id, n, bits, prefix of each class."""
+    """class, first, lines, id, n, bits, more, prefix of each class."""
     order = ordered_classes(posted)
     classes = with_prefixes(order, posted)
     out = materialize(order.join(classes, "id"))
@@ -114,15 +120,15 @@ def _neighbours(classes: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, place, token, before (what comes before the pair), a, few: the postings whose token another class has, too; a is the earliest class with it, few whether FEW at most have it."""
+    """id, n, bits, more, place, token, before (what comes before the pair), a, few: the postings whose token another class has, too; a is the earliest class with it, few whether FEW at most have it."""
     same = Window.partitionBy("token")
     each = _neighbours(classes)
     # All postings are dealt, a part of the tokens at a time, so that the shuffle files of one part lie on disk at once.
     parts = [each.filter(F.pmod("token", F.lit(PARTS)) == k).select("*", F.min("id").over(same).alias("a"), F.max("id").over(same).alias("z"), (F.count("*").over(same) <= FEW).alias("few")) for k in range(PARTS)]
     met = [materialize(part.filter("a < z").drop("z")) for part in parts]
     before = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).alias("before")
-    known = classes.select("id", "n", "bits", "prefix").hint("shuffle_hash")
-    out = materialize(reduce(DataFrame.union, met).join(known, "id").select("id", "n", "bits", "place", "token", before, "a", "few"))
+    known = classes.select("id", "n", "bits", "more", "prefix").hint("shuffle_hash")
+    out = materialize(reduce(DataFrame.union, met).join(known, "id").select("id", "n", "bits", "more", "place", "token", before, "a", "few"))
     dropped(*met)
     return out
 
@@ -136,14 +142,14 @@ def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other. Of a
     run of neighbours that two sets share only the first makes a row.
     """
-    a = earlier.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
-    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
+    a = earlier.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
+    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
     n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = n + m - 2 * o
     near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
     starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, F.col("x"), F.col("y")) & near).select("a", "b")
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near).select("a", "b")
 
 
 def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
