@@ -82,7 +82,7 @@ def postings(documents: DataFrame) -> DataFrame:
 def _parity(skipped: int) -> Column:
     """For each of 64 places the parity of the tokens of codes there, by bits of codes beyond the skipped ones."""
     one = F.lit(1).cast("long")
-    return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftright(c, skipped).bitwiseAND(F.lit(63)).cast("int"))))
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, (F.shiftright(c, skipped) if skipped else c).bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
@@ -94,7 +94,7 @@ def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
 def ordered_classes(posted: DataFrame) -> DataFrame:
     """class, first (its first line), lines (how many), id of each class; ids grow in the order of first lines."""
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line_no", "row")
-    return materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines")).orderBy("first").withColumn("id", F.monotonically_increasing_id()))
+    return materialize(posted.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("lines")).orderBy(F.col("first.doc_id").asc_nulls_last(), "first.key", "first.line_no", "first.row").withColumn("id", F.monotonically_increasing_id()))
 
 
 def with_prefixes(order: DataFrame, posted: DataFrame) -> DataFrame:
@@ -142,9 +142,10 @@ def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other. Of a
     run of neighbours that two sets share only the first makes a row.
     """
-    a = earlier.select(F.col("id").alias("a"), "n", F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
+    # All is renamed on both sides alike, as Spark deals the rows of a join with itself once only if both sides are made in the same way.
+    a = earlier.select(F.col("id").alias("a"), F.col("n").alias("l"), F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
     b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
-    n, m, i, j = F.col("n"), F.col("m"), F.col("i"), F.col("j")
+    n, m, i, j = F.col("l"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = n + m - 2 * o
     near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
@@ -154,16 +155,19 @@ def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
 
 def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
     """Tables of id, words (64-bit hashes of the distinct ones) of these classes, each class in one of them."""
-    places = materialize(classes.select("id", "first.key", "first.line_no").join(ids, "id"))
+    places = classes.select("id", "first.key", "first.line_no").join(ids, "id")
+    wanted = materialize(places.groupBy("key").agg(F.collect_list(F.struct("id", "line_no")).alias("wanted")))
     parts = []
     for k in range(PARTS):
-        # All lines are dealt, a part of the documents at a time, so that the shuffle files of one part lie on disk at once.
-        here = documents.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS)) == k)
-        wanted = places.filter(F.pmod("key", F.lit(PARTS)) == k)
-        # Documents that agree in key and line number are copies of one another.
-        words = _lines(here).select("key", "line_no", "line").join(wanted.hint("shuffle_hash"), ["key", "line_no"]).select("id", _hashed(F.col("line")).alias("words"))
-        parts.append(materialize(words.dropDuplicates(["id"])))
-    dropped(places)
+        # All documents are dealt, a part at a time, so that the shuffle files of one part lie on disk at once.
+        here = documents.select(F.xxhash64("doc_id", "text").alias("key"), "text").filter(F.pmod("key", F.lit(PARTS)) == k)
+        found = here.join(wanted.filter(F.pmod("key", F.lit(PARTS)) == k).hint("shuffle_hash"), "key")
+        # Split before the lines are taken apart, once a document.
+        lines = found.select("wanted", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+        each = lines.select(F.inline(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get("lines", w["line_no"]).alias("line")))))
+        # Documents of one key are copies of one another.
+        parts.append(materialize(each.select("id", _hashed(F.col("line")).alias("words")).dropDuplicates(["id"])))
+    dropped(wanted)
     return parts
 
 
