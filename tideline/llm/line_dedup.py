@@ -15,6 +15,7 @@ all its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,6 +29,8 @@ LONGEST = 63
 FEW = 16
 #: Parts of the tokens whose postings, and of the documents whose lines, are dealt one after the other.
 PARTS = 2
+#: Classes of so many words or more are also compared by parities of more places, as with so many the 128 places of postings hardly tell sets apart.
+LONG = 192
 _KEY = "__tideline_key"
 
 
@@ -66,9 +69,9 @@ def _needed(n: Column, m: Column) -> Column:
 def postings(documents: DataFrame) -> DataFrame:
     """key, row, doc_id, line_no, class, n (tokens), bits, more, prefix (its first tokens by code) of each line; n is 0 without tokens.
 
-    The prefix keeps the lower 32 bits of codes. bits and more, by different bits of codes, have
-    for each of 64 places the parity of the tokens there, so each differs in no more places
-    than two sets do in tokens.
+    The prefix keeps the lower 32 bits of codes. bits has for each of 64 places the parity of the
+    tokens there, and more that of half of them, by another bit of their codes: together the
+    parities of 128 places, which differ in no more places than two sets do in tokens.
     """
     codes = F.array_remove(F.array_distinct(F.transform(_split(F.col("line")), _code)), _code(F.lit("")))
     coded = _lines(documents.withColumn("row", F.monotonically_increasing_id()), "row").select("key", "row", "doc_id", "line_no", F.sort_array(codes).alias("codes"))
@@ -76,19 +79,25 @@ def postings(documents: DataFrame) -> DataFrame:
     # Sets of fewer than 4 tokens are similar to equal sets only. Sets of THRESHOLD as many tokens ask for the longest prefix.
     length = F.when(n < 4, F.lit(0)).otherwise(F.floor(n * (2 - 2 * THRESHOLD) + 1e-9).cast("int") + 2)
     prefix = F.transform(F.slice("codes", F.lit(1), length), lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
-    return coded.select("key", "row", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), _parity(0).alias("bits"), _parity(6).alias("more"), prefix.alias("prefix"))
+    return coded.select("key", "row", "doc_id", "line_no", F.xxhash64("codes", F.size("codes")).alias("class"), n.alias("n"), _parity(lambda c: F.lit(1).cast("long")).alias("bits"), _parity(lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(1))).alias("more"), prefix.alias("prefix"))
 
 
-def _parity(skipped: int) -> Column:
-    """For each of 64 places the parity of the tokens of codes there, by bits of codes beyond the skipped ones."""
-    one = F.lit(1).cast("long")
-    return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", one, (F.shiftright(c, skipped) if skipped else c).bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(counted: Callable[[Column], Column]) -> Column:
+    """For each of 64 places the parity of the tokens of codes there for which counted is 1, not 0."""
+    return F.aggregate("codes", F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.call_function("shiftleft", counted(c), c.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _apart(n: Column, m: Column) -> Column:
+    """Tokens at most that stand in only one of two similar sets of n and m."""
+    return n + m - _needed(n, m) * 2
 
 
 def _alike(n: Column, m: Column, x: list[Column], y: list[Column]) -> Column:
-    """Whether sets of n and m tokens with these parities may be similar."""
-    differ = F.greatest(*(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)))
-    return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= n + m - _needed(n, m) * 2)
+    """Whether sets of n and m tokens with these parities (bits and more) may be similar."""
+    bits, more = (a.bitwiseXOR(b) for a, b in zip(x, y, strict=True))
+    # Sums over all 128 places, as in the 64 of one number sets of 160 tokens differ no more than similar ones may.
+    differ = F.bit_count(bits.bitwiseXOR(more)) + F.bit_count(more)
+    return (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9) & (differ <= _apart(n, m))
 
 
 def ordered_classes(posted: DataFrame) -> DataFrame:
@@ -147,7 +156,7 @@ def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
     n, m, i, j = F.col("l"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
-    d = n + m - 2 * o
+    d = _apart(n, m)
     near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
     starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
     return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near).select("a", "b")
@@ -171,6 +180,36 @@ def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> li
     return parts
 
 
+def _parities(words: Column) -> Column:
+    """Parities of words by their hashes, at 64 places in each number; of numbers there is a power of 2, one for 32 to 63 words."""
+    numbers = F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.size(words))) - 6)
+    place = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    here = lambda h, i: F.shiftright(h, 6).bitwiseAND(numbers - 1) == i
+    return F.transform(F.sequence(F.lit(0), numbers - 1), lambda i: F.aggregate(words, F.lit(0).cast("long"), lambda acc, h: F.when(here(h, i), acc.bitwiseXOR(place(h))).otherwise(acc)))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """Places at which parities differ; the longer one is folded to the numbers of the other, which has half as many at least."""
+    k = F.least(F.size(x), F.size(y))
+    folded = lambda p: F.when(F.size(p) > k, F.zip_with(F.slice(p, F.lit(1), k), F.slice(p, k + 1, k), lambda s, t: s.bitwiseXOR(t))).otherwise(p)
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda acc, c: acc + c)
+
+
+def likely(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, b: the pairs without those of two classes of LONG words or more whose parities or numbers of words (of id, words) rule similarity out.
+
+    Pairs of long lines that share a frequent pair of neighbours grow with the square of the
+    input, so their words are not dealt to each of them.
+    """
+    long = lines.filter(F.size("words") >= LONG).select("id", F.size("words").alias("n"), _parities(F.col("words")).alias("parities"))
+    a, b = long.toDF("a", "n", "x").hint("shuffle_hash"), long.toDF("b", "m", "y").hint("shuffle_hash")
+    n, m = F.col("n"), F.col("m")
+    near = (m >= n * THRESHOLD - 1e-9) & (n >= m * THRESHOLD - 1e-9)
+    # Sizes within THRESHOLD of each other make numbers of which one is the other or half of it.
+    may = F.when(n.isNull() | m.isNull(), True).when(~near, False).otherwise(_differ(F.col("x"), F.col("y")) <= _apart(n, m))
+    return pairs.join(a, "a", "left").join(b, "b", "left").filter(may).select("a", "b")
+
+
 def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> DataFrame:
     """id: the b of those pairs whose lines are similar."""
     pairs = materialize(pairs)
@@ -178,8 +217,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, documents: DataFrame) -> Data
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
     parts = _class_lines(ids, classes, documents)
     lines = reduce(DataFrame.union, parts)
-    # Hashed, as words are long to sort.
-    both = lines.toDF("b", "y").join(lines.toDF("a", "x").join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b")
+    # Hashed, as words are long to sort; what is held in memory is each class once, however many pairs it is in.
+    both = likely(pairs, lines).join(lines.toDF("b", "y").hint("shuffle_hash"), "b").join(lines.toDF("a", "x").hint("shuffle_hash"), "a")
     near = both.select("b", F.size(F.array_intersect("x", "y")).alias("o"), F.size("x").alias("n"), F.size("y").alias("m")).filter(F.col("o") >= (F.col("n") + F.col("m") - F.col("o")) * THRESHOLD - 1e-9)
     out = materialize(near.select(F.col("b").alias("id")).distinct())
     dropped(pairs, *parts)
