@@ -51,3 +51,18 @@ def test_long_lines_against_brute_force(spark):
     want = {i for i, s in enumerate(sets) if any(10 * len(s & x) >= 8 * len(s | x) for x in sets[:i])}
     got = {x["doc_id"] for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect() if x["n_removed"]}
     assert got == want and 0 < len(want) < len(texts) - 8
+
+
+def test_near_copies_that_are_not_similar_make_few_rows_and_lose_no_pair(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 15))) for _ in range(60)]
+    rows = [(i, " ".join([w if r.random() > 0.08 else "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 15))) for w in base])) for i in range(80)]
+    posted = materialize(line_dedup.postings(spark.createDataFrame(rows, DOCS)))
+    classes = line_dedup.numbered_classes(posted)
+    shared = line_dedup.shared_neighbours(classes)
+    few, many = shared.filter("few"), shared.filter("NOT few")
+    rows = {k: [tuple(x) for x in line_dedup.candidates(many, many, once=k).collect()] for k in (False, True)}
+    others = {tuple(x) for x in line_dedup.candidates(few, few).collect()}
+    assert {*rows[True], *others} == {*rows[False], *others}
+    assert len({*rows[False]}) > 500 and len(rows[True]) < 0.6 * len(rows[False])
+    dropped(posted, classes, shared)

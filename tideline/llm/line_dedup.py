@@ -129,37 +129,52 @@ def _neighbours(classes: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
-    """id, n, bits, more, place, token, before (what comes before the pair), a, few: the postings whose token another class has, too; a is the earliest class with it, few whether FEW at most have it."""
+    """id, n, bits, more, place, token, before (what comes before the pair), a, few, second, third: the postings whose token another class has, too; a is the earliest class with it, few whether FEW at most have it.
+
+    second and third come before that, and are there for tokens of many classes only, so that they take little space.
+    """
     same = Window.partitionBy("token")
     each = _neighbours(classes)
     # All postings are dealt, a part of the tokens at a time, so that the shuffle files of one part lie on disk at once.
     parts = [each.filter(F.pmod("token", F.lit(PARTS)) == k).select("*", F.min("id").over(same).alias("a"), F.max("id").over(same).alias("z"), (F.count("*").over(same) <= FEW).alias("few")) for k in range(PARTS)]
     met = [materialize(part.filter("a < z").drop("z")) for part in parts]
     before = F.when(F.col("place") > 0, F.get("prefix", F.col("place") - 1)).alias("before")
+    earlier = [F.when(~F.col("few") & (F.col("place") >= k), F.get("prefix", F.col("place") - k)).alias(name) for k, name in ((2, "second"), (3, "third"))]
     known = classes.select("id", "n", "bits", "more", "prefix").hint("shuffle_hash")
-    out = materialize(reduce(DataFrame.union, met).join(known, "id").select("id", "n", "bits", "more", "place", "token", before, "a", "few"))
+    out = materialize(reduce(DataFrame.union, met).join(known, "id").select("id", "n", "bits", "more", "place", "token", before, "a", "few", *earlier))
     dropped(*met)
     return out
 
 
-def candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
+def candidates(earlier: DataFrame, later: DataFrame, once: bool = False) -> DataFrame:
     """a, b: pairs of a class of earlier and one after it of later (rows of shared neighbours) that pass the prefix, length, positional and bitmap filters.
 
     Sets of n and m tokens are similar if they share some number o, so n + m - 2 * o = d are
     in one only. Of the o - 1 neighbours among the shared ones d at most have another token
     between them in one of the sets: o - 1 - d are neighbours in both, and one of those is
     among the first n - o + d + 1 of one set and the first m - o + d + 1 of the other. Of a
-    run of neighbours that two sets share only the first makes a row.
+    run of neighbours that two sets share only the first makes a row; with once also none after
+    one token that stands in one of the sets, or one in each, if the neighbours before that make
+    a row, here or among the shared neighbours of FEW classes at most.
     """
     # All is renamed on both sides alike, as Spark deals the rows of a join with itself once only if both sides are made in the same way.
-    a = earlier.select(F.col("id").alias("a"), F.col("n").alias("l"), F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), "token")
-    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), "token")
+    a = earlier.select(F.col("id").alias("a"), F.col("n").alias("l"), F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), *([F.col("second").alias("u2"), F.col("third").alias("u3")] if once else []), "token")
+    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), *([F.col("second").alias("v2"), F.col("third").alias("v3")] if once else []), "token")
     n, m, i, j = F.col("l"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = _apart(n, m)
-    near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
-    starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near).select("a", "b")
+
+    def near(i: Column, j: Column) -> Column:
+        return (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
+
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    starts = ~same("u", "v")
+    if once:
+        one_in_each = same("u2", "v2") & same("u3", "v3")
+        one_in_a = same("u2", "v") & same("u3", "v2") & near(i - 3, j - 2)
+        one_in_b = same("u", "v2") & same("u2", "v3") & near(i - 2, j - 3)
+        starts = starts & ~(one_in_each | one_in_a | one_in_b)
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near(i, j)).select("a", "b")
 
 
 def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
@@ -244,7 +259,7 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     few, many = shared.filter("few"), shared.filter("NOT few")
     # The earliest class with a token is a likely original of a group of near copies.
     first = _similar(candidates(few, few).union(candidates(many.filter("id = a"), many)).distinct(), order, documents)
-    rest = _similar(candidates(many, many.join(first, "id", "left_anti")).distinct(), order, documents)
+    rest = _similar(candidates(many, many.join(first, "id", "left_anti"), once=True).distinct(), order, documents)
     dropped(shared)
     gone = first.union(rest).withColumn("gone", F.lit(True))
     info = order.join(gone, "id", "left").filter("gone OR lines > 1").select("class", F.col("first.key").alias("k"), F.col("first.line_no").alias("l"), F.coalesce("gone", F.lit(False)).alias("gone"))
