@@ -121,11 +121,16 @@ def numbered_classes(posted: DataFrame) -> DataFrame:
     return out
 
 
+def _joint(x: str, y: str) -> Column:
+    """Two numbers of 32 bits as one."""
+    return F.shiftleft(F.col(x).cast("long"), 32).bitwiseOR(F.col(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _neighbours(classes: DataFrame) -> DataFrame:
     """id, place, token (each pair of neighbours in a prefix as one number)."""
     pairs = F.arrays_zip(F.slice("prefix", F.lit(1), F.size("prefix") - 1).alias("x"), F.slice("prefix", F.lit(2), F.size("prefix")).alias("y"))
     each = classes.filter(F.size("prefix") > 1).select("id", F.posexplode(pairs).alias("place", "pair"))
-    return each.select("id", "place", F.shiftleft(F.col("pair.x").cast("long"), 32).bitwiseOR(F.col("pair.y").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
+    return each.select("id", "place", _joint("pair.x", "pair.y").alias("token"))
 
 
 def shared_neighbours(classes: DataFrame) -> DataFrame:
@@ -158,23 +163,19 @@ def candidates(earlier: DataFrame, later: DataFrame, once: bool = False) -> Data
     a row, here or among the shared neighbours of FEW classes at most.
     """
     # All is renamed on both sides alike, as Spark deals the rows of a join with itself once only if both sides are made in the same way.
-    a = earlier.select(F.col("id").alias("a"), F.col("n").alias("l"), F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), *([F.col("second").alias("u2"), F.col("third").alias("u3")] if once else []), "token")
-    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), *([F.col("second").alias("v2"), F.col("third").alias("v3")] if once else []), "token")
+    a = earlier.select(F.col("id").alias("a"), F.col("n").alias("l"), F.col("bits").alias("x0"), F.col("more").alias("x1"), F.col("place").alias("i"), F.col("before").alias("u"), *([_joint("second", "before").alias("u2"), _joint("third", "second").alias("u3")] if once else []), "token")
+    b = later.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y0"), F.col("more").alias("y1"), F.col("place").alias("j"), F.col("before").alias("v"), *([_joint("second", "before").alias("v2"), _joint("third", "second").alias("v3")] if once else []), "token")
     n, m, i, j = F.col("l"), F.col("m"), F.col("i"), F.col("j")
     o = _needed(n, m)
     d = _apart(n, m)
-
-    def near(i: Column, j: Column) -> Column:
-        return (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (F.abs(i - j) + F.abs((n - i) - (m - j)) <= d)
-
-    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False))
-    starts = ~same("u", "v")
+    spread = F.abs(i - j) + F.abs((n - i) - (m - j))
+    near = (i <= n - o + d) & (j <= m - o + d) & (i - j <= n - o) & (j - i <= m - o) & (spread <= d)
+    starts = ~F.coalesce(F.col("u") == F.col("v"), F.lit(False))
     if once:
-        one_in_each = same("u2", "v2") & same("u3", "v3")
-        one_in_a = same("u2", "v") & same("u3", "v2") & near(i - 3, j - 2)
-        one_in_b = same("u", "v2") & same("u2", "v3") & near(i - 2, j - 3)
-        starts = starts & ~(one_in_each | one_in_a | one_in_b)
-    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near(i, j)).select("a", "b")
+        # Neighbours before a token of the set in which the place is later have no larger spread, others one of 2 more at most. Last, as few pairs come so far.
+        roomy = spread + 2 <= d
+        near = near & ~F.coalesce((F.col("u3") == F.col("v3")) | (((i > j) | roomy) & (F.col("u3") == F.col("v2"))) | (((i < j) | roomy) & (F.col("u2") == F.col("v3"))), F.lit(False))
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & starts & _alike(n, m, [F.col("x0"), F.col("x1")], [F.col("y0"), F.col("y1")]) & near).select("a", "b")
 
 
 def _class_lines(ids: DataFrame, classes: DataFrame, documents: DataFrame) -> list[DataFrame]:
